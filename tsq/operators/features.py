@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsq.operators.index import block_window, core_rows, halo, series_index
+from tsq.session import materialize
 
 # Fixed values of the reference's feature table
 PRIOR_HISTORY_WINDOW = 30
@@ -72,12 +73,15 @@ def first_diff(x, w) -> Column:
     return x - F.lag(x, 1).over(w)
 
 
-def pct_change(x, w, back: int) -> Column:
+def pct_change(x, w) -> Column:
     """x_t / x_{t-1} - 1 on the forward-filled series (pandas 1.5 pads
-    nulls first); the fill reaches ``back`` rows (the halo width)."""
+    nulls first).  The fill runs from the start of the window partition (a
+    growing frame, O(1) per row); on halo blocks it reaches at least the
+    halo width back, run :func:`tsq.operators.index.fill_forward` first
+    for gaps longer than that."""
     x = _c(x)
-    filled_now = F.last(x, ignorenulls=True).over(w.rowsBetween(-back, 0))
-    filled_prev = F.last(x, ignorenulls=True).over(w.rowsBetween(-back, -1))
+    filled_now = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    filled_prev = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return F.try_divide(filled_now, filled_prev) - F.lit(1.0)
 
 
@@ -149,9 +153,13 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     p = panel.withColumn("close_used", cu.cast("double"))
     if adj_price and adj_price not in p.columns:
         p = p.withColumn(adj_price, F.lit(None).cast("double"))
+    # the panel is an aggregate of a large scan with four consumers (index
+    # counts, index rows, usable-series filter, download span): build it once
+    p = materialize(p)
     # skip series without any usable price
     has = p.groupBy(keys).agg(F.count("close_used").alias("_n")).filter("_n > 0").select(keys)
     p = p.join(has, keys, "left_semi")
+    span = p.agg(F.min(date).alias("_s"), F.max(date).alias("_e"))
     p = series_index(p, keys, date)
 
     reach_sig = ema_reach(MACD_SIGNAL)
@@ -164,7 +172,7 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     c = F.col("close_used")
     h = h.withColumn("log_return", log_return(c, w))
     cols = [
-        pct_change(c, w, back).alias("pct_change"),
+        pct_change(c, w).alias("pct_change"),
         (c - F.lag(c, 1).over(w)).alias("_delta"),
     ]
     lr = F.col("log_return")
@@ -193,7 +201,6 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
         .withColumn("bb_upper", F.col("bb_sma20") + F.lit(float(BOLLINGER_K)) * F.col("bb_std20")) \
         .withColumn("bb_lower", F.col("bb_sma20") - F.lit(float(BOLLINGER_K)) * F.col("bb_std20"))
     # download span = first/last date of the whole panel (one-row table)
-    span = panel.agg(F.min(date).alias("_s"), F.max(date).alias("_e"))
     out = out.crossJoin(F.broadcast(span))
     out = out.select(
         "*",

@@ -55,3 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "tsq-tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage (reliable checkpoint in the
+    shared ``spark.checkpoint.dir``).  Used where a derived table that is
+    small relative to its inputs (an aggregate of a large scan) feeds
+    several consumers, so the large input is read once, and lost executors
+    re-read the checkpoint instead of recomputing the scan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
