@@ -6,7 +6,7 @@ import importlib
 
 from tsq.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["features"]
+_MODULES = ["features", "windows"]
 
 
 def load_all() -> None:

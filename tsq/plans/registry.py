@@ -31,13 +31,29 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def rnd(c, digits: int = 6):
+    """Round half up as floor(x*10^d + 0.5)/10^d.
+
+    The same IEEE operations in Spark and DuckDB give the same double for
+    the same input, ties included (``round`` differs between the engines on
+    ties: decimal HALF_UP of the shortest repr vs binary arithmetic).
+    Magnitudes of 1e12 and more, NaN and infinities pass unchanged."""
+    c = F.col(c) if isinstance(c, str) else c
+    c = c.cast("double")
+    scale = F.lit(float(10 ** digits))
+    return F.when(F.abs(c) < F.lit(1e12), F.floor(c * scale + F.lit(0.5)) / scale).otherwise(c)
+
+
 def rounded(df: DataFrame, digits: int = 6, **per_col: int) -> DataFrame:
     """Round every floating column (6 decimals unless given per column)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             d = per_col.get(f.name, digits)
-            out.append(F.round(F.col(f.name).cast("double"), d).alias(f.name))
+            out.append(rnd(f.name, d).alias(f.name))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
+            d = per_col.get(f.name, digits)
+            out.append(F.transform(f.name, lambda v, d=d: rnd(v, d)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
@@ -49,4 +65,8 @@ def dbl(x: float) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits})"
+    """SQL twin of :func:`rnd`."""
+    x = f"CAST({expr} AS DOUBLE)"
+    sc = f"CAST({float(10 ** digits)!r} AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < CAST(1e12 AS DOUBLE) THEN floor({x} * {sc} + CAST(0.5 AS DOUBLE)) / {sc} "
+            f"ELSE {x} END)")

@@ -22,7 +22,7 @@ FROM panel
 
 DAILY = """
 SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS n_orders,
-       avg(o_totalprice) AS avg_price, sum(o_totalprice) / 1e6 AS OT, 'all' AS series_id
+       avg(o_totalprice) AS avg_price, sum(o_totalprice) / 1000.0 AS OT, 'all' AS series_id
 FROM orders GROUP BY 1
 """
 

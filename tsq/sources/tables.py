@@ -65,7 +65,7 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(
         F.count(F.lit(1)).cast("double").alias("n_orders"),
         F.avg("o_totalprice").alias("avg_price"),
-        (F.sum("o_totalprice") / F.lit(1e6)).alias("OT"),
+        (F.sum("o_totalprice") / F.lit(1000.0)).alias("OT"),
     ).withColumn("series_id", F.lit("all"))
 
 
