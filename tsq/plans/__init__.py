@@ -6,7 +6,7 @@ import importlib
 
 from tsq.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["features", "windows", "metrics"]
+_MODULES = ["features", "windows", "metrics", "functions"]
 
 
 def load_all() -> None:
