@@ -155,3 +155,33 @@ def fill_forward(df: DataFrame, keys, t: str, cols: Sequence[str], block: int =
 def fill_backward(df: DataFrame, keys, t: str, cols: Sequence[str], block: int = 65536) -> DataFrame:
     """Carry the next non-null value backward within each series (exact)."""
     return _fill(df, keys, t, list(cols), block, False)
+
+
+def running_sum(
+    df: DataFrame,
+    keys: str | Sequence[str] | None,
+    order: str | Sequence[str],
+    value: str,
+    out: str,
+    bucket: Column | None = None,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Running sum of ``value`` in ``order`` per series, without a
+    whole-series window: per-bucket totals -> prefix offsets (small table)
+    + running sum inside (series, bucket).  ``inclusive=False`` excludes
+    the current row."""
+    keys = _keys(keys)
+    order = _keys(order)
+    b = bucket if bucket is not None else default_bucket(df, order[0])
+    with_b = df.withColumn("_ib", b)
+    tot = with_b.groupBy(*keys, "_ib").agg(F.sum(value).alias("_s"))
+    wb = Window.partitionBy(*keys).orderBy("_ib").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_ib").alias("_ib2"),
+                      F.coalesce(F.sum("_s").over(wb), F.lit(0)).alias("_off"))
+    cond = F.col("_ib").eqNullSafe(F.col("_ib2"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    j = with_b.join(offs, cond).drop("_ib2", *[f"_k_{k}" for k in keys])
+    upper = 0 if inclusive else -1
+    w = Window.partitionBy(*keys, "_ib").orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
+    return j.withColumn(out, F.col("_off") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_ib", "_off")
