@@ -6,7 +6,7 @@ import importlib
 
 from tsq.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["features", "windows", "metrics", "functions", "clean", "joins", "evals", "scans"]
+_MODULES = ["features", "windows", "metrics", "functions", "clean", "joins", "evals", "scans", "misc"]
 
 
 def load_all() -> None:
