@@ -11,7 +11,7 @@ def _ref_dtw(p, s, slope, window):
     w = S if window is None else window
     cost = np.full((P, S), np.inf)
     for i in range(P):
-        for j in range(max(0, i - w), min(S, i + w) + 1):
+        for j in range(max(0, i - w), min(S - 1, i + w) + 1):
             cost[i, j] = abs(p[i] - s[j])
     D = np.full((P + 1, S + 1), np.inf)
     D[0, 0] = 0
