@@ -27,8 +27,8 @@ def uniform(*parts) -> Column:
 
 
 def normal(*parts, mean: float = 0.0, sd: float = 1.0) -> Column:
-    u1 = uniform(*parts, "n1")
-    u2 = uniform(*parts, "n2")
+    u1 = uniform(*parts, F.lit("n1"))
+    u2 = uniform(*parts, F.lit("n2"))
     z = F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
     return F.lit(mean) + F.lit(sd) * z
 
@@ -36,11 +36,12 @@ def normal(*parts, mean: float = 0.0, sd: float = 1.0) -> Column:
 def sql_uniform(*parts: str) -> str:
     """DuckDB twin of :func:`uniform` (parts are SQL expressions)."""
     key = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"((CAST(('0x' || substr(md5({key}), 1, 8)) AS UBIGINT) + 0.5) / {TWO32!r})"
+    return (f"((CAST(CAST(('0x' || substr(md5({key}), 1, 8)) AS UBIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE))"
+            f" / CAST({TWO32!r} AS DOUBLE))")
 
 
 def sql_normal(*parts: str, mean: float = 0.0, sd: float = 1.0) -> str:
     u1 = sql_uniform(*parts, "'n1'")
     u2 = sql_uniform(*parts, "'n2'")
-    return (f"(CAST('{mean!r}' AS DOUBLE) + CAST('{sd!r}' AS DOUBLE) * sqrt(-2.0 * ln({u1})) "
-            f"* cos(CAST('{2.0 * math.pi!r}' AS DOUBLE) * {u2}))")
+    z = f"(sqrt(CAST(-2.0 AS DOUBLE) * ln({u1})) * cos(CAST('{2.0 * math.pi!r}' AS DOUBLE) * {u2}))"
+    return f"(CAST('{float(mean)!r}' AS DOUBLE) + CAST('{float(sd)!r}' AS DOUBLE) * {z})"
