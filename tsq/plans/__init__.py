@@ -6,7 +6,7 @@ import importlib
 
 from tsq.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["features", "windows", "metrics", "functions", "clean", "joins", "evals", "scans", "misc", "spectral", "similarity", "augment", "streams", "augment_udf"]
+_MODULES = ["features", "windows", "metrics", "functions", "clean", "joins", "evals", "scans", "misc", "spectral", "similarity", "augment", "streams", "augment_udf", "udf"]
 
 
 def load_all() -> None:
