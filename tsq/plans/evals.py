@@ -206,11 +206,13 @@ SELECT grp, {r('smape')} AS smape, {r('mape')} AS mape, {r('mase')} AS mase,
 def q_m4_eval(spark, sf):
     """Last horizon of every series held out -> seasonal-naive forecast ->
     per-group sMAPE / MAPE / MASE / OWA against the naive baseline."""
-    f = m4_forecasts(spark, sf)
+    from tsq.plans.metrics import m4_frame
+    e = materialize(m4_frame(spark, sf))
+    f = m4_forecasts(spark, sf, e)
     g = f.groupBy("grp").agg(F.avg(me.m4_smape("y", "f_snaive")).alias("smape"),
                              F.avg(me.m4_mape("y", "f_snaive")).alias("mape"),
                              F.avg(me.m4_smape("y", "f_naive")).alias("smape_naive"))
-    gm = _series_mase(spark, sf).groupBy("grp").agg(F.avg("mase").alias("mase"), F.avg("mase_naive").alias("mase_naive"))
+    gm = _series_mase(spark, sf, e, f).groupBy("grp").agg(F.avg("mase").alias("mase"), F.avg("mase_naive").alias("mase_naive"))
     j = g.join(gm, "grp").withColumn("owa", (F.col("mase") / F.col("mase_naive") + F.col("smape") / F.col("smape_naive")) / F.lit(2.0))
     return rounded(j.select("grp", "smape", "mape", "mase", "owa"))
 
@@ -258,7 +260,8 @@ def q_anomaly_eval(spark, sf):
     """scale (train stats per series) -> reconstruct (centred moving
     average) -> energy -> threshold = percentile of train+test energies ->
     detect on test rows -> point adjust -> accuracy / precision / recall / F1."""
-    s = anomaly_scores(spark, sf)
+    # scores feed both the threshold and the detection: computed once
+    s = materialize(anomaly_scores(spark, sf))
     thr = me.exact_percentile(s, "energy", 1 - ANOMALY_RATIO / 100)
     te = s.filter(F.col("t") >= F.col("n_train")).crossJoin(F.broadcast(thr))
     te = te.select("series_id", "t", F.col("label").alias("gt"), (F.col("energy") > F.col("percentile")).cast("int").alias("pred"))

@@ -13,6 +13,7 @@ from tsq.operators.index import series_index
 from tsq.plans import sqlparts as S
 from tsq.plans.registry import dbl, query, r, rounded
 from tsq.plans.windows import DAILY_SQL, EVENTS_SQL, PANEL_SQL, indexed_daily, indexed_events, indexed_panel
+from tsq.session import materialize
 from tsq.sources import tables as tb
 
 MASK_SEED = 7
@@ -174,9 +175,9 @@ def m4_frame(spark, sf):
     return e
 
 
-def m4_forecasts(spark, sf):
+def m4_forecasts(spark, sf, e=None):
     """Seasonal-naive (model) and naive (baseline) forecasts per (series, h)."""
-    e = m4_frame(spark, sf)
+    e = m4_frame(spark, sf) if e is None else e
     outs = e.filter(F.col("t") >= F.col("n_in")).withColumn("h", (F.col("t") - F.col("n_in") + 1).cast("int"))
     outs = outs.withColumn("src", F.col("t") - F.col("freq") * F.ceil(F.col("h") / F.col("freq")))
     vals = e.select(F.col("series_id").alias("_sid"), F.col("t").alias("_st"), F.col("value").alias("_sv"))
@@ -188,9 +189,9 @@ def m4_forecasts(spark, sf):
     return o.select("series_id", "grp", "freq", "horizon", "h", "t", F.col("value").alias("y"), "f_snaive", "f_naive")
 
 
-def m4_scales(spark, sf):
+def m4_scales(spark, sf, e=None):
     """In-sample seasonal-naive MAE per series: mean |x_t - x_{t-m}|."""
-    e = m4_frame(spark, sf).filter(F.col("t") < F.col("n_in"))
+    e = (m4_frame(spark, sf) if e is None else e).filter(F.col("t") < F.col("n_in"))
     prev = e.select(F.col("series_id").alias("_sid"), F.col("t").alias("_pt"), F.col("value").alias("_pv"))
     j = e.join(prev, (F.col("series_id") == F.col("_sid")) & (F.col("_pt") == F.col("t") - F.col("freq")))
     return j.groupBy("series_id").agg(F.avg(F.abs(F.col("value") - F.col("_pv"))).alias("scale"))
@@ -233,11 +234,11 @@ def q_m4_mape(spark, sf):
     return rounded(m4_forecasts(spark, sf).groupBy("grp").agg(F.avg(me.m4_mape("y", "f_snaive")).alias("mape")))
 
 
-def _series_mase(spark, sf):
-    fc = m4_forecasts(spark, sf)
+def _series_mase(spark, sf, e=None, fc=None):
+    fc = m4_forecasts(spark, sf, e) if fc is None else fc
     per = fc.groupBy("series_id", "grp").agg(F.avg(F.abs(F.col("f_snaive") - F.col("y"))).alias("_m"),
                                              F.avg(F.abs(F.col("f_naive") - F.col("y"))).alias("_n"))
-    return per.join(m4_scales(spark, sf), "series_id").select(
+    return per.join(m4_scales(spark, sf, e), "series_id").select(
         "series_id", "grp", F.try_divide("_m", "scale").alias("mase"), F.try_divide("_n", "scale").alias("mase_naive"))
 
 
@@ -268,12 +269,14 @@ SELECT summary, {r('smape', 3)} AS smape, {r('mape', 3)} AS mape, {r('mase', 3)}
        {r('(mase / mase_naive + smape / smape_naive) / 2.0', 3)} AS owa FROM sm
 """)
 def q_m4_owa(spark, sf):
-    fc = m4_forecasts(spark, sf)
+    # the indexed event frame feeds forecasts, scales and counts: build once
+    e = materialize(m4_frame(spark, sf))
+    fc = m4_forecasts(spark, sf, e)
     g = fc.groupBy("grp").agg(F.avg(me.m4_smape("y", "f_snaive")).alias("smape"),
                               F.avg(me.m4_mape("y", "f_snaive")).alias("mape"),
                               F.avg(me.m4_smape("y", "f_naive")).alias("smape_naive"))
-    gm = _series_mase(spark, sf).groupBy("grp").agg(F.avg("mase").alias("mase"), F.avg("mase_naive").alias("mase_naive"))
-    cnt = m4_frame(spark, sf).groupBy("grp").agg(F.countDistinct("series_id").alias("n"))
+    gm = _series_mase(spark, sf, e, fc).groupBy("grp").agg(F.avg("mase").alias("mase"), F.avg("mase_naive").alias("mase_naive"))
+    cnt = e.groupBy("grp").agg(F.countDistinct("series_id").alias("n"))
     sm = me.m4_summarize(g.join(gm, "grp"), cnt, ["smape", "mape", "mase", "smape_naive", "mase_naive"])
     sm = sm.withColumn("owa", (F.col("mase") / F.col("mase_naive") + F.col("smape") / F.col("smape_naive")) / F.lit(2.0))
     return rounded(sm.select("summary", "smape", "mape", "mase", "owa"), 3)
