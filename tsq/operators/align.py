@@ -67,21 +67,29 @@ def pick_partner(df: DataFrame, group: str, id_col: str, seed: int, out: str = "
     return j.select(id_col, group, out)
 
 
-def pick_members(df: DataFrame, group: str, id_col: str, k: int, seed: int, tag: str,
+def pick_members(df: DataFrame, group: str | None, id_col: str, k: int, seed: int, tag: str,
                  exclude_self: bool = True, out: str = "member_id") -> DataFrame:
-    """Up to ``k`` distinct other members of the same group per row, taken
-    consecutively from a hash-random offset in the group's hash order
-    (equi-join on (group, rank)); no all-pairs.  Adds ``j`` (0..k-1)."""
-    base = df.select(group, id_col).withColumn("_h", rng.uniform(group, id_col, F.lit(tag), F.lit(seed)))
+    """Up to ``k`` distinct other members of the same group (of the whole
+    table when ``group`` is None) per row, taken consecutively from a
+    hash-random offset in the group's hash order (equi-join on (group,
+    rank)); no all-pairs.  Adds ``j`` (0..k-1)."""
+    gk = [group] if group else []
+    gcol = F.col(group) if group else F.lit(0)
+    base = df.select(*gk, id_col).withColumn("_h", rng.uniform(gcol, id_col, F.lit(tag), F.lit(seed)))
     r = series_index(base, group, ["_h", id_col], out="_rk", bucket=F.floor(F.col("_h") * F.lit(1024.0)))
-    n = r.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    r = r.join(n, group)
+    if gk:
+        r = r.join(r.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), group)
+    else:
+        r = r.crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("_n"))))
     m = F.col("_n") - 1 if exclude_self else F.col("_n")
-    o = F.floor(rng.uniform(group, id_col, F.lit(tag + "-off"), F.lit(seed)) * m)
+    o = F.floor(rng.uniform(gcol, id_col, F.lit(tag + "-off"), F.lit(seed)) * m)
     d = r.filter(m > 0).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     d = d.filter(F.col("j") < m)
     tgt = ((F.col("_rk") + 1 + (o + F.col("j")) % m) % F.col("_n")) if exclude_self else ((o + F.col("j")) % F.col("_n"))
     d = d.withColumn("_tr", tgt)
-    other = r.select(F.col(group).alias("_g"), F.col("_rk").alias("_tr2"), F.col(id_col).alias(out))
-    j = d.join(other, (F.col(group) == F.col("_g")) & (F.col("_tr") == F.col("_tr2")))
-    return j.select(id_col, group, "j", out)
+    other = r.select(*[F.col(c).alias("_g") for c in gk], F.col("_rk").alias("_tr2"), F.col(id_col).alias(out))
+    cond = F.col("_tr") == F.col("_tr2")
+    if gk:
+        cond = cond & (F.col(group) == F.col("_g"))
+    j = d.join(other, cond)
+    return j.select(id_col, *gk, "j", out)

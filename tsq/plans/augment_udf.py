@@ -129,8 +129,7 @@ def _negatives(spark, sf, s, k):
     """Up to k samples of other classes per sample: consecutive members of
     a global hash order from a random offset, other labels kept."""
     from pyspark.sql import Window
-    base = s.select("sample_id", "label").withColumn("_all", F.lit(0))
-    cand = al.pick_members(base, "_all", "sample_id", 3 * k, SEED, "neg", True, out="neg_id")
+    cand = al.pick_members(s.select("sample_id", "label"), None, "sample_id", 3 * k, SEED, "neg", True, out="neg_id")
     lab = s.select(F.col("sample_id").alias("neg_id"), F.col("label").alias("_nl"), F.col("x").alias("nx"))
     c = cand.join(s.select("sample_id", "label"), "sample_id").join(lab, "neg_id").filter(F.col("_nl") != F.col("label"))
     w = Window.partitionBy("sample_id").orderBy("j")  # at most 3k rows per sample

@@ -91,10 +91,9 @@ def q_text_vectorizer(spark, sf):
     word vectors, for every document.  Training runs over 8 partitions."""
     from pyspark.ml.feature import Word2Vec
     d = tb.read(spark, sf, "documents").select("doc_id", cl.tokenize_truncate("text", 1 << 20).alias("tokens"))
-    d = d.withColumn("_k", F.lit(0))
     from tsq.operators.index import series_index
-    d = series_index(d, "_k", "doc_id", out="t", bucket=F.floor(F.col("doc_id") / F.lit(65536)))
-    d = wo.head_fraction(d, "_k", "t", 0.8, "in_train")
+    d = series_index(d, None, "doc_id", out="t", bucket=F.floor(F.col("doc_id") / F.lit(65536)))
+    d = wo.head_fraction(d, None, "t", 0.8, "in_train")
     w2v = Word2Vec(vectorSize=8, minCount=1, seed=42, maxIter=1, numPartitions=8, inputCol="tokens", outputCol="vec")
     model = w2v.fit(d.filter("in_train"))
     from pyspark.ml.functions import vector_to_array

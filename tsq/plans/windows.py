@@ -167,9 +167,9 @@ WITH h AS ({S.HOURLY}), g AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS
 SELECT ts, t >= CAST(floor(n * {dbl(0.8)}) AS BIGINT) AS in_val FROM g
 """)
 def q_val_tail(spark, sf):
-    h = tb.hourly_matrix(spark, sf).withColumn("series_id", F.lit("all"))
-    h = series_index(h, "series_id", "ts")
-    return wo.head_fraction(h, "series_id", "t", 0.8, "in_train").select("ts", (~F.col("in_train")).alias("in_val"))
+    # one series: no key (a constant key would fold into a cartesian join)
+    h = series_index(tb.hourly_matrix(spark, sf), None, "ts")
+    return wo.head_fraction(h, None, "t", 0.8, "in_train").select("ts", (~F.col("in_train")).alias("in_val"))
 
 
 @query("split_80_docs", f"""
@@ -177,9 +177,8 @@ WITH g AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS t, count(*)
 SELECT doc_id, t < CAST(floor(n * {dbl(0.8)}) AS BIGINT) AS in_train FROM g
 """)
 def q_split_80(spark, sf):
-    d = tb.read(spark, sf, "documents").select("doc_id").withColumn("series_id", F.lit("all"))
-    d = series_index(d, "series_id", "doc_id")
-    return wo.head_fraction(d, "series_id", "t", 0.8, "in_train").select("doc_id", "in_train")
+    d = series_index(tb.read(spark, sf, "documents").select("doc_id"), None, "doc_id")
+    return wo.head_fraction(d, None, "t", 0.8, "in_train").select("doc_id", "in_train")
 
 
 @query("last_window", f"""
