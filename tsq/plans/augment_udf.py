@@ -23,7 +23,7 @@ ARR = T.ArrayType(T.DoubleType())
 
 
 def _samples(spark, sf):
-    return si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value", extra=["label"])
+    return si.spread(si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value", extra=["label"]), "sample_id")
 
 
 def _explode(df, col="y"):
@@ -113,7 +113,7 @@ def _batch_arrays(spark, sf, s, k, tag, exclude_self):
     arr = s.select(F.col("sample_id").alias("member_id"), F.col("x").alias("mx"))
     g = m.join(arr, "member_id").groupBy("sample_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("j", "mx"))), lambda e: e["mx"]).alias("batch"))
-    return s.join(g, "sample_id", "left")
+    return si.spread(s.join(g, "sample_id", "left"), "sample_id")
 
 
 @query("aug_wdba")
@@ -143,7 +143,7 @@ DISC_OUT = T.StructType([T.StructField("y", ARR), T.StructField("amount", T.Doub
 def _disc(spark, sf, shape):
     s = _samples(spark, sf)
     pos = _batch_arrays(spark, sf, s, (BATCH + 1) // 2, "pos", exclude_self=True).withColumnRenamed("batch", "pos")
-    d = pos.join(_negatives(spark, sf, s, BATCH // 2), "sample_id", "left")
+    d = si.spread(pos.join(_negatives(spark, sf, s, BATCH // 2), "sample_id", "left"), "sample_id")
 
     @F.pandas_udf(DISC_OUT)
     def warp(x: pd.Series, p: pd.Series, n: pd.Series) -> pd.DataFrame:

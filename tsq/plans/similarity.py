@@ -29,7 +29,7 @@ def pairs(spark, sf):
     arr = si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value")
     a = arr.select(F.col("sample_id").alias("vec_id"), F.col("x"))
     b = arr.select(F.col("sample_id").alias("partner_id"), F.col("x").alias("y"))
-    return pr.join(a, "vec_id").join(b, "partner_id")
+    return si.spread(pr.join(a, "vec_id").join(b, "partner_id"), "vec_id")
 
 
 @query("dtw_distance")
@@ -91,7 +91,7 @@ def q_dtw_matrix(spark, sf):
     arr = si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value", extra=["label"])
     m = arr.join(med, "label")
     y = arr.select(F.col("sample_id").alias("medoid_id"), F.col("x").alias("y"))
-    j = m.join(y, "medoid_id")
+    j = si.spread(m.join(y, "medoid_id"), "sample_id")
     return rounded(j.select(F.col("sample_id").alias("vec_id"), "label", "medoid_id",
                             si.dtw_udf("symmetric", SYM_WINDOW)("x", "y").alias("dtw")))
 

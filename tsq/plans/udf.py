@@ -80,7 +80,7 @@ def q_batch_inference(spark, sf):
             return {"pred_class": lab[np.argmin(d2, axis=1)].astype("int32")}
         return model
 
-    arr = si.sample_arrays(s, "sample_id", "t", "value")
+    arr = si.spread(si.sample_arrays(s, "sample_id", "t", "value"), "sample_id")
     return batch_predict(arr, factory, "x", "sample_id long, pred_class int", ["sample_id"])
 
 
@@ -126,7 +126,7 @@ def dmd_kernel(x: np.ndarray) -> np.ndarray:
 @query("dmd_forecast")
 def q_dmd(spark, sf):
     """DMD-style linear forecast of 2 segments (16 points) per sample."""
-    arr = si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value")
+    arr = si.spread(si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value"), "sample_id")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def f(x: pd.Series) -> pd.Series:
