@@ -57,11 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tsq-tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df):
-    """Compute ``df`` once and cut its lineage (reliable checkpoint in the
-    shared ``spark.checkpoint.dir``).  Used where a derived table that is
-    small relative to its inputs (an aggregate of a large scan) feeds
-    several consumers, so the large input is read once, and lost executors
-    re-read the checkpoint instead of recomputing the scan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "stage"):
+    """Compute ``df`` once and cut its lineage: written as a parquet table
+    in the shared ``spark.checkpoint.dir`` and read back.  Used where a
+    table that is small relative to its inputs (an aggregate of a large
+    scan) feeds several consumers: the large input is read once, re-reads
+    are columnar (pruned, pushed-down), and a lost executor re-reads the
+    table instead of recomputing the scan."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
