@@ -139,7 +139,31 @@ def q_dmd(spark, sf):
 ETS_K, ETS_H, ALPHA, BETA, PHI = 3, 16, 0.5, 0.5, 0.9
 
 
-@query("ets_compose_forecast")
+def _ets_sql():
+    from tsq.plans.spectral import SPEC_SQL, _idft_sql
+    a, b = dbl(ALPHA), dbl(BETA)
+    ra, rb = dbl(1.0 - ALPHA), dbl(1.0 - BETA)
+    return f"""
+WITH RECURSIVE {SPEC_SQL},
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY amp DESC, k) AS rk FROM sa
+        WHERE k > 0 AND NOT (L % 2 = 0 AND k * 2 = L)) WHERE rk <= {ETS_K}),
+tg AS (SELECT ln.sample_id, tt.t FROM ln CROSS JOIN unnest(range(0, ln.L + {ETS_H})) AS tt(t)),
+se AS ({_idft_sql('top', 'tg', 'season')}),
+dd AS (SELECT s.sample_id, s.t, s.value - se.season AS d FROM s JOIN se USING (sample_id, t)),
+lv(sample_id, t, level) AS (SELECT sample_id, t, d FROM dd WHERE t = 0
+   UNION ALL SELECT dd.sample_id, dd.t, {ra} * lv.level + {a} * dd.d FROM lv JOIN dd ON dd.sample_id = lv.sample_id AND dd.t = lv.t + 1),
+gr AS (SELECT x.sample_id, x.t - 1 AS t, x.level - y.level AS g FROM lv x JOIN lv y ON y.sample_id = x.sample_id AND y.t = x.t - 1),
+gs(sample_id, t, growth) AS (SELECT sample_id, t, g FROM gr WHERE t = 0
+   UNION ALL SELECT gr.sample_id, gr.t, {rb} * gs.growth + {b} * gr.g FROM gs JOIN gr ON gr.sample_id = gs.sample_id AND gr.t = gs.t + 1),
+last AS (SELECT ln.sample_id, ln.L, lv.level, gs.growth FROM ln JOIN lv ON lv.sample_id = ln.sample_id AND lv.t = ln.L - 1
+         JOIN gs ON gs.sample_id = ln.sample_id AND gs.t = ln.L - 2)
+SELECT last.sample_id, CAST(hh.h AS INTEGER) AS h,
+       {r(f"level + growth * ({dbl(PHI)} * (1.0 - pow({dbl(PHI)}, hh.h)) / {dbl(1.0 - PHI)}) + se.season")} AS y_hat
+FROM last CROSS JOIN range(1, {ETS_H + 1}) hh(h) JOIN se ON se.sample_id = last.sample_id AND se.t = last.L - 1 + hh.h
+"""
+
+
+@query("ets_compose_forecast", _ets_sql())
 def q_ets(spark, sf):
     """Level + damped growth + extrapolated season: season = top-3 Fourier
     terms continued past the window; exponential smoothing of the
