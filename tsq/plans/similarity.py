@@ -115,3 +115,77 @@ def q_adf_mean(spark, sf):
     e = indexed_events(spark, sf)
     a = si.adf_spark(e, "series_id", "t", "value")
     return rounded(a.agg(F.avg("adf").alias("adf_mean"), F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------- SQL oracles
+from tsq.functions import rng as _rng  # noqa: E402
+
+PAIRS_SQL = f"""k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rk,
+                  count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+pp AS (SELECT *, (rk + 1 + floor({_rng.sql_uniform('label', 'vec_id', "'partner'", str(PARTNER_SEED))} * (n - 1))) % n AS pr FROM k WHERE n > 1),
+ar AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+pairs AS (SELECT pp.vec_id AS a_id, o.vec_id AS b_id, xa.x AS x, xb.x AS y
+          FROM pp JOIN k o ON o.label = pp.label AND o.rk = pp.pr JOIN ar xa ON xa.vec_id = pp.vec_id JOIN ar xb ON xb.vec_id = o.vec_id)"""
+
+INF = "CAST('inf' AS DOUBLE)"
+
+
+def dtw_sql(name: str, pairs: str, slope: str, band: str) -> str:
+    """Recursive CTE ``name``(a_id, b_id, i, row): row i of the accumulated
+    cost (list index j+1 holds D[i, j]); ``band`` is an SQL expression of
+    len(x)/len(y) giving the window."""
+    w = band
+    c = "abs(p.x[d.i + 1] - p.y[j])"
+    lo, hi = f"greatest(1, d.i + 1 - ({w}))", f"least(len(p.y), d.i + 1 + ({w}))"
+    if slope == "symmetric":
+        step = f"""SELECT a_id, b_id, i + 1, [{INF}] || [CASE WHEN j BETWEEN lo AND hi THEN cs[j] + list_min(list_slice(g, lo, j)) ELSE {INF} END
+                        FOR j IN range(1, len(y) + 1)]
+            FROM (SELECT *, [m[k] - (cs[k] - cc[k]) FOR k IN range(1, len(y) + 1)] AS g FROM (
+              SELECT *, [CASE WHEN j BETWEEN lo AND hi THEN list_sum(list_slice(cc, lo, j)) ELSE 0.0 END FOR j IN range(1, len(y) + 1)] AS cs FROM (
+                SELECT d.a_id, d.b_id, d.i, p.y, {lo} AS lo, {hi} AS hi,
+                       [{c} FOR j IN range(1, len(p.y) + 1)] AS cc,
+                       [least(d.row[j], d.row[j + 1]) FOR j IN range(1, len(p.y) + 1)] AS m
+                FROM {name} d JOIN {pairs} p USING (a_id, b_id) WHERE d.i < len(p.x))))"""
+    else:
+        step = f"""SELECT d.a_id, d.b_id, d.i + 1, [{INF}] || [CASE
+                WHEN j = 1 THEN (CASE WHEN d.i + 1 <= ({w}) + 1 THEN {c} + least(d.row[1], d.row[2]) ELSE {INF} END)
+                WHEN j BETWEEN greatest(2, d.i + 1 - ({w})) AND least(len(p.y), d.i + 1 + ({w}))
+                  THEN {c} + least(d.row[j - 1], d.row[j], d.row[j + 1])
+                ELSE {INF} END FOR j IN range(1, len(p.y) + 1)]
+            FROM {name} d JOIN {pairs} p USING (a_id, b_id) WHERE d.i < len(p.x)"""
+    base = f"SELECT a_id, b_id, 0, [0.0] || [{INF} FOR j IN range(1, len(y) + 1)] FROM {pairs}"
+    return f"{name}(a_id, b_id, i, row) AS ({base} UNION ALL {step})"
+
+
+def _final(name, pairs):
+    return (f"SELECT d.a_id, d.b_id, d.row[len(p.y) + 1] AS v FROM {name} d JOIN {pairs} p USING (a_id, b_id) "
+            f"WHERE d.i = len(p.x)")
+
+
+SYM_BAND = "CAST(ceil(len(p.y) / 10.0) AS BIGINT)"
+FULL_BAND = "len(p.y)"
+
+ORACLE_DTW_DISTANCE = f"""WITH RECURSIVE {PAIRS_SQL},
+{dtw_sql('da', 'pairs', 'asymmetric', FULL_BAND)}, {dtw_sql('ds', 'pairs', 'symmetric', SYM_BAND)},
+fa AS ({_final('da', 'pairs')}), fs AS ({_final('ds', 'pairs')})
+SELECT fa.a_id AS vec_id, fa.b_id AS partner_id, {r('fa.v')} AS dtw_asym, {r('fs.v')} AS dtw_sym
+FROM fa JOIN fs USING (a_id, b_id)"""
+
+ORACLE_DTW_FULL = f"""WITH RECURSIVE {PAIRS_SQL}, {dtw_sql('dg', 'pairs', 'symmetric', FULL_BAND)}, f AS ({_final('dg', 'pairs')})
+SELECT a_id AS vec_id, b_id AS partner_id, {r('v')} AS dtw FROM f"""
+
+from tsq.plans.registry import ORACLES as _ORACLES  # noqa: E402
+
+_ORACLES["dtw_distance"] = ORACLE_DTW_DISTANCE
+_ORACLES["dtw_generic"] = ORACLE_DTW_FULL
+_ORACLES["dtw_accelerated"] = ORACLE_DTW_FULL
+
+_ORACLES["dtw_matrix"] = f"""WITH RECURSIVE s AS (SELECT vec_id AS sample_id, label, CAST(u.pos - 1 AS INTEGER) AS t, CAST(u.v AS DOUBLE) AS value
+   FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, pos)),
+c AS (SELECT label, t, avg(value) AS cv FROM s GROUP BY 1, 2),
+dd AS (SELECT s.sample_id, s.label, sum((s.value - c.cv) * (s.value - c.cv)) AS d2 FROM s JOIN c USING (label, t) GROUP BY 1, 2),
+med AS (SELECT label, arg_min(sample_id, (d2, sample_id)) AS medoid_id FROM dd GROUP BY label),
+ar AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+mp AS (SELECT ar.vec_id AS a_id, med.medoid_id AS b_id, ar.label, ar.x, am.x AS y FROM ar JOIN med USING (label) JOIN ar am ON am.vec_id = med.medoid_id),
+{dtw_sql('dm', 'mp', 'symmetric', SYM_BAND)}, f AS ({_final('dm', 'mp')})
+SELECT f.a_id AS vec_id, mp.label, f.b_id AS medoid_id, {r('f.v')} AS dtw FROM f JOIN mp USING (a_id, b_id)"""
