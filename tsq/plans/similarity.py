@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tsq.operators import align as al
 from tsq.operators import similarity as si
-from tsq.plans.registry import query, r, rounded
+from tsq.plans.registry import dbl, query, r, rounded
 from tsq.plans.windows import EVENTS_SQL, indexed_events
 from tsq.sources import tables as tb
 
@@ -130,14 +130,26 @@ pairs AS (SELECT pp.vec_id AS a_id, o.vec_id AS b_id, xa.x AS x, xb.x AS y
 INF = "CAST('inf' AS DOUBLE)"
 
 
-def dtw_sql(name: str, pairs: str, slope: str, band: str) -> str:
+def dtw_sql(name: str, pairs: str, slope: str, band: str, cost: str | None = None, weight: float = 1.0) -> str:
     """Recursive CTE ``name``(a_id, b_id, i, row): row i of the accumulated
     cost (list index j+1 holds D[i, j]); ``band`` is an SQL expression of
     len(x)/len(y) giving the window."""
     w = band
-    c = "abs(p.x[d.i + 1] - p.y[j])"
+    c = cost or "abs(p.x[d.i + 1] - p.y[j])"
     lo, hi = f"greatest(1, d.i + 1 - ({w}))", f"least(len(p.y), d.i + 1 + ({w}))"
-    if slope == "symmetric":
+    if slope == "symmetric" and weight != 1.0:
+        # D_j = c_j + min(a_j, s D_{j-1}); with E_j = D_j / s^j the row is
+        # E = C' + running min(a' - C'_prev) over the scaled costs
+        sw = dbl(weight)
+        step = f"""SELECT a_id, b_id, i + 1, [{INF}] || [CASE WHEN j BETWEEN lo AND hi THEN (cs[j] + list_min(list_slice(g, lo, j))) * pow({sw}, j) ELSE {INF} END
+                        FOR j IN range(1, len(y) + 1)]
+            FROM (SELECT *, [m[k] - (cs[k] - cc[k]) FOR k IN range(1, len(y) + 1)] AS g FROM (
+              SELECT *, [CASE WHEN j BETWEEN lo AND hi THEN list_sum(list_slice(cc, lo, j)) ELSE 0.0 END FOR j IN range(1, len(y) + 1)] AS cs FROM (
+                SELECT d.a_id, d.b_id, d.i, p.y, {lo} AS lo, {hi} AS hi,
+                       [({c}) / pow({sw}, j) FOR j IN range(1, len(p.y) + 1)] AS cc,
+                       [least(d.row[j], {sw} * d.row[j + 1]) / pow({sw}, j) FOR j IN range(1, len(p.y) + 1)] AS m
+                FROM {name} d JOIN {pairs} p USING (a_id, b_id) WHERE d.i < len(p.x))))"""
+    elif slope == "symmetric":
         step = f"""SELECT a_id, b_id, i + 1, [{INF}] || [CASE WHEN j BETWEEN lo AND hi THEN cs[j] + list_min(list_slice(g, lo, j)) ELSE {INF} END
                         FOR j IN range(1, len(y) + 1)]
             FROM (SELECT *, [m[k] - (cs[k] - cc[k]) FOR k IN range(1, len(y) + 1)] AS g FROM (
@@ -189,3 +201,20 @@ ar AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBL
 mp AS (SELECT ar.vec_id AS a_id, med.medoid_id AS b_id, ar.label, ar.x, am.x AS y FROM ar JOIN med USING (label) JOIN ar am ON am.vec_id = med.medoid_id),
 {dtw_sql('dm', 'mp', 'symmetric', SYM_BAND)}, f AS ({_final('dm', 'mp')})
 SELECT f.a_id AS vec_id, mp.label, f.b_id AS medoid_id, {r('f.v')} AS dtw FROM f JOIN mp USING (a_id, b_id)"""
+
+
+# shapeDTW: edge-padded descriptors of n = clip(round_half_even(0.05 L), 5, 100)
+_SHAPE_PAIRS = f"""{PAIRS_SQL},
+sz AS (SELECT a_id, b_id, x, y, CAST(greatest(5, least(100, round_even(len(x) * 0.05, 0))) AS BIGINT) AS n FROM pairs),
+spairs AS (SELECT a_id, b_id, x, y, n,
+  list_concat([x[1] FOR k IN range(0, CAST(ceil(n / 2.0) AS BIGINT))], x, [x[len(x)] FOR k IN range(0, n // 2)]) AS xp,
+  list_concat([y[1] FOR k IN range(0, CAST(ceil(n / 2.0) AS BIGINT))], y, [y[len(y)] FOR k IN range(0, n // 2)]) AS yp FROM sz)"""
+_SHAPE_COST = "sqrt(list_sum([(p.xp[d.i + 1 + kk] - p.yp[j + kk]) * (p.xp[d.i + 1 + kk] - p.yp[j + kk]) FOR kk IN range(0, p.n)]))"
+
+_ORACLES["shape_dtw_distance"] = f"""WITH RECURSIVE {_SHAPE_PAIRS},
+{dtw_sql('dsh', 'spairs', 'asymmetric', FULL_BAND, cost=_SHAPE_COST)}, f AS ({_final('dsh', 'spairs')})
+SELECT a_id AS vec_id, b_id AS partner_id, {r('v')} AS shape_dtw FROM f"""
+
+_ORACLES["udf_distance"] = f"""WITH RECURSIVE {PAIRS_SQL},
+{dtw_sql('du', 'pairs', 'symmetric', '8', weight=1.5)}, f AS ({_final('du', 'pairs')})
+SELECT a_id AS vec_id, b_id AS partner_id, {r('v')} AS dtw FROM f"""
