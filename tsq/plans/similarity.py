@@ -218,3 +218,22 @@ SELECT a_id AS vec_id, b_id AS partner_id, {r('v')} AS shape_dtw FROM f"""
 _ORACLES["udf_distance"] = f"""WITH RECURSIVE {PAIRS_SQL},
 {dtw_sql('du', 'pairs', 'symmetric', '8', weight=1.5)}, f AS ({_final('du', 'pairs')})
 SELECT a_id AS vec_id, b_id AS partner_id, {r('v')} AS dtw FROM f"""
+
+# alignment path: walk back from (P, S) through the stored accumulated rows,
+# choosing the first minimum of (diagonal, up, left) as argmin does
+_ORACLES["dtw_path"] = f"""WITH RECURSIVE {PAIRS_SQL},
+{dtw_sql('dp', 'pairs', 'symmetric', SYM_BAND)},
+fin AS (SELECT a_id, b_id, len(x) AS P, len(y) AS S FROM pairs),
+tb(a_id, b_id, n, i, j) AS (
+  SELECT a_id, b_id, 0, P, S FROM fin
+  UNION ALL
+  SELECT t.a_id, t.b_id, t.n + 1,
+         CASE WHEN c.k = 0 THEN t.i - 1 WHEN c.k = 1 THEN t.i - 1 ELSE t.i END,
+         CASE WHEN c.k = 0 THEN t.j - 1 WHEN c.k = 1 THEN t.j ELSE t.j - 1 END
+  FROM tb t JOIN dp r1 ON r1.a_id = t.a_id AND r1.b_id = t.b_id AND r1.i = t.i - 1
+       JOIN dp r0 ON r0.a_id = t.a_id AND r0.b_id = t.b_id AND r0.i = t.i,
+  LATERAL (SELECT CASE WHEN r1.row[t.j] <= r1.row[t.j + 1] AND r1.row[t.j] <= r0.row[t.j] THEN 0
+                       WHEN r1.row[t.j + 1] <= r0.row[t.j] THEN 1 ELSE 2 END AS k) c
+  WHERE t.i > 1 OR t.j > 1),
+st AS (SELECT a_id, b_id, n, i, j, max(n) OVER (PARTITION BY a_id, b_id) AS nmax FROM tb)
+SELECT a_id AS vec_id, b_id AS partner_id, CAST(nmax - n AS INTEGER) AS step, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j FROM st"""
