@@ -176,3 +176,33 @@ def q_disc(spark, sf):
 @query("aug_discriminative_warp_shape")
 def q_disc_shape(spark, sf):
     return _disc(spark, sf, True)
+
+
+def _window_warp_sql() -> str:
+    """SQL twin of the window warp: both np.interp calls on regular grids."""
+    from tsq.plans.registry import ORACLES, dbl, r
+    u1 = rng.sql_uniform("sample_id", "'wwstart'", str(SEED))
+    u2 = rng.sql_uniform("sample_id", "'wwscale'", str(SEED))
+    return f"""
+WITH s AS (SELECT vec_id AS sample_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+a AS (SELECT *, len(x) AS L, CAST(ceil({dbl(0.1)} * len(x)) AS BIGINT) AS ws FROM s),
+b AS (SELECT *, CAST(1 + floor({u1} * (L - ws - 2)) AS BIGINT) AS st,
+             CASE WHEN {u2} < 0.5 THEN {dbl(0.5)} ELSE {dbl(2.0)} END AS sc FROM a),
+c AS (SELECT *, CAST(floor(ws * sc) AS BIGINT) AS nw FROM b),
+d AS (SELECT *, CAST(ws - 1 AS DOUBLE) / CAST(nw - 1 AS DOUBLE) AS qs FROM c),
+e AS (SELECT *, list_concat(list_slice(x, 1, st),
+        [CASE WHEN k = nw - 1 THEN x[st + ws] ELSE
+           x[st + 1 + CAST(floor(k * qs) AS BIGINT)] + (x[st + 2 + CAST(floor(k * qs) AS BIGINT)] - x[st + 1 + CAST(floor(k * qs) AS BIGINT)])
+             / 1.0 * (k * qs - floor(k * qs)) END FOR k IN range(0, nw)],
+        list_slice(x, st + ws + 1, L)) AS wp FROM d),
+f AS (SELECT *, len(wp) AS M, CAST(L - 1 AS DOUBLE) / CAST(len(wp) - 1 AS DOUBLE) AS gs FROM e),
+g AS (SELECT sample_id, label, st, sc, L, M, gs, wp, unnest(range(0, L)) AS t FROM f),
+h AS (SELECT *, least(CAST(floor(t / gs) AS BIGINT), M - 2) AS jj FROM g)
+SELECT sample_id, label, CAST(t AS INTEGER) AS t,
+       {r("CASE WHEN t = L - 1 THEN wp[M] ELSE wp[jj + 1] + (wp[jj + 2] - wp[jj + 1]) / (CASE WHEN jj + 1 = M - 1 THEN CAST(L - 1 AS DOUBLE) ELSE (jj + 1) * gs END - jj * gs) * (t - jj * gs) END")} AS value
+FROM h"""
+
+
+from tsq.plans.registry import ORACLES as _OR  # noqa: E402
+
+_OR["aug_window_warp"] = _window_warp_sql()
