@@ -206,3 +206,37 @@ FROM h"""
 from tsq.plans.registry import ORACLES as _OR  # noqa: E402
 
 _OR["aug_window_warp"] = _window_warp_sql()
+
+
+def _magwarp_sql() -> str:
+    """SQL twin of the magnitude warp.  The knots are equally spaced, so the
+    not-a-knot system is h * A0 with a constant A0: the knot second
+    derivatives are m = 6/h^2 * inv(A0) @ (0, second differences, 0)."""
+    from tsq.plans.registry import dbl, r
+    n = KNOTS + 2
+    A0 = np.zeros((n, n))
+    A0[0, :3] = [1.0, -2.0, 1.0]
+    A0[-1, -3:] = [1.0, -2.0, 1.0]
+    for i in range(1, n - 1):
+        A0[i, i - 1:i + 2] = [1.0, 4.0, 1.0]
+    inv = np.linalg.inv(A0)
+    ys = [rng.sql_normal("sample_id", str(au.DIM), str(j), "'magwarp'", str(SEED), mean=1.0, sd=0.2) for j in range(n)]
+    d2 = {rr: f"(y{rr + 1} - 2.0 * y{rr} + y{rr - 1})" for rr in range(1, n - 1)}
+    ms = [" + ".join(f"{dbl(inv[k, rr])} * {d2[rr]}" for rr in range(1, n - 1)) for k in range(n)]
+    seg_y = lambda off: "CASE " + " ".join(f"WHEN sg = {k} THEN y{k + off}" for k in range(n - 1)) + " END"
+    seg_m = lambda off: "CASE " + " ".join(f"WHEN sg = {k} THEN m{k + off}" for k in range(n - 1)) + " END"
+    return f"""
+WITH s AS (SELECT vec_id AS sample_id, label, CAST(u.pos - 1 AS INTEGER) AS t, CAST(u.v AS DOUBLE) AS value, len(embedding) AS L
+           FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, pos)),
+k AS (SELECT sample_id, any_value(L) AS L, {', '.join(f'{ys[j]} AS y{j}' for j in range(n))} FROM s GROUP BY sample_id),
+h AS (SELECT *, CAST(L - 1 AS DOUBLE) / {float(n - 1)!r} AS hh FROM k),
+m AS (SELECT *, {', '.join(f'(6.0 / (hh * hh)) * ({ms[j]}) AS m{j}' for j in range(n))} FROM h),
+e AS (SELECT s.sample_id, s.label, s.t, s.value, m.*, least(CAST(floor(s.t / m.hh) AS BIGINT), {n - 2}) AS sg
+      FROM s JOIN m USING (sample_id)),
+f AS (SELECT *, ((sg + 1) * hh - t) / hh AS a, (t - sg * hh) / hh AS c FROM e)
+SELECT sample_id, label, t,
+       {r(f"value * (a * ({seg_y(0)}) + c * ({seg_y(1)}) + ((a * a * a - a) * ({seg_m(0)}) + (c * c * c - c) * ({seg_m(1)})) * hh * hh / 6.0)")} AS value
+FROM f"""
+
+
+_OR["aug_magnitude_warp"] = _magwarp_sql()
