@@ -67,3 +67,12 @@ def test_divide_no_nan(spark):
     df = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (-1.0, 0.0), (3.0, 2.0)], "a double, b double")
     got = [r[0] for r in df.select(me.divide_no_nan("a", "b")).collect()]
     assert got == [0.0, 0.0, float("-inf"), 1.5]
+
+
+def test_exact_percentile_heavy_ties(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([np.zeros(700), rng.normal(size=300), np.full(50, 3.0)])
+    df = spark.createDataFrame([(float(a),) for a in v], "e double")
+    for q in (0.1, 0.5, 0.69, 0.7, 0.95, 1.0):
+        got = me.exact_percentile(df, "e", q, buckets=8).collect()[0][0]
+        assert abs(got - np.percentile(v, 100 * q)) < 1e-12, q

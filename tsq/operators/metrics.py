@@ -163,24 +163,37 @@ def apply_standard(df: DataFrame, stats: DataFrame, cols: Sequence[str], keys=No
     return d.drop(*[f"{c}_{k}" for c in cols for k in ("mean", "std")])
 
 
-def exact_percentile(df: DataFrame, col: str, q: float, buckets: int = 4096) -> DataFrame:
+def exact_percentile(df: DataFrame, col: str, q: float, buckets: int = 65536) -> DataFrame:
     """Exact linear-interpolation percentile (numpy default) without
-    collecting the values: rows get their rank from the distributed index
-    (value buckets from a min/max pass), the two rows around q*(n-1) are
-    picked and interpolated.  One-row result ``percentile``."""
+    collecting or sorting the values.
+
+    Rows are counted per value bucket (a table of at most ``buckets`` rows);
+    a prefix sum over that small table finds the one or two buckets holding
+    ranks floor(q(n-1)) and ceil(q(n-1)); only their rows are kept (the
+    bucket list has at most two rows, so it is broadcast) and counted per
+    distinct value -- runs of equal values collapse in the partial
+    aggregate instead of being ranked row by row.  One-row result
+    ``percentile``."""
     v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     mm = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    vb = v.crossJoin(F.broadcast(mm))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    b = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width)).otherwise(F.lit(0))
-    idx = series_index(vb, None, "_v", out="_r", bucket=b)
+    b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
+    vb = v.crossJoin(F.broadcast(mm)).withColumn("_b", b.cast("long"))
+    bc = vb.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    bc = bc.withColumn("_start", F.coalesce(F.sum("_c").over(wb), F.lit(0))).crossJoin(F.broadcast(mm))
     pos = F.lit(q) * (F.col("_n") - F.lit(1))
     lo_i, hi_i = F.floor(pos), F.ceil(pos)
-    pick = idx.filter((F.col("_r") == lo_i) | (F.col("_r") == hi_i))
-    return pick.agg(
-        (F.max(F.when(F.col("_r") == lo_i, F.col("_v")))
-         + (F.first(pos) - F.first(lo_i)) * (F.max(F.when(F.col("_r") == hi_i, F.col("_v")))
-                                             - F.max(F.when(F.col("_r") == lo_i, F.col("_v"))))).alias("percentile"))
+    inside = lambda r_: (r_ >= F.col("_start")) & (r_ < F.col("_start") + F.col("_c"))
+    need = bc.filter(inside(lo_i) | inside(hi_i)).select("_b", "_start")  # at most two rows
+    vc = vb.join(F.broadcast(need), "_b").groupBy("_b", "_start", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    wv = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    vc = vc.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_k").over(wv), F.lit(0))).crossJoin(F.broadcast(mm))
+    at = lambda r_: (F.col("_first") <= r_) & (r_ < F.col("_first") + F.col("_k"))
+    return vc.agg(
+        (F.max(F.when(at(lo_i), F.col("_v")))
+         + (F.first(pos) - F.first(lo_i)) * (F.max(F.when(at(hi_i), F.col("_v")))
+                                             - F.max(F.when(at(lo_i), F.col("_v"))))).alias("percentile"))
 
 
 def softmax_argmax(scores: DataFrame, keys, cls: str, score: str) -> DataFrame:
