@@ -6,7 +6,7 @@ operators here never window over a whole series:
 
 * :func:`series_index` gives each row its 0-based position ``t`` inside its
   series.  Rows are cut into coarse buckets of the order key (default: one
-  calendar month for dates/timestamps); a small table of per-bucket counts
+  day for timestamps, one month for dates); a small table of per-bucket counts
   gives each bucket its start offset (prefix sum over buckets), and
   ``row_number`` runs inside (series, bucket) only.
 * :func:`halo` cuts each series into blocks of ``block`` consecutive rows and
@@ -47,7 +47,10 @@ def _null_safe_on(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
 
 def default_bucket(df: DataFrame, order: str) -> Column:
     dt = df.schema[order].dataType
-    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        # event-level timestamps: one bucket per series and day
+        return F.date_trunc("day", F.col(order))
+    if isinstance(dt, T.DateType):
         return F.date_trunc("month", F.col(order))
     return F.floor(F.col(order).cast("double") / F.lit(65536.0))
 
