@@ -156,10 +156,12 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     # the panel is an aggregate of a large scan with four consumers (index
     # counts, index rows, usable-series filter, download span): build it once
     p = materialize(p)
-    # skip series without any usable price
-    has = p.groupBy(keys).agg(F.count("close_used").alias("_n")).filter("_n > 0").select(keys)
-    p = p.join(has, keys, "left_semi")
-    span = p.agg(F.min(date).alias("_s"), F.max(date).alias("_e"))
+    # per-series facts once, in one small table: usable-price count (series
+    # without any are skipped) and date span (for the download span)
+    st = materialize(p.groupBy(keys).agg(F.count("close_used").alias("_n"), F.min(date).alias("_s0"),
+                                         F.max(date).alias("_e0")).filter("_n > 0"), "series-stats")
+    p = p.join(st.select(keys), keys, "left_semi")
+    span = st.agg(F.min("_s0").alias("_s"), F.max("_e0").alias("_e"))
     p = series_index(p, keys, date)
 
     reach_sig = ema_reach(MACD_SIGNAL)
