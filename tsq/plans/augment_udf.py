@@ -240,3 +240,59 @@ FROM f"""
 
 
 _OR["aug_magnitude_warp"] = _magwarp_sql()
+
+
+def _guided_sql(shape: bool) -> str:
+    """SQL twin of the guided warp: DTW(prototype, sample) rows (symmetric,
+    band ceil(L/10)), traceback, warped = sample[path], then np.interp onto
+    L points."""
+    from tsq.plans import similarity as sq
+    from tsq.plans.registry import r
+    band = "CAST(ceil(len(p.y) / 10.0) AS BIGINT)"
+    if shape:
+        pairs = f"""gp AS (SELECT sample_id AS a_id, proto AS x, pat AS y, label,
+            CAST(greatest(5, least(100, round_even(len(pat) * 0.05, 0))) AS BIGINT) AS n FROM gx),
+          gq AS (SELECT *, list_concat([x[1] FOR k IN range(0, CAST(ceil(n / 2.0) AS BIGINT))], x, [x[len(x)] FOR k IN range(0, n // 2)]) AS xp,
+                 list_concat([y[1] FOR k IN range(0, CAST(ceil(n / 2.0) AS BIGINT))], y, [y[len(y)] FOR k IN range(0, n // 2)]) AS yp,
+                 0 AS b_id FROM gp)"""
+        rel, cost = "gq", ("sqrt(list_sum([(p.xp[d.i + 1 + kk] - p.yp[j + kk]) * (p.xp[d.i + 1 + kk] - p.yp[j + kk]) "
+                            "FOR kk IN range(0, p.n)]))")
+        # shape DTW band is end-exclusive: |j - i| < w on the low side too
+        dtw = sq.dtw_sql("dg", rel, "symmetric", band, cost=cost)
+        dtw = dtw.replace("least(len(p.y), d.i + 1 + (", "least(len(p.y), d.i + (")
+    else:
+        pairs = "gq AS (SELECT sample_id AS a_id, 0 AS b_id, proto AS x, pat AS y, label FROM gx)"
+        rel, dtw = "gq", sq.dtw_sql("dg", "gq", "symmetric", band)
+    from tsq.plans.similarity import PARTNER_SEED
+    part = "CAST('partner' AS VARCHAR) || '|' || CAST({} AS VARCHAR)"
+    assert part.format(PARTNER_SEED) in sq.PAIRS_SQL
+    pairs_sql = sq.PAIRS_SQL.replace(part.format(PARTNER_SEED), part.format(SEED))
+    return f"""
+WITH RECURSIVE {pairs_sql},
+gx AS (SELECT pairs.a_id AS sample_id, pairs.y AS proto, pairs.x AS pat, e.label FROM pairs JOIN embeddings e ON e.vec_id = pairs.a_id),
+{pairs},
+{dtw},
+fin AS (SELECT a_id, b_id, len(x) AS P, len(y) AS S FROM {rel}),
+tb(a_id, b_id, n, i, j) AS (
+  SELECT a_id, b_id, 0, P, S FROM fin
+  UNION ALL
+  SELECT t.a_id, t.b_id, t.n + 1,
+         CASE WHEN c.k = 0 THEN t.i - 1 WHEN c.k = 1 THEN t.i - 1 ELSE t.i END,
+         CASE WHEN c.k = 0 THEN t.j - 1 WHEN c.k = 1 THEN t.j ELSE t.j - 1 END
+  FROM tb t JOIN dg r1 ON r1.a_id = t.a_id AND r1.b_id = t.b_id AND r1.i = t.i - 1
+       JOIN dg r0 ON r0.a_id = t.a_id AND r0.b_id = t.b_id AND r0.i = t.i,
+  LATERAL (SELECT CASE WHEN r1.row[t.j] <= r1.row[t.j + 1] AND r1.row[t.j] <= r0.row[t.j] THEN 0
+                       WHEN r1.row[t.j + 1] <= r0.row[t.j] THEN 1 ELSE 2 END AS k) c
+  WHERE t.i > 1 OR t.j > 1),
+wp AS (SELECT tb.a_id, list(q.y[tb.j] ORDER BY tb.n DESC) AS wp, any_value(q.label) AS label, any_value(len(q.y)) AS L
+       FROM tb JOIN {rel} q ON q.a_id = tb.a_id GROUP BY tb.a_id),
+f AS (SELECT *, len(wp) AS M, CAST(L - 1 AS DOUBLE) / CAST(len(wp) - 1 AS DOUBLE) AS gs FROM wp),
+g AS (SELECT a_id, label, L, M, gs, wp, unnest(range(0, L)) AS t FROM f),
+h AS (SELECT *, least(CAST(floor(t / gs) AS BIGINT), M - 2) AS jj FROM g)
+SELECT a_id AS sample_id, label, CAST(t AS INTEGER) AS t,
+       {r("CASE WHEN t = L - 1 THEN wp[M] ELSE wp[jj + 1] + (wp[jj + 2] - wp[jj + 1]) / (CASE WHEN jj + 1 = M - 1 THEN CAST(L - 1 AS DOUBLE) ELSE (jj + 1) * gs END - jj * gs) * (t - jj * gs) END")} AS value
+FROM h"""
+
+
+_OR["aug_guided_warp"] = _guided_sql(False)
+_OR["aug_guided_warp_shape"] = _guided_sql(True)
