@@ -296,3 +296,50 @@ FROM h"""
 
 _OR["aug_guided_warp"] = _guided_sql(False)
 _OR["aug_guided_warp_shape"] = _guided_sql(True)
+
+
+def _spawner_sql() -> str:
+    """SQL twin of SPAWNER: DTW paths of the two halves (split at the hashed
+    cut, band from the full length), mean along the joined path, resampled
+    to L points, then the hashed jitter (sigma 0.05)."""
+    from tsq.plans import similarity as sq
+    from tsq.plans.registry import r
+    from tsq.plans.similarity import PARTNER_SEED
+    part = "CAST('partner' AS VARCHAR) || '|' || CAST({} AS VARCHAR)"
+    pairs_sql = sq.PAIRS_SQL.replace(part.format(PARTNER_SEED), part.format(SEED))
+    u = rng.sql_uniform("sample_id", "'cut'", str(SEED))
+    jit = rng.sql_normal("sample_id", str(au.DIM), "t", "'jitter'", str(SEED), sd=0.05)
+    band = "CAST(ceil(p.Lf / 10.0) AS BIGINT)"
+    return f"""
+WITH RECURSIVE {pairs_sql},
+sx AS (SELECT pairs.a_id AS sample_id, pairs.x AS pat, pairs.y AS proto, e.label, len(pairs.x) AS Lf
+       FROM pairs JOIN embeddings e ON e.vec_id = pairs.a_id),
+sc AS (SELECT *, CAST(1 + floor({u} * (Lf - 2)) AS BIGINT) AS cut FROM sx),
+hv AS (SELECT sample_id AS a_id, 1 AS b_id, list_slice(pat, 1, cut) AS x, list_slice(proto, 1, cut) AS y, Lf, cut, 0 AS off FROM sc
+       UNION ALL
+       SELECT sample_id, 2, list_slice(pat, cut + 1, Lf), list_slice(proto, cut + 1, Lf), Lf, cut, cut FROM sc),
+{sq.dtw_sql('dh', 'hv', 'symmetric', band)},
+fin AS (SELECT a_id, b_id, len(x) AS P, len(y) AS S FROM hv),
+tb(a_id, b_id, n, i, j) AS (
+  SELECT a_id, b_id, 0, P, S FROM fin
+  UNION ALL
+  SELECT t.a_id, t.b_id, t.n + 1,
+         CASE WHEN c.k = 0 THEN t.i - 1 WHEN c.k = 1 THEN t.i - 1 ELSE t.i END,
+         CASE WHEN c.k = 0 THEN t.j - 1 WHEN c.k = 1 THEN t.j ELSE t.j - 1 END
+  FROM tb t JOIN dh r1 ON r1.a_id = t.a_id AND r1.b_id = t.b_id AND r1.i = t.i - 1
+       JOIN dh r0 ON r0.a_id = t.a_id AND r0.b_id = t.b_id AND r0.i = t.i,
+  LATERAL (SELECT CASE WHEN r1.row[t.j] <= r1.row[t.j + 1] AND r1.row[t.j] <= r0.row[t.j] THEN 0
+                       WHEN r1.row[t.j + 1] <= r0.row[t.j] THEN 1 ELSE 2 END AS k) c
+  WHERE t.i > 1 OR t.j > 1),
+mp AS (SELECT tb.a_id AS sample_id, list((s.pat[tb.i + h.off] + s.proto[tb.j + h.off]) / 2.0 ORDER BY tb.b_id, tb.n DESC) AS wp,
+              any_value(s.label) AS label, any_value(s.Lf) AS L
+       FROM tb JOIN hv h ON h.a_id = tb.a_id AND h.b_id = tb.b_id JOIN sc s ON s.sample_id = tb.a_id GROUP BY tb.a_id),
+f AS (SELECT *, len(wp) AS M, CAST(L - 1 AS DOUBLE) / CAST(len(wp) - 1 AS DOUBLE) AS gs FROM mp),
+g AS (SELECT sample_id, label, L, M, gs, wp, unnest(range(0, L)) AS t FROM f),
+h AS (SELECT *, least(CAST(floor(t / gs) AS BIGINT), M - 2) AS jj FROM g),
+v AS (SELECT sample_id, label, CAST(t AS INTEGER) AS t,
+        CASE WHEN t = L - 1 THEN wp[M] ELSE wp[jj + 1] + (wp[jj + 2] - wp[jj + 1]) / (CASE WHEN jj + 1 = M - 1 THEN CAST(L - 1 AS DOUBLE) ELSE (jj + 1) * gs END - jj * gs) * (t - jj * gs) END AS value FROM h)
+SELECT sample_id, label, t, {r(f'value + {jit}')} AS value FROM v"""
+
+
+_OR["aug_spawner"] = _spawner_sql()
