@@ -71,3 +71,13 @@ def test_partition_invariance(spark):
         res.append(sorted(map(tuple, q(spark, "/root/testdata/sf0.001").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert res[0] == res[1] == res[2]
+
+
+def test_series_index_with_ties_is_a_permutation(spark):
+    rows = [("a", 5 if i % 3 else 1, i) for i in range(300)] + [("b", 7, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "sid string, o long, v long")
+    out = series_index(df, "sid", "o", bucket=F.floor(F.col("o") / F.lit(2.0))).toPandas()
+    for sid, g in out.groupby("sid"):
+        assert sorted(g["t"]) == list(range(len(g)))
+        # order key respected: t sorted by o
+        assert list(g.sort_values("t")["o"]) == sorted(g["o"])
