@@ -81,3 +81,20 @@ def test_series_index_with_ties_is_a_permutation(spark):
         assert sorted(g["t"]) == list(range(len(g)))
         # order key respected: t sorted by o
         assert list(g.sort_values("t")["o"]) == sorted(g["o"])
+
+
+def test_ranged_index_matches_row_number(spark):
+    from tsq.operators.index import series_index_ranged
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("event_id", "user_id", "ts")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    got = series_index_ranged(e, "user_id", ["ts", "event_id"]).select("event_id", "t")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    exp = e.select("event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("t"))
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+    # one hot series still gets split over several range partitions
+    one = e.withColumn("user_id", F.lit(1))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    h = series_index_ranged(one, "user_id", ["ts", "event_id"])
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    ts = [r.t for r in h.select("t").collect()]
+    assert sorted(ts) == list(range(e.count()))

@@ -188,3 +188,29 @@ def running_sum(
     upper = 0 if inclusive else -1
     w = Window.partitionBy(*keys, "_ib").orderBy(*order).rowsBetween(Window.unboundedPreceding, upper)
     return j.withColumn(out, F.col("_off") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_ib", "_off")
+
+
+def series_index_ranged(df: DataFrame, keys: str | Sequence[str] | None, order: str | Sequence[str],
+                        out: str = "t") -> DataFrame:
+    """Row positions with no bucket choice: range-partition by (keys,
+    order) -- sampled bounds split even one hot series across tasks -- sort
+    inside partitions, and take positions from the file-ordered scan id.
+
+    The partitioned, id-tagged rows are materialised once so every consumer
+    sees the same ids; per (partition, series) first id and count form a
+    small table whose prefix sums over partitions give each run's offset.
+    ``order`` should be total (add a tie-breaker) for a unique order."""
+    from tsq.session import materialize
+    keys, order = _keys(keys), _keys(order)
+    d = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    d = materialize(d.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()),
+                    "ranged-index")
+    g = d.groupBy("_pid", *keys).agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_pid").alias("_p2"), "_m0",
+                 F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    cond = F.col("_pid") == F.col("_p2")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    j = d.join(g, cond).withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0"))
+    return j.drop("_pid", "_mid", "_p2", "_m0", "_off", *[f"_k_{k}" for k in keys])
