@@ -68,3 +68,34 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tsq`` importable in the Python workers (UDFs pickle functions
+    by module): zip the package once per application and ``addPyFile`` it;
+    Spark copies it to every executor."""
+    import zipfile
+
+    import tsq
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(tsq.__file__)))
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    folder = os.path.join(local, "tsq-pkg") if "://" not in local else tempfile.mkdtemp(prefix="tsq-pkg-")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"tsq-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "tsq")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
