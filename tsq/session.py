@@ -33,15 +33,17 @@ def local_session(cores: int | str = "*", app: str = "tsq", **conf: str) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set one only if unset.
+    """Return the cluster's ``spark.checkpoint.dir``.
 
     On a cluster this must be a shared folder (HDFS/S3/...) named by the
-    deployment.  Only when nothing is configured (tests, local runs) do we
-    create a folder of our own.
+    deployment: without one, this raises an error.  Only a local master
+    (tests, one machine) gets a folder of its own.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tsq-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
@@ -49,12 +51,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
+def _scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables."""
     base = ensure_checkpoint_dir(spark)
     if base.startswith("file:"):
         base = base[len("file:"):]
-    return os.path.join(base, "tsq-tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(base, "tsq-tables", spark.sparkContext.applicationId)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder for written tables."""
+    return os.path.join(_scratch_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables that this application has written so far.
+    Results not yet written elsewhere read them: call it after that."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df, name: str = "stage"):
