@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsq.llm import dac, packing
+from tsq.llm import dac, fingerprint, packing
 from tsq.llm.base import table
 from tsq.session import scratch_path
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     dac.write_ids(table(spark, sf_dir, "documents"), path)
@@ -24,6 +28,7 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
+    "op1_multiset_fingerprints": op1_multiset_fingerprints,
     "op5_token_files": op5_token_files,
     "op8_curve_packing": op8_curve_packing,
 }
