@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsq.llm import dac, fingerprint, packing
+from tsq.llm import dac, decontam, fingerprint, licenses, packing
 from tsq.llm.base import table
 from tsq.session import scratch_path
 
@@ -17,6 +17,14 @@ def op1_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     dac.write_ids(table(spark, sf_dir, "documents"), path)
@@ -29,6 +37,8 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {
     "op1_multiset_fingerprints": op1_multiset_fingerprints,
+    "op2_benchmark_leaks": op2_benchmark_leaks,
+    "op3_license_notices": op3_license_notices,
     "op5_token_files": op5_token_files,
     "op8_curve_packing": op8_curve_packing,
 }
