@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsq.llm import dac, decontam, fingerprint, licenses, packing
+from tsq.llm import dac, decontam, fingerprint, langid, licenses, packing, quality
 from tsq.llm.base import table
 from tsq.session import scratch_path
 
@@ -25,6 +25,10 @@ def op3_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(table(spark, sf_dir, "documents"))
 
 
+def op4_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     dac.write_ids(table(spark, sf_dir, "documents"), path)
@@ -35,12 +39,18 @@ def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_multiset_fingerprints": op1_multiset_fingerprints,
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_license_notices": op3_license_notices,
+    "op4_line_field_quality": op4_line_field_quality,
     "op5_token_files": op5_token_files,
     "op8_curve_packing": op8_curve_packing,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
