@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsq.llm import dac, decontam, fingerprint, langid, licenses, packing, quality
+from tsq.llm import dac, decontam, fingerprint, jaccard, langid, licenses, packing, quality
 from tsq.llm.base import table
 from tsq.session import scratch_path
 
@@ -35,6 +35,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(spark, path)
 
 
+def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("class")
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -49,8 +53,37 @@ QUERIES: dict[str, QueryFn] = {
     "op3_license_notices": op3_license_notices,
     "op4_line_field_quality": op4_line_field_quality,
     "op5_token_files": op5_token_files,
+    "op6_jaccard_forest": op6_jaccard_forest,
     "op8_curve_packing": op8_curve_packing,
     "op9_language_id": op9_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+# Every pair of documents that shares a shingle of five words; copies are pairs like others.
+_JACCARD_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b, k = x.n AND k = y.n AS same
+  FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * k >= 4 * (x.n + y.n)),
+r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.root),
+class AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+copy AS (
+  SELECT d.doc_id, least(d.doc_id, coalesce(min(l.b), d.doc_id)) AS first, 1 + count(l.b) AS copies
+  FROM documents d LEFT JOIN l ON l.a = d.doc_id AND l.same GROUP BY d.doc_id)
+SELECT class.doc_id, class.class_id, count(l.b) AS n_links,
+       count(DISTINCT CASE WHEN NOT l.same THEN other.first END) AS n_text_links, copy.copies
+FROM class JOIN copy ON copy.doc_id = class.doc_id LEFT JOIN l ON l.a = class.doc_id LEFT JOIN copy other ON other.doc_id = l.b
+GROUP BY class.doc_id, class.class_id, copy.copies
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_jaccard_forest": _JACCARD_SQL,
+}
