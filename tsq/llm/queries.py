@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsq.llm import dac, decontam, fingerprint, jaccard, langid, licenses, packing, quality
+from tsq.llm import chat, dac, decontam, fingerprint, jaccard, langid, licenses, packing, quality, urls
 from tsq.llm.base import table
 from tsq.session import scratch_path
 
@@ -39,6 +39,10 @@ def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("class")
 
 
+def op7_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+#: The conversation that the query adds: control strings as text.
+_TRIAL = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op10_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    path = scratch_path(spark, "chats")
+    chat.write_chats(turns.unionByName(spark.createDataFrame(_TRIAL, "conv_id long, turn long, role string, text string")), path)
+    return chat.read_chats(spark, path)
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_multiset_fingerprints": op1_multiset_fingerprints,
     "op2_benchmark_leaks": op2_benchmark_leaks,
@@ -54,8 +69,10 @@ QUERIES: dict[str, QueryFn] = {
     "op4_line_field_quality": op4_line_field_quality,
     "op5_token_files": op5_token_files,
     "op6_jaccard_forest": op6_jaccard_forest,
+    "op7_url_ratio": op7_url_ratio,
     "op8_curve_packing": op8_curve_packing,
     "op9_language_id": op9_language_id,
+    "op10_chat_tokens": op10_chat_tokens,
 }
 
 # Every pair of documents that shares a shingle of five words; copies are pairs like others.
@@ -84,6 +101,67 @@ FROM class JOIN copy ON copy.doc_id = class.doc_id LEFT JOIN l ON l.a = class.do
 GROUP BY class.doc_id, class.class_id, copy.copies
 """
 
+_CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, length(regexp_replace(t, '([<\[])(\\*)(/?s>|/?(INST|SYS|ROLE)\])', '\1\2\\\3', 'g')) AS said,
+         CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 7 WHEN 'system' THEN 14
+              ELSE 20 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?(INST|SYS|ROLE)\])', '\1\2\\\3', 'g')) END AS marks
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(said + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def _url_sql() -> str:
+    """The rules, the two models level by level, and the threshold."""
+    order = urls.ORDER
+    fit = lambda r: f"((host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}'))"
+    by_length = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda value: "CASE " + " ".join(f"WHEN {fit(r)} THEN '{value(r)}'" for r in by_length) + " END"
+    sql = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+part AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+p AS (SELECT *, {case(lambda r: r[1] + r[2])} AS rule, {case(lambda r: r[0])} AS said FROM part),
+d AS (SELECT DISTINCT host, path, said, repeat(chr(2), {order}) || host || path || chr(3) AS t FROM p),
+spot AS (SELECT host, path, said, substr(t, i, {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(t) - {order} + 1)) AS i FROM d)),
+gram AS (SELECT gram, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS b FROM spot GROUP BY gram)"""
+    base = repr(1.0 / urls.ALPHABET)
+    for k in range(order + 1):
+        def prob(x: str, below: str, less: int) -> str:
+            low = f"w.{below}" if k else f"CAST({base} AS DOUBLE)"
+            t = f"(c.t{x} - CASE WHEN l.{x} = 1 THEN {less} ELSE 0 END)"
+            return (f"CASE WHEN c.c{x} - {less} > 0 AND l.{x} - {less} >= 0 THEN (l.{x} - {less} + {t} * {low}) / (c.c{x} - {less} + {t}) "
+                    f"ELSE {low} END")
+        sql += f""",
+l{k} AS (SELECT right(gram, {k + 1}) AS g, left(right(gram, {k + 1}), {k}) AS ctx, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM gram GROUP BY ALL),
+c{k} AS (SELECT ctx, sum(a) AS ca, sum(b) AS cb, count(*) FILTER (WHERE a > 0) AS ta, count(*) FILTER (WHERE b > 0) AS tb FROM l{k} GROUP BY ctx),
+p{k} AS (SELECT l.g, {prob('a', 'pa', 0)} AS pa, {prob('b', 'pb', 0)} AS pb, {prob('a', 'la', 1)} AS la, {prob('b', 'lb', 1)} AS lb
+  FROM l{k} l JOIN c{k} c ON c.ctx = l.ctx{f' JOIN p{k - 1} w ON w.g = right(l.g, {k})' if k else ''})"""
+    return sql + f""",
+s AS (
+  SELECT host, path, said, avg(CASE said WHEN 'allow' THEN ln(la) - ln(pb) WHEN 'block' THEN ln(pa) - ln(lb) ELSE ln(pa) - ln(pb) END) AS score
+  FROM spot JOIN p{order} ON g = gram GROUP BY host, path, said),
+m AS (
+  SELECT avg(score) FILTER (WHERE said = 'allow') AS ma, avg(score) FILTER (WHERE said = 'block') AS mb,
+         stddev_pop(score) FILTER (WHERE said = 'allow') + 1e-6 AS sa, stddev_pop(score) FILTER (WHERE said = 'block') + 1e-6 AS sb FROM s)
+SELECT page_id, p.host, p.path, p.rule,
+       coalesce(p.said, CASE WHEN round(score - (ma * sb + mb * sa) / (sa + sb), 9) < 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p CROSS JOIN m LEFT JOIN s ON s.host = p.host AND s.path = p.path
+"""
+
+
 ORACLES: dict[str, str] = {
     "op6_jaccard_forest": _JACCARD_SQL,
+    "op7_url_ratio": _url_sql(),
+    "op10_chat_tokens": _CHAT_SQL,
 }
