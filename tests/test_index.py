@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsq.operators import features as fe
+from tsq.operators.recurrence import Smooth, smoothed
 from tsq.operators.index import fill_backward, fill_forward, series_index
 
 
@@ -43,8 +44,7 @@ def test_halo_blocks_equal_whole_series(spark):
 
 def test_ema_matches_pandas(spark):
     df = series_index(_series(spark, n=900), "sid", "ts")
-    back = fe.ema_reach(26)
-    out = fe.with_features(df, "sid", "t", lambda w: [fe.ema("x", w, "t", 26).alias("e")], back=back, block=300)
+    out = smoothed(df, "sid", "t", [Smooth("x", fe.ema_alpha(26), "e")], block=300)
     got = out.toPandas().sort_values(["sid", "t"])
     for sid, g in got.groupby("sid"):
         exp = g["x"].ewm(span=26, adjust=False).mean()

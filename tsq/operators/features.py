@@ -18,7 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsq.operators.index import block_window, core_rows, halo, series_index
+from tsq.operators.index import block_window, core_rows, fill_forward, halo, series_index
+from tsq.operators.recurrence import Smooth, smoothed
 from tsq.session import materialize
 
 # Fixed values of the reference's feature table
@@ -39,12 +40,6 @@ PANEL_HEADER = [
 STOCK_COLUMNS = ["ticker", "open", "high", "low", "close", "adj_close", "close_used",
                  "volume", "log_return", "pct_change"]
 
-# EMA kernels are cut where the weight falls below e^-EMA_CUT (< 1e-17 of
-# the newest weight: below double precision of the result).
-EMA_CUT = 40.0
-# exponent headroom for the block-relative weights (e^700 < max double)
-EMA_EXP_LIMIT = 680.0
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -73,16 +68,11 @@ def first_diff(x, w) -> Column:
     return x - F.lag(x, 1).over(w)
 
 
-def pct_change(x, w) -> Column:
-    """x_t / x_{t-1} - 1 on the forward-filled series (pandas 1.5 pads
-    nulls first).  The fill runs from the start of the window partition (a
-    growing frame, O(1) per row); on halo blocks it reaches at least the
-    halo width back, run :func:`tsq.operators.index.fill_forward` first
-    for gaps longer than that."""
-    x = _c(x)
-    filled_now = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    filled_prev = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return F.try_divide(filled_now, filled_prev) - F.lit(1.0)
+def pct_change(filled, w) -> Column:
+    """x_t / x_{t-1} - 1 of a series without inner gaps: fill nulls with
+    :func:`tsq.operators.index.fill_forward` first (pandas 1.5 pads them)."""
+    filled = _c(filled)
+    return F.try_divide(filled, F.lag(filled, 1).over(w)) - F.lit(1.0)
 
 
 def rsi_from_delta(delta, w, period: int = RSI_PERIOD) -> Column:
@@ -103,37 +93,6 @@ def ema_alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
-def ema_reach(span: float) -> int:
-    """Rows back after which an EMA weight is negligible (e^-EMA_CUT)."""
-    return int(math.ceil(EMA_CUT / -math.log(1.0 - ema_alpha(span))))
-
-
-def ema_max_partition(span: float) -> int:
-    """Largest block+halo length for which the block-relative weights fit."""
-    return int(EMA_EXP_LIMIT / -math.log(1.0 - ema_alpha(span)))
-
-
-def ema(x, w, t: str, span: float) -> Column:
-    """EMA with ``adjust=False`` (y_0 = x_0, y = (1-a)y + a x) as a window sum.
-
-    y_t = a * sum_{i<=t} r^(t-i) x_i with r = 1-a, the series' first row
-    weighted r^t instead of a r^t.  Inside a block the weights are written
-    r^(t-t0) * r^-(i-t0) (t0 = first row of the block incl. its halo) so the
-    sum is a running window sum; the block halo must reach ``ema_reach``
-    rows and block+halo must stay under ``ema_max_partition``.  Null inputs
-    contribute nothing (weights still decay by position).
-    """
-    a = ema_alpha(span)
-    r = 1.0 - a
-    x = _c(x)
-    tc = F.col(t)
-    t0 = F.min(tc).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first_w = F.when(tc == 0, F.lit(1.0 / a)).otherwise(F.lit(1.0))
-    term = x * F.pow(F.lit(r), -(tc - t0)) * first_w
-    s = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.lit(a) * F.pow(F.lit(r), tc - t0) * s
-
-
 def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
                    price: str = "close", adj_price: str | None = "adj_close",
                    block: int | None = None) -> DataFrame:
@@ -146,8 +105,10 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     macd/macd_signal/macd_hist, Bollinger (20, 2), annualised 20-row
     volatility; plus the fixed header columns (Month, date as text, the
     download span start/end, null placeholders).
-    Plan: a row index per series, one halo explode, two window passes over
-    the same (ticker, block) partitioning (the second for the EMA of MACD).
+    Plan: a row index per series; prices filled forward and smoothed
+    (MACD's two averages, then the one of their difference) by block carries;
+    one halo explode and two window passes over one (ticker, block)
+    partitioning for everything else.
     """
     cu = F.coalesce(F.col(adj_price), F.col(price)) if adj_price and adj_price in panel.columns else F.col(price)
     p = panel.withColumn("close_used", cu.cast("double"))
@@ -164,17 +125,20 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     span = st.agg(F.min("_s0").alias("_s"), F.max("_e0").alias("_e"))
     p = series_index(p, keys, date)
 
-    reach_sig = ema_reach(MACD_SIGNAL)
-    back = ema_reach(MACD_SLOW) + reach_sig + 8
-    limit = min(ema_max_partition(s) for s in (MACD_FAST, MACD_SLOW, MACD_SIGNAL))
+    p = fill_forward(p.withColumn("_filled", F.col("close_used")), keys, "t", ["_filled"])
+    p = smoothed(p, keys, "t", [Smooth("close_used", ema_alpha(MACD_FAST), "_fast"), Smooth("close_used", ema_alpha(MACD_SLOW), "_slow")])
+    p = smoothed(p.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow"), keys, "t",
+                 [Smooth("macd", ema_alpha(MACD_SIGNAL), "macd_signal")])
+    p = materialize(p, "panel-smoothed")
+    back = PRIOR_HISTORY_WINDOW + 2
     if block is None:
-        block = max(back, min(4096, limit - back))
+        block = 4096
     h = halo(p, "t", back=back, block=block)
     w = block_window(keys, "t")
     c = F.col("close_used")
     h = h.withColumn("log_return", log_return(c, w))
     cols = [
-        pct_change(c, w).alias("pct_change"),
+        pct_change("_filled", w).alias("pct_change"),
         (c - F.lag(c, 1).over(w)).alias("_delta"),
     ]
     lr = F.col("log_return")
@@ -188,7 +152,6 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     cols += [trailing_mean(lr, PRIOR_HISTORY_WINDOW, w).alias("prior_history_avg"),
              trailing_std(lr, PRIOR_HISTORY_WINDOW, w).alias("prior_history_std")]
     cols += [trailing_mean(c, s, w).alias(f"sma_{s}") for s in SMA_SPANS]
-    cols += [(ema(c, w, "t", MACD_FAST) - ema(c, w, "t", MACD_SLOW)).alias("macd")]
     cols += [trailing_mean(c, BOLLINGER_WINDOW, w).alias("bb_sma20"),
              trailing_std(c, BOLLINGER_WINDOW, w).alias("bb_std20"),
              (trailing_std(lr, BOLLINGER_WINDOW, w) * F.lit(math.sqrt(TRADING_DAYS))).alias("volatility_20_ann")]
@@ -196,8 +159,7 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     h = h.select(
         "*",
         rsi_from_delta("_delta", w).alias("rsi_14"),
-        ema("macd", w, "t", MACD_SIGNAL).alias("macd_signal"),
-    ).drop("_delta")
+    ).drop("_delta", "_filled")
     out = core_rows(h)
     out = out.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")) \
         .withColumn("bb_upper", F.col("bb_sma20") + F.lit(float(BOLLINGER_K)) * F.col("bb_std20")) \

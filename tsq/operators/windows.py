@@ -17,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsq.operators.features import ema_max_partition
 from tsq.operators.index import _keys, block_window, core_rows, fill_forward, halo, series_index
+from tsq.operators.recurrence import Smooth, smoothed
 
 
 def with_count(df: DataFrame, keys, out: str = "_n") -> DataFrame:
@@ -167,29 +167,12 @@ def smoothing(df: DataFrame, keys, t: str, x: str, alpha: float, init: str | flo
     s_{-1} = ``init`` (a column, a constant, or None for s_0 = x_0), i.e.
     s_t = alpha^(t+1) v0 + sum_i (1-alpha) alpha^(t-i) x_i.
 
-    Same block-relative window sum as :func:`tsq.operators.features.ema`;
-    the halo reaches the rows whose weight exceeds e^-40.
+    Exact for any length and alpha (:mod:`tsq.operators.recurrence`); a null
+    x keeps the level and makes the next value weigh more, as there.
     """
-    a = 1.0 - alpha
-    reach = int(math.ceil(40.0 / -math.log(alpha)))
-    span = 2.0 / a - 1.0
-    limit = ema_max_partition(span)
-    block = max(reach, min(8192, limit - reach))
-    if block + reach > limit:
-        raise ValueError("smoothing factor too close to 1 for block sums")
-    h = halo(df, t, back=reach, block=block)
-    w = block_window(keys, t)
-    tc = F.col(t)
-    xc = F.col(x)
-    if init is None:
-        x0 = xc / F.lit(a)
-    else:
-        v0 = F.col(init) if isinstance(init, str) else F.lit(float(init))
-        x0 = xc + F.lit(alpha) * v0 / F.lit(a)
-    t0 = F.min(tc).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    term = F.when(tc == 0, x0).otherwise(xc) * F.pow(F.lit(alpha), -(tc - t0))
-    s = F.sum(term).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return core_rows(h.withColumn(out, F.lit(a) * F.pow(F.lit(alpha), tc - t0) * s))
+    start = None if init is None else "_init"
+    d = df if init is None else df.withColumn("_init", F.col(init) if isinstance(init, str) else F.lit(float(init)))
+    return smoothed(d, keys, t, [Smooth(x, 1.0 - alpha, out, start)]).drop("_init")
 
 
 def point_adjust(df: DataFrame, keys, t: str, gt: str = "gt", pred: str = "pred", out: str = "pred_adj") -> DataFrame:
@@ -197,7 +180,8 @@ def point_adjust(df: DataFrame, keys, t: str, gt: str = "gt", pred: str = "pred"
 
     Segments (gaps and islands of gt=1) get the position of their first row
     as id, carried forward with the exact block-carry fill; the segment's
-    max(pred) is a grouped aggregate joined back.
+    max(pred) is a grouped aggregate joined to the rows of segments alone
+    (the other rows have no segment and would all meet under a null key).
     """
     keys = _keys(keys)
     # start-of-segment flag via a halo of one row (no whole-series window)
@@ -205,11 +189,12 @@ def point_adjust(df: DataFrame, keys, t: str, gt: str = "gt", pred: str = "pred"
     w = block_window(keys, t)
     h = h.withColumn("_start", F.when((F.col(gt) == 1) & (F.coalesce(F.lag(gt, 1).over(w), F.lit(0)) == 0), F.col(t)))
     d = core_rows(h)
-    d = fill_forward(d, keys, t, ["_start"])
-    d = d.withColumn("_seg", F.when(F.col(gt) == 1, F.col("_start")))
-    seg = d.filter(F.col("_seg").isNotNull()).groupBy(*keys, "_seg").agg(F.max(pred).alias("_hit"))
-    d = d.join(seg, [*keys, "_seg"], "left")
-    return d.withColumn(out, F.when(F.col("_hit") == 1, F.lit(1)).otherwise(F.col(pred))).drop("_start", "_seg", "_hit")
+    inside = fill_forward(d, keys, t, ["_start"]).filter(F.col(gt) == 1).withColumnRenamed("_start", "_seg")
+    seg = inside.groupBy(*keys, "_seg").agg(F.max(pred).alias("_hit"))
+    inside = inside.join(seg, [*keys, "_seg"]).withColumn(out, F.when(F.col("_hit") == 1, F.lit(1)).otherwise(F.col(pred)))
+    outside = d.filter(F.coalesce(F.col(gt) != 1, F.lit(True))).withColumn(out, F.col(pred))
+    cols = [*df.columns, out]
+    return inside.select(*cols).unionByName(outside.select(*cols))
 
 
 def lookback_profile(df: DataFrame, keys, t: str, x: str, length: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tsq.operators import features as fe
 from tsq.operators import windows as wo
 from tsq.operators.index import series_index
+from tsq.operators.recurrence import Smooth, smoothed
 from tsq.plans import sqlparts as S
 from tsq.plans.features import PRICE_COLS, _stock, _stock_sql
 from tsq.plans.registry import dbl, query, r, rounded
@@ -84,10 +85,7 @@ FROM p JOIN e ON p.ticker = e.ticker AND p.t = e.t
 """)
 def q_ema(spark, sf):
     p = indexed_panel(spark, sf)
-    back = fe.ema_reach(26)
-    res = fe.with_features(p, "ticker", "t", lambda w: [fe.ema("close", w, "t", 12).alias("ema_12"),
-                                                       fe.ema("close", w, "t", 26).alias("ema_26")],
-                           back=back, block=min(fe.ema_max_partition(12) - back, 4096))
+    res = smoothed(p, "ticker", "t", [Smooth("close", fe.ema_alpha(n), f"ema_{n}") for n in (12, 26)])
     return rounded(res.select("ticker", "date", "ema_12", "ema_26"), 4)
 
 
