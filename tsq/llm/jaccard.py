@@ -304,7 +304,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
               .withColumn("root", F.coalesce("root", "class")))
     least = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
     linked = linked.join(least, "root").select("class", "texts", "docs", "class_id")
-    per_class = members.select("class", "rep", "copies").join(linked, "class", "left")
+    # written, so that the last join is a plain one of two shuffles, which AQE can split at a hot class
+    per_class = stored(members.select("class", "rep", "copies").join(linked, "class", "left"), "jaccard-found")
     return (signed.select("doc_id", "class").join(per_class, "class", "left")
             .select("doc_id",
                     F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.coalesce("class_id", "rep")).alias("class_id"),
