@@ -19,13 +19,18 @@ SESSION_GAP = "30 minutes"
 ANOM_Q = 0.99
 
 
+def _delay(spark, sf):
+    """Watermark at which the files as they lie have no late row."""
+    return st.disorder(spark, st.table_path(sf, "events"))
+
+
 @query("st_tumbling", f"""
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type,
        count(*) AS n, {r('sum(value)')} AS value_sum FROM events GROUP BY 1, 2, 3
 """)
 def q_st_tumbling(spark, sf):
     """Hourly tumbling windows per event type (watermark 2 hours)."""
-    s = st.windowed_counts(st.event_stream(spark, sf), "1 hour")
+    s = st.windowed_counts(st.event_stream(spark, sf), "1 hour", watermark=_delay(spark, sf))
     path = st.run_to_table(spark, st.flatten_window(s), "st_tumbling")
     return rounded(st.latest(spark, path, ["window_start", "window_end", "event_type"]))
 
@@ -38,7 +43,7 @@ FROM k GROUP BY 1, 2, 3
 """)
 def q_st_sliding(spark, sf):
     """Two-hour windows sliding by one hour per event type."""
-    s = st.windowed_counts(st.event_stream(spark, sf), "2 hours", "1 hour")
+    s = st.windowed_counts(st.event_stream(spark, sf), "2 hours", "1 hour", watermark=_delay(spark, sf))
     path = st.run_to_table(spark, st.flatten_window(s), "st_sliding")
     return rounded(st.latest(spark, path, ["window_start", "window_end", "event_type"]))
 
@@ -51,18 +56,18 @@ SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, user
 FROM s GROUP BY user_id, sid
 """)
 def q_st_session(spark, sf):
-    """Per-user sessions with a 30-minute inactivity gap.  Session windows
-    allow append (emits a session once the watermark closes it) or complete
-    output; complete mode is used so the drained stream has every session
-    (append would hold back the still-open sessions of a finite input)."""
-    s = st.session_counts(st.event_stream(spark, sf), SESSION_GAP)
-    path = st.run_to_table(spark, st.flatten_window(s), "st_session", mode="complete")
+    """Per-user sessions with a 30-minute inactivity gap, emitted once the
+    watermark closes them (append mode; state bounded by the watermark)."""
+    delay = _delay(spark, sf)
+    build = st.Rebuild(st.event_stream(spark, sf), lambda e: st.flatten_window(st.session_counts(e, SESSION_GAP, delay)))
+    path = st.run_to_table(spark, None, "st_session", mode="append", rebuild=build)
     return rounded(st.latest(spark, path, ["window_start", "window_end", "user_id"]))
 
 
 def _rolling(spark, sf):
-    s = st.rolling_state(st.event_stream(spark, sf), ROLL_W, EMA_SPAN)
-    path = st.run_to_table(spark, s, "st_rolling", mode="append")
+    delay = _delay(spark, sf)
+    build = st.Rebuild(st.event_stream(spark, sf), lambda e: st.rolling_state(e, ROLL_W, EMA_SPAN, delay))
+    path = st.run_to_table(spark, None, "st_rolling", mode="append", rebuild=build)
     return st.latest(spark, path, ["event_id"])
 
 
@@ -117,6 +122,6 @@ SELECT DISTINCT user_id, event_type, date_trunc('minute', ts) AS minute FROM eve
 """)
 def q_st_dedup(spark, sf):
     """Duplicate (user, type, minute) events within the watermark dropped."""
-    s = st.dedup_keys(st.event_stream(spark, sf))
+    s = st.dedup_keys(st.event_stream(spark, sf), _delay(spark, sf))
     path = st.run_to_table(spark, s, "st_dedup", mode="append")
     return st.latest(spark, path, ["user_id", "event_type", "minute"])

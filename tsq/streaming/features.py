@@ -6,15 +6,17 @@ folder under the shared checkpoint folder (never a driver-side memory
 sink).  Aggregations run in update mode: each micro-batch appends its
 updated rows tagged with the batch id, and :func:`latest` keeps the last
 version per key (an upsert without a table format).  State is bounded by
-the watermark (windows) or by a fixed-size per-key state (rolling, EMA).
+the watermark everywhere; sessions and per-key state emit in append mode, and
+a finite input is closed by a last row far in the future.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,36 +24,85 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tsq.session import scratch_path
 
 
-def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", max_files: int = 1) -> DataFrame:
-    """File stream of one input table (schema from the table itself)."""
-    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+#: Files of a micro-batch, at most.
+FILES_PER_BATCH = 64
+#: Event time of the row that ends a finite input: later than all others (pandas ends in 2262).
+END_OF_INPUT = "2250-01-01 00:00:00"
+
+
+def table_path(sf_dir: str, table: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{table}.parquet"
+
+
+def disorder(spark: SparkSession, path: str, ts: str = "ts") -> str:
+    """The watermark delay at which no row of a stored table is late when its
+    files are read in the order of their modification, plus an hour: the most
+    that a file begins before the end of the files ahead of it.  One row per
+    file is compared."""
+    files = (spark.read.parquet(path).groupBy(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"))
+             .agg(F.min(F.col(ts).cast("timestamp")).alias("lo"), F.max(F.col(ts).cast("timestamp")).alias("hi")))
+    # files of one micro-batch come together, so any file may be the last one before
+    ahead = F.max("hi").over(Window.orderBy("at", "file").rowsBetween(Window.unboundedPreceding, -1))
+    row = files.select((F.unix_micros(ahead) - F.unix_micros("lo")).alias("back")).agg(F.max("back").alias("back")).first()
+    return f"{max(row['back'] or 0, 0) // 1_000_000 + 3600} seconds"
+
+
+def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", max_files: int | None = None) -> DataFrame:
+    """File stream of one stored table, a single file or a folder of part files."""
+    path = table_path(sf_dir, table)
     schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir.rstrip("/")))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files or FILES_PER_BATCH).parquet(path)
 
 
-def run_to_table(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "update") -> str:
-    """Drain the stream (availableNow) into a folder; returns its path."""
+def run_to_table(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "update", rebuild=None) -> str:
+    """Drain the stream (availableNow) into a folder; returns its path.
+
+    ``rebuild`` makes the same query over the events and a second stream
+    (given to it), for operators that hold rows back until the watermark
+    passes: once the input is drained, one row at END_OF_INPUT goes into that
+    second stream and the query goes on from its checkpoint, which closes
+    everything that is open."""
     out = scratch_path(spark, name)
     ckpt = scratch_path(spark, name + "-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
 
-    q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(sink).trigger(availableNow=True).start())
-    q.awaitTermination()
+    def drain(df: DataFrame) -> None:
+        (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+         .foreachBatch(sink).trigger(availableNow=True).start().awaitTermination())
+
+    if rebuild is not None:
+        ends = scratch_path(spark, name + "-end")
+        schema = rebuild.schema
+        row = [F.lit(END_OF_INPUT).cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        end = spark.range(1).select(*row)
+        end.limit(0).write.parquet(ends)
+        sdf = rebuild(spark.readStream.schema(schema).parquet(ends))
+    # the table exists even if no batch has rows
+    spark.createDataFrame([], sdf.schema).withColumn("_batch", F.lit(0)).write.mode("append").parquet(out)
+    drain(sdf)
+    if rebuild is not None:
+        end.write.mode("append").parquet(ends)
+        drain(rebuild(spark.readStream.schema(schema).parquet(ends)))
     return out
 
 
-def latest(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+class Rebuild:
+    """``build`` over the events of a table and the stream that ends them."""
+
+    def __init__(self, events: DataFrame, build):
+        self.events, self.build, self.schema = events, build, events.schema
+
+    def __call__(self, ends: DataFrame) -> DataFrame:
+        return self.build(self.events.unionByName(ends))
+
+
+def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Last written version of every key across micro-batches."""
-    try:
-        d = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - empty stream: no batch was written
-        return spark.createDataFrame([], schema) if schema is not None else None
+    d = spark.read.parquet(path)
     cols = [c for c in d.columns if c not in (*keys, "_batch")]
-    g = d.groupBy(*keys).agg(F.max_by(F.struct(*cols), "_batch").alias("_v"))
+    g = d.groupBy(*keys).agg(F.max_by(F.struct(*cols, F.lit(0).alias("_one")), "_batch").alias("_v"))
     return g.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
@@ -83,34 +134,43 @@ ROLL_OUT = T.StructType([
 ])
 ROLL_STATE = T.StructType([
     T.StructField("last", T.ArrayType(T.DoubleType())), T.StructField("ema", T.DoubleType()),
+    T.StructField("ts", T.ArrayType(T.LongType())), T.StructField("event_id", T.ArrayType(T.LongType())),
+    T.StructField("value", T.ArrayType(T.DoubleType())),
 ])
 
 
-def rolling_state(events: DataFrame, window: int, span: float) -> DataFrame:
+def rolling_state(events: DataFrame, window: int, span: float, watermark: str = "2 hours") -> DataFrame:
     """Per series (user) in event order: mean of the previous ``window``
-    values and EMA (adjust=False) carried in a fixed-size state (last
-    ``window`` values and the EMA), so state never grows with the stream."""
+    values and EMA (adjust=False).
+
+    Rows wait in the state until the watermark has passed them, so they are
+    taken in event order whatever order they come in; the state holds the last
+    ``window`` values, the EMA and the rows of the watermark delay.  Rows later
+    than the watermark are dropped."""
     alpha = 2.0 / (span + 1.0)
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ema = ([], None)
-        if state.exists:
-            st = state.get
-            last, ema = list(st[0] or []), st[1]
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            rm, em = [], []
-            for v in pdf["value"].to_numpy(dtype=float).tolist():
-                rm.append(float(sum(last) / len(last)) if last else None)
-                ema = v if ema is None else (1.0 - alpha) * ema + alpha * v
-                em.append(ema)
-                last = (last + [v])[-window:]
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(),
-                                "value": pdf["value"].to_numpy(dtype=float), "roll_mean": rm, "ema": em})
-        state.update(([float(v) for v in last], None if ema is None else float(ema)))
-
-    return events.groupBy("user_id").applyInPandasWithState(
-        step, ROLL_OUT, ROLL_STATE, "append", GroupStateTimeout.NoTimeout)
+        last, ema, ts, ids, values = state.get if state.exists else ([], None, [], [], [])
+        waiting = [pd.DataFrame({"ts": np.array(ts, np.int64), "event_id": np.array(ids, np.int64), "value": np.array(values, float)})]
+        if not state.hasTimedOut:
+            waiting += [pd.DataFrame({"ts": p["ts"].astype("datetime64[us]").astype(np.int64), "event_id": p["event_id"].fillna(-1).astype(np.int64),
+                                      "value": p["value"].astype(float)}) for p in pdfs]
+        rows = pd.concat(waiting).sort_values(["ts", "event_id"], kind="stable")
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready, rest = rows[rows["ts"] <= passed], rows[rows["ts"] > passed]
+        if len(ready):
+            x = ready["value"].to_numpy()
+            known = pd.Series(np.append(np.array(last, float), x))
+            before = known.rolling(window, min_periods=1).mean().shift().to_numpy()[len(last):]
+            path = pd.Series(np.append([np.nan if ema is None else ema], x)).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+            yield pd.DataFrame({"event_id": ready["event_id"].to_numpy(), "user_id": key[0], "value": x, "roll_mean": before, "ema": path[1:]})
+            last, ema = known.to_numpy()[-window:].tolist(), None if np.isnan(path[-1]) else float(path[-1])
+        state.update(([float(v) for v in last], ema, rest["ts"].tolist(), rest["event_id"].tolist(), rest["value"].tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(int(max(rest["ts"].min() // 1000 + 1, passed // 1000 + 1)))
+
+    held = _ts(events).select("ts", "event_id", "user_id", F.col("value").cast("double").alias("value")).withWatermark("ts", watermark)
+    return held.groupBy("user_id").applyInPandasWithState(step, ROLL_OUT, ROLL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def anomaly_scores(events: DataFrame, stats: DataFrame, threshold: DataFrame) -> DataFrame:
