@@ -25,7 +25,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Id appended to every document.
 END_ID = 2
 #: Words kept by a worker (bounded memory); later ones are encoded each time they turn up.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 # Latin-1 words are cut as the file's own pattern does; other words go to the
 # library's whole chain.
@@ -97,8 +97,10 @@ class WordEncoder:
                 gc.enable()
             rows[np.asarray(unmet)] = len(sizes) + np.arange(len(new))
             ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, its])
-            if len(self.words) < CACHE_WORDS:
-                self.words, self.ids, self.size = pa.concat_arrays([self.words, new]), ids, sizes
+            room = CACHE_WORDS - len(self.words)
+            if room > 0:
+                self.words, self.size = pa.concat_arrays([self.words, new[:room]]), sizes[:CACHE_WORDS]
+                self.ids = ids[:int(self.size.sum())]
         begin = np.cumsum(sizes) - sizes
         rows = rows[np.asarray(coded.indices)]
         size = sizes[rows]
@@ -119,7 +121,7 @@ class WordEncoder:
 def encode_documents(arr: pa.Array, name: str = TOKENIZER, end_id: int = END_ID):
     """Of each text in turn: its ids with the end id, as a uint16 array."""
     enc = WordEncoder.of(name)
-    for i, j in slices(arr, 6 << 20):
+    for i, j in slices(arr, 3 << 20):
         ids, count = enc.encode(arr[i:j])
         stop = np.cumsum(count)
         out = np.full(len(ids) + j - i, end_id, np.uint16)
