@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from tsq.session import materialize, ship_package
 
-# Workers share their executor's memory: freed buffers of a megabyte or more go
+# Workers share their executor's memory: large freed buffers (8 MB or more) go
 # back to the system at once, instead of staying with Arrow's or libc's allocator.
 pa.set_memory_pool(pa.system_memory_pool())
 _libc = ctypes.CDLL(None)
 if hasattr(_libc, "mallopt"):
-    _libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
-    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    _libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
 
 #: Text bytes that a vectorised step takes at once (a longer text goes alone).
 SLICE_BYTES = 2 << 20
