@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsq.functions import rng
@@ -67,6 +67,28 @@ def pick_partner(df: DataFrame, group: str, id_col: str, seed: int, out: str = "
     return j.select(id_col, group, out)
 
 
+def pick_others(df: DataFrame, group: str, id_col: str, k: int, seed: int, tag: str, out: str = "other_id") -> DataFrame:
+    """Up to ``k`` distinct members of *other* groups per row, drawn from the
+    whole table: all rows stand in one order (groups one after the other, a
+    hash order inside), a row's own group is a run of it, and the k members
+    stand at equal distances from a random place among the rest (equi-join on
+    the place).  Adds ``j`` (0..k-1)."""
+    base = df.select(group, id_col).withColumn("_h", rng.uniform(group, id_col, F.lit(tag), F.lit(seed)))
+    r = series_index(base, group, ["_h", id_col], out="_rk", bucket=F.floor(F.col("_h") * F.lit(1024.0)))
+    # one row per group: its size, its first place, and the number of all rows
+    sizes = base.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    runs = sizes.select(group, "_n", (F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).alias("_first"))
+    runs = runs.crossJoin(F.broadcast(sizes.agg(F.sum("_n").alias("_all"))))
+    r = r.join(runs, group).withColumn("_at", F.col("_first") + F.col("_rk"))
+    rest = F.col("_all") - F.col("_n")
+    d = r.filter(rest > 0).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).filter(F.col("j") < rest)
+    start = F.floor(rng.uniform(group, id_col, F.lit(tag + "-off"), F.lit(seed)) * rest)
+    place = (start + F.col("j") * F.greatest(F.floor(rest / F.lit(k)), F.lit(1))) % rest
+    d = d.withColumn("_to", (F.col("_first") + F.col("_n") + place) % F.col("_all"))
+    other = r.select(F.col("_at").alias("_to2"), F.col(id_col).alias(out))
+    return d.join(other, F.col("_to") == F.col("_to2")).select(id_col, group, "j", out)
+
+
 def pick_members(df: DataFrame, group: str | None, id_col: str, k: int, seed: int, tag: str,
                  exclude_self: bool = True, out: str = "member_id") -> DataFrame:
     """Up to ``k`` distinct other members of the same group (of the whole

@@ -135,7 +135,7 @@ def clean_date_multi(x) -> Column:
     parts = F.split(F.regexp_replace(s, "[/ ]", "-"), "-")
     repaired = F.when((F.size(parts) >= 3) & (F.element_at(parts, 3) == "0"),
                       F.try_to_timestamp(F.array_join(F.concat(F.slice(parts, 1, 2), F.array(F.lit("01")),
-                                                               F.slice(parts, 4, 1 << 20)), "-"), F.lit("y-M-d")))
+                                                               F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0)))), "-"), F.lit("y-M-d")))
     return F.to_date(F.coalesce(*tries, repaired))
 
 
@@ -149,8 +149,8 @@ def compose_text(headline, summary) -> Column:
     return F.trim(F.concat(F.coalesce(_c(headline), F.lit("")), F.lit(" "), F.coalesce(_c(summary), F.lit(""))))
 
 
-def tokenize_truncate(x, max_len: int) -> Column:
+def tokenize_truncate(x, max_len: int | None) -> Column:
     """Lower-case word tokens (split on non-word characters, empties
-    dropped), truncated to ``max_len``."""
+    dropped), truncated to ``max_len`` (None: all of them)."""
     toks = F.filter(F.split(F.lower(_c(x)), r"\W+"), lambda s: s != "")
-    return F.slice(toks, 1, max_len)
+    return toks if max_len is None else F.slice(toks, 1, max_len)

@@ -175,14 +175,22 @@ def exact_percentile(df: DataFrame, col: str, q: float, buckets: int = 65536) ->
     aggregate instead of being ranked row by row.  One-row result
     ``percentile``."""
     v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    mm = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    # approximate quantiles bracket the rank, so that outliers don't stretch the buckets
+    near = F.percentile_approx("_v", F.array(F.lit(max(q - 2e-4, 0.0)), F.lit(min(q + 2e-4, 1.0))), F.lit(10000))
+    ends = v.agg(near.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count(F.lit(1)).alias("_n"))
+    held = v.crossJoin(F.broadcast(ends)).agg(
+        F.first("_n").alias("_n"), F.first("_min").alias("_min"), F.first("_max").alias("_max"), F.first("_e").alias("_e"),
+        F.sum((F.col("_v") < F.col("_e")[0]).cast("long")).alias("_below"), F.sum((F.col("_v") <= F.col("_e")[1]).cast("long")).alias("_upto"))
+    pos = F.lit(q) * (F.col("_n") - F.lit(1))
+    ok = (F.col("_below") <= F.floor(pos)) & (F.ceil(pos) < F.col("_upto"))  # else the whole range
+    mm = held.select("_n", F.when(ok, F.col("_e")[0]).otherwise(F.col("_min")).alias("_lo"), F.when(ok, F.col("_e")[1]).otherwise(F.col("_max")).alias("_hi"),
+                     F.when(ok, F.col("_below")).otherwise(F.lit(0)).alias("_before"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
     b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
-    vb = v.crossJoin(F.broadcast(mm)).withColumn("_b", b.cast("long"))
+    vb = v.crossJoin(F.broadcast(mm)).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).withColumn("_b", b.cast("long"))
     bc = vb.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
-    bc = bc.withColumn("_start", F.coalesce(F.sum("_c").over(wb), F.lit(0))).crossJoin(F.broadcast(mm))
-    pos = F.lit(q) * (F.col("_n") - F.lit(1))
+    bc = bc.crossJoin(F.broadcast(mm)).withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(wb), F.lit(0)))
     lo_i, hi_i = F.floor(pos), F.ceil(pos)
     inside = lambda r_: (r_ >= F.col("_start")) & (r_ < F.col("_start") + F.col("_c"))
     need = bc.filter(inside(lo_i) | inside(hi_i)).select("_b", "_start")  # at most two rows

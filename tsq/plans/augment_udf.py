@@ -23,7 +23,7 @@ ARR = T.ArrayType(T.DoubleType())
 
 
 def _samples(spark, sf):
-    return si.spread(si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value", extra=["label"]), "sample_id")
+    return si.spread(tb.sequence_arrays(spark, sf), "sample_id")
 
 
 def _explode(df, col="y"):
@@ -126,15 +126,10 @@ def q_wdba(spark, sf):
 
 
 def _negatives(spark, sf, s, k):
-    """Up to k samples of other classes per sample: consecutive members of
-    a global hash order from a random offset, other labels kept."""
-    from pyspark.sql import Window
-    cand = al.pick_members(s.select("sample_id", "label"), None, "sample_id", 3 * k, SEED, "neg", True, out="neg_id")
-    lab = s.select(F.col("sample_id").alias("neg_id"), F.col("label").alias("_nl"), F.col("x").alias("nx"))
-    c = cand.join(s.select("sample_id", "label"), "sample_id").join(lab, "neg_id").filter(F.col("_nl") != F.col("label"))
-    w = Window.partitionBy("sample_id").orderBy("j")  # at most 3k rows per sample
-    c = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    return c.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "nx"))), lambda e: e["nx"]).alias("neg"))
+    """k samples of other classes per sample (fewer only if there are fewer)."""
+    c = al.pick_others(s.select("sample_id", "label"), "label", "sample_id", k, SEED, "neg", out="neg_id")
+    x = s.select(F.col("sample_id").alias("neg_id"), F.col("x").alias("nx"))
+    return c.join(x, "neg_id").groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "nx"))), lambda e: e["nx"]).alias("neg"))
 
 
 DISC_OUT = T.StructType([T.StructField("y", ARR), T.StructField("amount", T.DoubleType())])

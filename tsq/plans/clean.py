@@ -249,10 +249,10 @@ PROMPT_END = "<|<end_prompt>|>"
 
 
 @query("prompt_template", f"""
-SELECT conv_id, turn, '{PROMPT_START}' || text || '{PROMPT_END}' AS prompt FROM conversations WHERE role = 'user'
+SELECT conv_id, turn, '{PROMPT_START}' || text || '{PROMPT_END}' AS prompt FROM conversations
 """)
 def q_prompt(spark, sf):
-    c = tb.read(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = tb.read(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.concat(F.lit(PROMPT_START), "text", F.lit(PROMPT_END)).alias("prompt"))
 
 

@@ -126,28 +126,32 @@ def q_ensemble(spark, sf):
 
 
 def window_text_vectors(spark, sf, windows):
-    """Text vector per window: the embedding row of the origin day's first
-    document (doc id mod |embeddings|, ranked by vec_id); zero when the day
-    has no text.  Long form (window_id, h, tv) for h = 1..P."""
-    n = tb.news(spark, sf).groupBy("date").agg(F.min("doc_id").alias("doc_id"))
+    """Text vector per window: the mean of the embedding rows of all documents
+    of the origin day (doc id mod |embeddings|, ranked by vec_id); zero when
+    the day has no text.  Long form (window_id, h, tv) for h = 1..P."""
+    n = tb.news(spark, sf).select("date", "doc_id")
     e = tb.read(spark, sf, "embeddings").withColumn("_k", F.lit(0))
     e = series_index(e, "_k", "vec_id", out="er", bucket=F.floor(F.col("vec_id") / F.lit(65536))).drop("_k")
     ne = e.agg(F.count(F.lit(1)).alias("ne"))
-    dv = n.crossJoin(F.broadcast(ne)).withColumn("er", F.col("doc_id") % F.col("ne")).join(e.select("er", "embedding"), "er")
-    w = windows.join(dv.select(F.col("date").alias("origin_date"), "embedding"), "origin_date", "left")
-    w = w.withColumn("tv", F.coalesce(F.col("embedding")[F.col("h") - 1].cast("double"), F.lit(0.0)))
+    # documents of a day that share an embedding row are counted before the row is fetched
+    dv = n.crossJoin(F.broadcast(ne)).groupBy("date", (F.col("doc_id") % F.col("ne")).alias("er")).agg(F.count(F.lit(1)).alias("_c")) \
+        .join(e.select("er", "embedding"), "er").select("date", "_c", F.posexplode("embedding").alias("_p", "_v")) \
+        .groupBy(F.col("date").alias("origin_date"), (F.col("_p") + 1).alias("h")) \
+        .agg((F.sum(F.col("_v").cast("double") * F.col("_c")) / F.sum("_c")).alias("_m"))
+    w = windows.join(dv, ["origin_date", "h"], "left").withColumn("tv", F.coalesce("_m", F.lit(0.0)))
     st = w.groupBy("window_id").agg(F.avg("tv").alias("_tm"), F.var_pop("tv").alias("_tv"))
     return w.join(st, "window_id").withColumn("tvn", (F.col("tv") - F.col("_tm")) / F.sqrt(F.col("_tv") + F.lit(1e-5)))
 
 
 @query("blend_text_prior", f"""
-WITH {FC_SQL}, nw AS ({S.NEWS}), fd AS (SELECT date, min(doc_id) AS doc_id FROM nw GROUP BY date),
+WITH {FC_SQL}, nw AS ({S.NEWS}),
 er AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS er FROM embeddings),
 ne AS (SELECT count(*) AS ne FROM embeddings),
 od AS (SELECT t, date AS origin_date FROM d),
-b AS (SELECT g.s, g.h, g.lb_last AS yhat, g.pz, coalesce(CAST(er.embedding[g.h] AS DOUBLE), 0.0) AS tv
-      FROM g JOIN od ON od.t = g.s + {SEQ_LEN - 1} LEFT JOIN fd ON fd.date = od.origin_date CROSS JOIN ne
-      LEFT JOIN er ON er.er = fd.doc_id % ne.ne WHERE g.pred_len = {LIN_P}),
+tvd AS (SELECT nw.date, u.pos AS h, avg(CAST(u.v AS DOUBLE)) AS v
+        FROM nw CROSS JOIN ne JOIN er ON er.er = nw.doc_id % ne.ne, unnest(er.embedding) WITH ORDINALITY AS u(v, pos) GROUP BY nw.date, u.pos),
+b AS (SELECT g.s, g.h, g.lb_last AS yhat, g.pz, coalesce(tvd.v, 0.0) AS tv
+      FROM g JOIN od ON od.t = g.s + {SEQ_LEN - 1} LEFT JOIN tvd ON tvd.date = od.origin_date AND tvd.h = g.h WHERE g.pred_len = {LIN_P}),
 bn AS (SELECT *, (tv - avg(tv) OVER (PARTITION BY s)) / sqrt(var_pop(tv) OVER (PARTITION BY s) + 1e-5) AS tvn FROM b)
 SELECT s AS window_id, h, {r(f'{dbl(1 - PROMPT_WEIGHT)} * yhat + {W} * (tvn + pz)')} AS y_blend FROM bn
 """)
@@ -351,10 +355,9 @@ def q_return_regression(spark, sf):
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    from tsq.plans.features import _stock
     from tsq.plans.joins import global_vector
 
-    f = materialize(_stock(spark, sf))
+    f = materialize(fe.stock_features(tb.ticker_panel(spark, sf)))
     fi = series_index(f.withColumn("_d", F.to_date("date")), "ticker", "_d")
     tgt = fe.next_return_target(fi, "ticker", "t", "close_used", out="target")
     # the kept feature *names* (bounded by the column count) drive the schema

@@ -9,7 +9,7 @@ from tsq.operators import align as al
 from tsq.operators import clean as cl
 from tsq.operators import features as fe
 from tsq.operators import windows as wo
-from tsq.operators.index import series_index
+from tsq.operators.index import series_index, series_index_ranged
 from tsq.plans import sqlparts as S
 from tsq.plans.metrics import M4_SQL, m4_forecasts, m4_frame
 from tsq.plans.registry import query, r, rounded
@@ -56,38 +56,38 @@ def q_join_forecast_truth(spark, sf):
 
 @query("attach_generated_text", f"""
 WITH {DAILY_SQL},
-g AS (SELECT text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations WHERE role = 'assistant')
+g AS (SELECT text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations)
 SELECT d.date, coalesce(g.text, '') AS text FROM d LEFT JOIN g ON g.i = d.t
 """)
 def q_attach_text(spark, sf):
-    """i-th generated text (assistant turns in order) to the i-th row of the
+    """i-th text (all turns in order) to the i-th row of the
     daily series; extra texts are ignored, missing ones are ''."""
     d = indexed_daily(spark, sf)
-    g = tb.read(spark, sf, "conversations").filter(F.col("role") == "assistant").withColumn("_k", F.lit(0))
+    g = tb.read(spark, sf, "conversations").withColumn("_k", F.lit(0))
     g = series_index(g, "_k", ["conv_id", "turn"], out="i", bucket=F.floor(F.col("conv_id") / F.lit(4096)))
     j = d.join(g.select("i", "text"), d.t == g.i, "left")
     return j.select("date", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def daily_text(spark, sf):
-    """Report text per date: the headline of the lowest doc id that day."""
-    n = tb.news(spark, sf)
-    return n.groupBy("date").agg(F.min_by("headline", "doc_id").alias("text"))
+    """Report texts by date: one row per headline of the day."""
+    return tb.news(spark, sf).select("date", "doc_id", F.col("headline").alias("text"))
 
 
-DTEXT_SQL = f"nw AS ({S.NEWS}), dt AS (SELECT date, arg_min(headline, doc_id) AS text FROM nw GROUP BY date)"
+DTEXT_SQL = f"nw AS ({S.NEWS}), dt AS (SELECT date, doc_id, headline AS text FROM nw)"
 
 
 @query("join_text_at_origin", f"""
 WITH {DAILY_SQL}, {DTEXT_SQL}, c AS (SELECT count(*) AS n FROM d)
-SELECT d.t - {SEQ_LEN} AS window_id, d.date AS origin_date, dt.text
+SELECT d.t - {SEQ_LEN} AS window_id, d.date AS origin_date, dt.doc_id, dt.text
 FROM d CROSS JOIN c LEFT JOIN dt ON dt.date = d.date
 WHERE d.t - {SEQ_LEN} >= 0 AND d.t - {SEQ_LEN} <= c.n - {SEQ_LEN + PRED_LEN}
 """)
 def q_text_at_origin(spark, sf):
-    d = indexed_daily(spark, sf)
-    w = wo.sliding_windows(d, "series_id", "t", SEQ_LEN, LABEL_LEN, PRED_LEN).filter(F.col("step") == SEQ_LEN)
-    return w.join(daily_text(spark, sf), "date", "left").select("window_id", F.col("date").alias("origin_date"), "text")
+    """Every headline of a window's origin day (the row after its look-back)."""
+    d = wo.with_count(indexed_daily(spark, sf), "series_id")
+    w = d.withColumn("window_id", F.col("t") - SEQ_LEN).where((F.col("window_id") >= 0) & (F.col("window_id") <= F.col("_n") - (SEQ_LEN + PRED_LEN)))
+    return w.join(daily_text(spark, sf), "date", "left").select("window_id", F.col("date").alias("origin_date"), "doc_id", "text")
 
 
 def daily_prior(spark, sf):
@@ -156,12 +156,9 @@ def q_news_panel(spark, sf):
                                                         "first_headline")
 
 
-TOKENS = 64
-
-
 @query("token_embedding_lookup", f"""
 WITH tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda s: s <> '') AS toks FROM documents),
-t AS (SELECT doc_id, CAST(u.pos - 1 AS INTEGER) AS pos, u.tok AS token FROM tk, unnest(list_slice(toks, 1, {TOKENS})) WITH ORDINALITY AS u(tok, pos)),
+t AS (SELECT doc_id, CAST(u.pos - 1 AS INTEGER) AS pos, u.tok AS token FROM tk, unnest(toks) WITH ORDINALITY AS u(tok, pos)),
 vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id FROM (SELECT DISTINCT token FROM t)),
 er AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, row_number() OVER (ORDER BY vec_id) - 1 AS er FROM embeddings),
 ne AS (SELECT count(*) AS n FROM embeddings)
@@ -172,9 +169,9 @@ def q_token_lookup(spark, sf):
     """Token -> vector row lookup: the vocabulary (distinct tokens, ranked)
     maps token id t to embedding row t mod |embeddings|."""
     d = tb.read(spark, sf, "documents")
-    t = d.select("doc_id", F.posexplode(cl.tokenize_truncate("text", TOKENS)).alias("pos", "token"))
+    t = d.select("doc_id", F.posexplode(cl.tokenize_truncate("text", None)).alias("pos", "token"))
     v = t.select("token").distinct().withColumn("_k", F.lit(0))
-    v = series_index(v, "_k", "token", out="token_id", bucket=F.substring("token", 1, 1)).drop("_k")
+    v = series_index_ranged(v, "_k", "token", out="token_id").drop("_k")
     e = tb.read(spark, sf, "embeddings").withColumn("_k", F.lit(0))
     e = series_index(e, "_k", "vec_id", out="er", bucket=F.floor(F.col("vec_id") / F.lit(65536))).drop("_k")
     n = e.agg(F.count(F.lit(1)).alias("n"))

@@ -37,11 +37,12 @@ def rnd(c, digits: int = 6):
     The same IEEE operations in Spark and DuckDB give the same double for
     the same input, ties included (``round`` differs between the engines on
     ties: decimal HALF_UP of the shortest repr vs binary arithmetic).
-    Magnitudes of 1e12 and more, NaN and infinities pass unchanged."""
+    Doubles of 2^52 / 10^d and more have no digits beyond d decimals, so they
+    (and NaN and infinities) are their own rounding and pass unchanged."""
     c = F.col(c) if isinstance(c, str) else c
     c = c.cast("double")
     scale = F.lit(float(10 ** digits))
-    return F.when(F.abs(c) < F.lit(1e12), F.floor(c * scale + F.lit(0.5)) / scale).otherwise(c)
+    return F.when(F.abs(c) < F.lit(2.0 ** 52 / 10 ** digits), F.floor(c * scale + F.lit(0.5)) / scale).otherwise(c)
 
 
 def rounded(df: DataFrame, digits: int = 6, **per_col: int) -> DataFrame:
@@ -68,5 +69,5 @@ def r(expr: str, digits: int = 6) -> str:
     """SQL twin of :func:`rnd`."""
     x = f"CAST({expr} AS DOUBLE)"
     sc = f"CAST({float(10 ** digits)!r} AS DOUBLE)"
-    return (f"(CASE WHEN abs({x}) < CAST(1e12 AS DOUBLE) THEN floor({x} * {sc} + CAST(0.5 AS DOUBLE)) / {sc} "
+    return (f"(CASE WHEN abs({x}) < CAST({2.0 ** 52 / 10 ** digits!r} AS DOUBLE) THEN floor({x} * {sc} + CAST(0.5 AS DOUBLE)) / {sc} "
             f"ELSE {x} END)")

@@ -157,7 +157,7 @@ def q_flatten_multiindex(spark, sf):
 # -------------------------------------------------------------- .ts text
 @query("scan_ts_text", f"""
 WITH e AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS sample_id FROM embeddings)
-SELECT sample_id, CAST(u.pos - 1 AS INTEGER) AS t, {r('CAST(u.v AS DOUBLE)')} AS value, CAST(label AS VARCHAR) AS label
+SELECT sample_id, 0 AS dim, CAST(u.pos - 1 AS INTEGER) AS t, {r('CAST(u.v AS DOUBLE)')} AS value, CAST(label AS VARCHAR) AS label
 FROM e, unnest(embedding) WITH ORDINALITY AS u(v, pos)
 """)
 def q_scan_ts_text(spark, sf):
@@ -174,7 +174,7 @@ def q_scan_ts_text(spark, sf):
     body = e.orderBy("vec_id").select(line.alias("line"))
     header.unionByName(body).write.text(path)
     out = fl.read_ts_text(spark, path)
-    return rounded(out.select(F.col("sample_id"), F.col("t").cast("int").alias("t"), "value", "label"))
+    return rounded(out.select("sample_id", "dim", F.col("t").cast("int").alias("t"), "value", "label"))
 
 
 # ------------------------------------------------------- ragged collection

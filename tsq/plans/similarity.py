@@ -26,7 +26,7 @@ def pairs(spark, sf):
     """(vec_id, partner_id, x, y): every sample with one same-class partner."""
     e = tb.read(spark, sf, "embeddings").select("vec_id", "label")
     pr = al.pick_partner(e, "label", "vec_id", PARTNER_SEED)
-    arr = si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value")
+    arr = tb.sequence_arrays(spark, sf)
     a = arr.select(F.col("sample_id").alias("vec_id"), F.col("x"))
     b = arr.select(F.col("sample_id").alias("partner_id"), F.col("x").alias("y"))
     return si.spread(pr.join(a, "vec_id").join(b, "partner_id"), "vec_id")
@@ -88,7 +88,7 @@ def q_dtw_matrix(spark, sf):
     sample."""
     from tsq.plans.misc import q_medoid
     med = q_medoid(spark, sf).select("label", "medoid_id")
-    arr = si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value", extra=["label"])
+    arr = tb.sequence_arrays(spark, sf)
     m = arr.join(med, "label")
     y = arr.select(F.col("sample_id").alias("medoid_id"), F.col("x").alias("y"))
     j = si.spread(m.join(y, "medoid_id"), "sample_id")

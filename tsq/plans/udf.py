@@ -84,20 +84,26 @@ def q_batch_inference(spark, sf):
     return batch_predict(arr, factory, "x", "sample_id long, pred_class int", ["sample_id"])
 
 
-@query("text_vectorizer")
+TEXT_DIMS = 64
+
+
+@query("text_vectorizer", f"""
+WITH tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda s: s <> '') AS toks FROM documents),
+h AS (SELECT doc_id, len(toks) AS n, CAST(('0x' || substr(md5(u.tok), 1, 8)) AS UBIGINT) AS h FROM tk, unnest(toks) AS u(tok))
+SELECT doc_id, CAST(h % {TEXT_DIMS} AS INTEGER) AS dim,
+       {r(f'sum(CASE WHEN (h // {TEXT_DIMS}) % 2 = 0 THEN 1.0 ELSE -1.0 END) / max(n)')} AS value
+FROM h GROUP BY doc_id, h % {TEXT_DIMS}
+""")
 def q_text_vectorizer(spark, sf):
-    """Re-aimed document vectoriser: Word2Vec (pyspark.ml) trained on the
-    first 80 % of the documents' word tokens, document vector = mean of its
-    word vectors, for every document.  Training runs over 8 partitions."""
-    from pyspark.ml.feature import Word2Vec
-    d = tb.read(spark, sf, "documents").select("doc_id", cl.tokenize_truncate("text", 1 << 20).alias("tokens"))
-    from tsq.operators.index import series_index
-    d = series_index(d, None, "doc_id", out="t", bucket=F.floor(F.col("doc_id") / F.lit(65536)))
-    d = wo.head_fraction(d, None, "t", 0.8, "in_train")
-    w2v = Word2Vec(vectorSize=8, minCount=1, seed=42, maxIter=1, numPartitions=8, inputCol="tokens", outputCol="vec")
-    model = w2v.fit(d.filter("in_train"))
-    from pyspark.ml.functions import vector_to_array
-    v = model.transform(d).select("doc_id", F.posexplode(vector_to_array("vec")).alias("dim", "value"))
+    """Document vectors by signed feature hashing of all word tokens (the
+    hash gives place and sign), divided by the number of tokens.  Needs no
+    vocabulary, so nothing is held on the driver or broadcast."""
+    tokens = cl.tokenize_truncate("text", None)
+    d = tb.read(spark, sf, "documents").select("doc_id", tokens.alias("toks")) \
+        .select("doc_id", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
+    d = d.withColumn("h", F.conv(F.substring(F.md5("tok"), 1, 8), 16, 10).cast("long"))
+    sign = F.when(F.shiftright("h", TEXT_DIMS.bit_length() - 1) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    v = d.groupBy("doc_id", (F.col("h") % TEXT_DIMS).cast("int").alias("dim")).agg((F.sum(sign) / F.max("n")).alias("value"))
     return rounded(v)
 
 
@@ -126,7 +132,7 @@ def dmd_kernel(x: np.ndarray) -> np.ndarray:
 @query("dmd_forecast")
 def q_dmd(spark, sf):
     """DMD-style linear forecast of 2 segments (16 points) per sample."""
-    arr = si.spread(si.sample_arrays(tb.sequences(spark, sf), "sample_id", "t", "value"), "sample_id")
+    arr = si.spread(tb.sequence_arrays(spark, sf), "sample_id")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def f(x: pd.Series) -> pd.Series:

@@ -87,29 +87,34 @@ def flatten_articles(raw: DataFrame, json_col: str, ticker_col: str) -> DataFram
                     F.coalesce("a.source_id", F.lit("")).alias("source"))
 
 
-def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+def ordered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Text lines with their 0-based position in file order (the scan id
     is file-ordered; dense positions come from the distributed index)."""
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()) \
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    text = reader.text(path)
+    if not text.inputFiles():
+        raise FileNotFoundError(f"no file in {path} matches {pattern or '*'}")
+    lines = text.withColumn("_id", F.monotonically_increasing_id()) \
         .withColumn("_f", F.input_file_name())
     return series_index(lines, "_f", "_id", out="line_no",
                         bucket=F.shiftright(F.col("_id"), 33)).drop("_id")
 
 
-def read_ts_text(spark: SparkSession, path: str) -> DataFrame:
+def read_ts_text(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Labelled multivariate .ts text: '@' header lines skipped, each data
-    line 'v1,v2,...:label' (one dimension) -> long rows (sample_id, t,
-    value, label); '?' or unparsable values -> NULL."""
-    ln = ordered_lines(spark, path)
+    line 'v1,v2,...:w1,w2,...:label' (dimensions, then the label) -> long rows
+    (sample_id, dim, t, value, label); '?' or unparsable values -> NULL.
+    ``pattern`` (a glob) chooses files by name; no match is an error."""
+    ln = ordered_lines(spark, path, pattern)
     data = ln.filter((F.length(F.trim("value")) > 0) & ~F.col("value").startswith("@"))
     # samples are numbered across part files in (file name, line) order
     data = series_index(data, None, ["_f", "line_no"], out="sample_id",
                         bucket=F.struct(F.col("_f"), F.floor(F.col("line_no") / F.lit(65536))))
     parts = F.split("value", ":")
-    vals = F.split(F.element_at(parts, 1), ",")
-    return data.select("sample_id", F.element_at(parts, -1).alias("label"),
-                       F.posexplode(vals).alias("t", "raw")) \
-        .select("sample_id", "t", F.col("raw").try_cast("double").alias("value"), "label")
+    dims = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return data.select("sample_id", F.element_at(parts, -1).alias("label"), F.posexplode(dims).alias("dim", "line")) \
+        .select("sample_id", "label", "dim", F.posexplode(F.split("line", ",")).alias("t", "raw")) \
+        .select("sample_id", "dim", "t", F.col("raw").try_cast("double").alias("value"), "label")
 
 
 # run log: setting line, metrics line, blank line

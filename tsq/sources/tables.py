@@ -101,6 +101,11 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("value", F.col("value").cast("double"))
 
 
+def sequence_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sequences, one row each: (sample_id, label, x)."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as dated news: ticker, date, headline, summary, source."""
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
@@ -111,7 +116,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(tickers, (F.col("doc_id") % 5 + 1).cast("int")).alias("ticker"),
         F.date_add(F.lit(NEWS_EPOCH).cast("date"), (F.col("doc_id") % NEWS_DAYS).cast("int")).alias("date"),
         F.array_join(F.slice(words, 1, HEADLINE_WORDS), " ").alias("headline"),
-        F.array_join(F.slice(words, HEADLINE_WORDS + 1, 1 << 30), " ").alias("summary"),
+        F.array_join(F.slice(words, HEADLINE_WORDS + 1, F.greatest(F.size(words) - HEADLINE_WORDS, F.lit(0))), " ").alias("summary"),
         "source", "lang",
     )
 

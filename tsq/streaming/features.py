@@ -51,7 +51,8 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", max_fi
     """File stream of one stored table, a single file or a folder of part files."""
     path = table_path(sf_dir, table)
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files or FILES_PER_BATCH).parquet(path)
+    # written as a pattern, as a stream takes a single file's path for a base folder otherwise
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files or FILES_PER_BATCH).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_table(spark: SparkSession, sdf: DataFrame, name: str, mode: str = "update", rebuild=None) -> str:
