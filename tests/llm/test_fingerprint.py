@@ -56,3 +56,28 @@ def test_one_and_no_document(spark):
     assert len(r) == 1 and r[0].near_next == 1 and r[0].edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
     assert fp.compare_with_next(one.limit(0)).count() == 0
     assert fp.fingerprint_documents(one).first().fingerprint == fp.digest(_state("abcdef"))
+
+
+def test_likeness_of_long_repetitive_texts(spark):
+    """Against exact counts of shingles, more than 32,767 of one kind."""
+    from collections import Counter
+
+    def counts(text):
+        lines = [line.split() for line in text.split("\n")]
+        return Counter(tuple(w[i:i + 5]) for w in lines if w for i in range(max(1, len(w) - 4)))
+
+    def cosine(a, b):
+        dot = sum(n * b[s] for s, n in a.items())
+        return dot / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5
+
+    other = " ".join(f"w{i}" for i in range(9000))
+    texts = {3: "z " * 45_000, 2: other, 1: "z " * 70_000 + other, 0: "boiler plate line\n" * 40_000}
+    got = {r.doc_id: r for r in fp.compare_with_next(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, text in texts.items():
+        after = texts[(i - 1) % 4]
+        cut = len(text) // 3
+        edited = text[:len(text) - cut] + after[:cut]
+        assert got[i].edited_fingerprint == fp.digest(_state(edited))
+        assert abs(got[i].near_edited - cosine(counts(text), counts(edited))) < 0.12
+        assert abs(got[i].near_next - cosine(counts(text), counts(after))) < 0.12
+    assert got[3].near_edited > 0.9

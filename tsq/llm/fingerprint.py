@@ -2,18 +2,19 @@
 
 A document is the multiset of its paragraphs (lines).  Each paragraph is
 hashed to a wide vector, and a document's state is the sum of its paragraphs'
-vectors modulo 2**16, so the order of paragraphs does not matter, and adding
-or removing a paragraph adds or subtracts its vector (:func:`add`,
-:func:`remove`).  A vector has two parts:
+vectors, so the order of paragraphs does not matter, and adding or removing a
+paragraph adds or subtracts its vector (:func:`add`, :func:`remove`).  A vector
+has two parts:
 
-* ``LANES`` lanes of an extendable hash of the paragraph's bytes: equal sums
-  mean equal multisets (lattice hash);
+* ``LANES`` lanes of an extendable hash of the paragraph's bytes, modulo 2**16:
+  equal sums mean equal multisets (lattice hash);
 * ``SKETCH`` lanes of +1 and -1 at places hashed from the paragraph's shingles
-  of five words: the cosine of two such sums estimates the share of shingles
-  that two documents have in common, copies counted (count sketch; standard
-  error about 1 / sqrt(SKETCH)).
+  of five words, modulo 2**32 (two 16-bit numbers each): the cosine of two such
+  sums estimates the share of shingles that two documents have in common,
+  copies counted (count sketch; standard error about 1 / sqrt(SKETCH)).  A text
+  has less than 2**31 bytes, so no lane of a document wraps.
 
-The fingerprint string is a digest of the whole state.
+The fingerprint string is a digest of all lanes modulo 2**16.
 
 Defined cases: a null text is the empty text, which has no paragraph and the
 zero state; empty lines are paragraphs; likeness is 1 for equal states, else 0
@@ -39,9 +40,23 @@ EDIT_DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string
             "near_edited double, near_next double, n_paragraphs long")
 
 
+def sketch(state: np.ndarray) -> np.ndarray:
+    """View of the sketch lanes of one or more states (uint32)."""
+    return state[..., LANES:].view(np.uint32)
+
+
+def merge(state: np.ndarray, other: np.ndarray, sign: int = 1) -> np.ndarray:
+    """``state`` with ``other`` added to it (or taken from it), in place."""
+    change = np.add if sign > 0 else np.subtract
+    change(state[..., :LANES], other[..., :LANES], out=state[..., :LANES])
+    change(sketch(state), sketch(other), out=sketch(state))
+    return state
+
+
 def paragraph_vectors(parts: pa.Array, owner: np.ndarray, sign: np.ndarray, n: int) -> np.ndarray:
-    """Signed sums of the vectors of paragraphs by owner (n x LANES + SKETCH, uint16)."""
-    out = np.zeros((n, LANES + SKETCH), np.uint16)
+    """Signed sums of the vectors of paragraphs by owner (n x LANES + 2 SKETCH, uint16)."""
+    out = np.zeros((n, LANES + 2 * SKETCH), np.uint16)
+    counts = sketch(out)
     for i, j in slices(parts, 1 << 19):
         own, sg = owner[i:j], sign[i:j]
         for k in range(i, j, 2048):  # bounds the digests held at once
@@ -59,7 +74,7 @@ def paragraph_vectors(parts: pa.Array, owner: np.ndarray, sign: np.ndarray, n: i
             own = np.repeat(own, made)
             low, high = own[0], own[-1] + 1
             sums = np.bincount((own - low) * SKETCH + place, weights=weight, minlength=(high - low) * SKETCH)
-            out[low:high, LANES:] += sums.reshape(-1, SKETCH).astype(np.int64).astype(np.uint16)
+            counts[low:high] += sums.reshape(-1, SKETCH).astype(np.int64).astype(np.uint32)
     return out
 
 
@@ -71,21 +86,22 @@ def states(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def add(state: np.ndarray, paragraph: str) -> np.ndarray:
     """The state with one more paragraph."""
-    return state + paragraph_vectors(pa.array([paragraph]), np.zeros(1, int), np.ones(1, int), 1)[0]
+    return merge(state.copy(), paragraph_vectors(pa.array([paragraph]), np.zeros(1, int), np.ones(1, int), 1)[0])
 
 
 def remove(state: np.ndarray, paragraph: str) -> np.ndarray:
     """The state without one of its paragraphs."""
-    return state - paragraph_vectors(pa.array([paragraph]), np.zeros(1, int), np.ones(1, int), 1)[0]
+    return merge(state.copy(), paragraph_vectors(pa.array([paragraph]), np.zeros(1, int), np.ones(1, int), 1)[0], -1)
 
 
 def digest(state: np.ndarray) -> str:
-    return hashlib.blake2b(state.astype("<u2").tobytes(), digest_size=32).hexdigest()
+    lanes = np.concatenate([state[:LANES], sketch(state).astype(np.uint16)])
+    return hashlib.blake2b(lanes.astype("<u2").tobytes(), digest_size=32).hexdigest()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise likeness (0 to 1) of two arrays of states."""
-    x, y = (s[:, LANES:].astype(np.int16).astype(np.float64) for s in (a, b))
+    x, y = (sketch(s).view(np.int32).astype(np.float64) for s in (a, b))
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.divide((x * y).sum(1), norm, out=np.zeros(len(x)), where=norm > 0)
     return np.where((a == b).all(1), 1.0, np.clip(cosine, 0, 1))
@@ -133,7 +149,7 @@ def _edited(ids: list, texts: list[str]) -> pa.RecordBatch:
     edit = total[:n].copy()
     for some, whose, sign in ((gone, gone_own, -1), (come, come_own, 1)):
         if some:
-            edit += paragraph_vectors(pa.array(some, pa.string()), np.array(whose), np.full(len(some), sign), n)
+            merge(edit, paragraph_vectors(pa.array(some, pa.string()), np.array(whose), np.full(len(some), sign), n))
     return pa.RecordBatch.from_arrays(
         [pa.array(ids[:n], pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array(sha, pa.string()),
          pa.array([digest(x) for x in total[:n]], pa.string()), pa.array([digest(x) for x in edit], pa.string()),
