@@ -96,3 +96,29 @@ def test_depth_reaches_the_recall():
     for recall in (0.9, 0.99, 0.999):
         k = J.depth_for(recall=recall)
         assert 1 - (1 - 0.8**k) ** J.TREES >= recall > 1 - (1 - 0.8 ** (k + 1)) ** J.TREES
+
+
+def test_every_pair_at_the_threshold_is_a_candidate():
+    """20,000 pairs of similarity 0.8 exactly (40 of 50 shingles), production defaults."""
+    import pyarrow as pa
+    depth, k, missed = J.depth_for(), 5, 0
+    for a in range(0, 20_000, 2000):
+        base = [[f"w{i}x{j}" for j in range(9 * k + 4)] for i in range(a, a + 2000)]
+        other = [w[:8 * k + 4] + [f"v{i}x{j}" for j in range(k)] for i, w in enumerate(base, a)]
+        x, y = (J.signatures(pa.array([" ".join(w) for w in t]), depth)[2] for t in (base, other))
+        assert len(_set(" ".join(base[0])) & _set(" ".join(other[0]))) == 0.8 * len(_set(" ".join(base[0])) | _set(" ".join(other[0])))
+        missed += int((~(x == y).any(1)).sum())
+    assert missed == 0
+
+
+def test_production_defaults_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(150):  # links of similarity 0.8 exactly
+        base = [rng.choice(word) for _ in range(49)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:44] + [f"v{i}x{j}" for j in range(5)]))]
+    rows += [(i + 10_000, t) for i, t in _rows()[:60]]
+    found = J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.class_id, r.n_links, r.n_text_links, r.copies) for r in found.collect()), key=str)
+    assert got == _brute(rows) and sum(r[2] for r in got) >= 300

@@ -1,14 +1,15 @@
-"""N-gram Jaccard join by a MinHash LSH forest (operator 6).
+"""N-gram Jaccard join by MinHash LSH in trees of one fixed depth (operator 6).
 
 Documents are sets of shingles of five words.  Documents with equal sets are
-one class and are joined as one.  Each class has ``TREES`` signatures of up to
-``DEEPEST`` min-hashes, the paths of prefix tries.  Matching prefixes are
-shortened, level by level, until the expected recall of pairs at the threshold
-reaches the target (:func:`depth_for`); classes under one trie node of that
-depth are candidates, and every pair of candidates is verified on its whole
-shingle sets.
-
-No pair is dropped and none is expanded into rows: the classes under a node
+one class and are joined as one.  Each class has ``TREES`` signatures of a
+fixed number of min-hashes (banding): the longest at which the expected recall
+of pairs at the threshold reaches the target (:func:`depth_for`, from the
+constants, not from the data).  Classes with one signature in some tree (under
+one node) are candidates, and every pair of candidates is verified on its whole
+shingle sets.  A pair of similarity s is no candidate with probability
+(1 - s**depth)**TREES: 5e-8 at the threshold 0.8 (depth 4), less above.
+
+No candidate is dropped and none is expanded into rows: the classes under a node
 are cut into blocks, pairs of blocks are compared within one task, and only
 each class's number of links and its component within the task leave it.  A
 node with n classes is read n / BLOCK times.  A pair that meets in several
@@ -35,7 +36,7 @@ from tsq.llm.base import partitions, plain, prepare, slices, stored
 from tsq.llm.hashing import mix, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEEPEST, RECALL = 12, 8, 0.997
+TREES, DEEPEST, RECALL = 32, 16, 0.9999999
 #: Sets up to which intersections are counted by matrix products.
 DENSE = 256
 #: Classes and shingles that a block of a trie node holds, about.
@@ -48,9 +49,9 @@ _LABELS = pa.list_(pa.int64())
 
 
 def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix at which a pair of the threshold's similarity meets
-    in some tree with the target probability: starting at the whole path, it
-    is shortened until 1 - (1 - s^depth)^trees reaches the target."""
+    """The longest signature, ``deepest`` at most, at which a pair of the
+    threshold's similarity meets in some tree with the target probability
+    1 - (1 - s^depth)^trees."""
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
@@ -63,7 +64,7 @@ def _seeds(n: int) -> np.ndarray:
 
 def signatures(texts: pa.Array, depth: int):
     """Of each text: 16 bytes that tell its shingle set (none for no shingle),
-    the set's size, and one label per tree (hash of tree and prefix)."""
+    the set's size, and one label per tree (hash of tree and min-hashes)."""
     h, made = shingles(*(lambda w: (w[0], w[3]))(words(texts)), SHINGLE)
     begin = np.cumsum(made) - made
     full = np.flatnonzero(made)
