@@ -113,3 +113,27 @@ def test_winnowing_guarantee(size):
     x, _ = L.winnowed(a, np.array([len(a)]))
     y, _ = L.winnowed(b, np.array([len(b)]))
     assert len(np.intersect1d(x, y)) > 0
+
+
+def _names(text):
+    import pyarrow as pa
+    return [f["license"] for f in sorted(L.Index(L.TEMPLATES).scan(pa.array([text]))[0], key=lambda f: f["start"])]
+
+
+@pytest.mark.parametrize("text, name", [
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU General Public License, version 9.", ["GPL"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]), ("Licensed under CC BY-NC 1.0.", ["CC-BY-NC"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+    ("Released under the BSD License.", ["BSD"]), ("Released under the Foo License.", []),
+    ("Released under the MIT License. Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.", ["MIT", "CC-BY-NC-4.0", "CC-BY-4.0"])])
+def test_sibling_licenses_have_their_own_names(text, name):
+    assert _names(f"Some words. {text} More words follow.") == name
+
+
+def test_every_template_has_its_name():
+    for name, text in L.TEMPLATES:
+        assert _names(f"Some words. {text} More words follow.") == [name]
