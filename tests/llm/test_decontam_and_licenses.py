@@ -137,3 +137,11 @@ def test_sibling_licenses_have_their_own_names(text, name):
 def test_every_template_has_its_name():
     for name, text in L.TEMPLATES:
         assert _names(f"Some words. {text} More words follow.") == [name]
+
+
+@pytest.mark.parametrize("template", [4, 5, 7, 8, 12])
+def test_notice_after_a_run_of_a_bigram_of_its_own(template):
+    name, text = L.TEMPLATES[template]
+    word = text.split()
+    for k in range(5):
+        assert name in _names(" ".join(word[k:k + 2] * 30) + " " + text)

@@ -4,8 +4,8 @@ Templates are winnowed: of the hashes of ``GRAM`` consecutive words, the least
 one of every ``WINNOW`` consecutive hashes is a fingerprint, so a template and
 a text that share ``GRAM + WINNOW - 1`` words in a row share a fingerprint.  An
 inverted index of the templates' fingerprints gives candidates (template and
-place); each is aligned with the text, word by word, in a band of diagonals,
-and reported if the alignment covers
+place); each is aligned with the text, word by word, in a band of diagonals
+that holds all of every candidate's own, and reported if the alignment covers
 ``COVERAGE`` of the template's words, among them all ``TELLING`` ones (names,
 versions, qualifiers), and skips no qualifier of a sibling license in the text.
 
@@ -241,13 +241,12 @@ class Index:
             x = self.word[t]
             width = BAND * max(1, -(-len(x) // 16))
             mine = template == t
-            # candidates of one text on neighbouring diagonals are one
-            key = np.unique(np.stack([text[mine], place[mine]], 1), axis=0)
-            near = (key[1:, 0] == key[:-1, 0]) & (key[1:, 1] - key[:-1, 1] <= width // 2)
-            key = key[np.append(True, ~near)]
+            # one alignment for each cell of neighbouring diagonals, in a band that holds the whole band of each of them
+            cell = width // 2
+            key = np.unique(np.stack([text[mine], place[mine] // cell], 1), axis=0)
             for a in range(0, len(key), 2048):
                 d, p = key[a:a + 2048].T
-                for k, got, first, last in zip(*banded_matches(x, word, p, stop[d] - count[d], stop[d], width,
+                for k, got, first, last in zip(*banded_matches(x, word, p * cell + cell // 2, stop[d] - count[d], stop[d], width + cell // 2,
                                                                self.must[t], self.other[t], COVERAGE * len(x))):
                     # words of both without a partner count against it
                     net = 2 * got - len(x) - (last - first + 1 - got)
