@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsq.llm import chat, dac, decontam, fingerprint, jaccard, langid, licenses, packing, quality, urls
+from tsq.llm import chat, dac, decontam, fingerprint, jaccard, langid, licenses, merkle, packing, quality, urls
 from tsq.llm.base import table
 from tsq.session import scratch_path
 
@@ -62,6 +62,12 @@ def op10_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(spark, path)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "manifest")
+    stages = merkle.write_manifest(merkle.tampered(table(spark, sf_dir, "documents")), path)
+    return merkle.check_copies(spark, path, stages).drop("tree")
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_multiset_fingerprints": op1_multiset_fingerprints,
     "op2_benchmark_leaks": op2_benchmark_leaks,
@@ -73,6 +79,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_curve_packing": op8_curve_packing,
     "op9_language_id": op9_language_id,
     "op10_chat_tokens": op10_chat_tokens,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 # Every pair of documents that shares a shingle of five words; copies are pairs like others.
@@ -160,8 +167,54 @@ FROM p CROSS JOIN m LEFT JOIN s ON s.host = p.host AND s.path = p.path
 """
 
 
+def _merkle_sql() -> str:
+    """All nodes level by level, each document's runs from leaf to root, and the fold along them."""
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT for c in string_split(coalesce(doc_id::VARCHAR, ''), '') if c <> '']),
+      lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({head} || {field('text')}) AS leaf,
+         CASE WHEN {crc} % 3 = 0 THEN translate(text, '{merkle.UPPER}', '{merkle.UPPER.lower()}') ELSE text END AS copy, source, n_chars
+  FROM documents),
+p AS (
+  SELECT doc_id, lang, leaf, sha256({head} || {field('copy')}) AS checked, row_number() OVER () AS doc,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+a(lang, level, pos, node, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM p
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM a WHERE n > 1 GROUP BY lang, level, pos // 8),
+t AS (
+  SELECT lang, node, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos, count(*) OVER () AS n FROM a WHERE n = 1),
+b(level, pos, node, n) AS (
+  SELECT 0, pos, node, n FROM t
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM b WHERE n > 1 GROUP BY level, pos // 8),
+run AS (
+  SELECT doc, dense_rank() OVER (PARTITION BY doc ORDER BY kind, level) AS step, pos = own AS mine, pos, node FROM (
+    SELECT p.doc, 0 AS kind, a.level, a.pos, a.node, p.pos // CAST(pow(8, a.level) AS BIGINT) AS own
+    FROM p JOIN a ON a.lang IS NOT DISTINCT FROM p.lang AND a.n > 1 AND a.pos // 8 = p.pos // CAST(pow(8, a.level + 1) AS BIGINT)
+    UNION ALL
+    SELECT p.doc, 1, b.level, b.pos, b.node, t.pos // CAST(pow(8, b.level) AS BIGINT)
+    FROM p JOIN t ON t.lang IS NOT DISTINCT FROM p.lang JOIN b ON b.n > 1 AND b.pos // 8 = t.pos // CAST(pow(8, b.level + 1) AS BIGINT))),
+f(doc, step, node) AS (
+  SELECT doc, 1, checked FROM p
+  UNION ALL
+  SELECT f.doc, f.step + 1, sha256(string_agg(CASE WHEN mine THEN f.node ELSE run.node END, '' ORDER BY pos))
+  FROM f JOIN run ON run.doc = f.doc AND run.step = f.step GROUP BY f.doc, f.step),
+proof AS (SELECT doc, sha256(string_agg(node, '' ORDER BY step, pos) FILTER (WHERE NOT mine)) AS proof, CAST(count(*) FILTER (WHERE NOT mine) AS INTEGER) AS n FROM run GROUP BY doc)
+SELECT p.doc_id, p.leaf, t.node AS subroot, r.node AS root, coalesce(proof.proof, sha256('')) AS proof_sha256,
+       f.node AS folded_root, f.node = r.node AS verified, coalesce(proof.n, 0) AS proof_nodes
+FROM p JOIN t ON t.lang IS NOT DISTINCT FROM p.lang JOIN b r ON r.n = 1 LEFT JOIN proof ON proof.doc = p.doc
+JOIN (SELECT doc, arg_max(node, step) AS node FROM f GROUP BY doc) f ON f.doc = p.doc
+"""
+
+
 ORACLES: dict[str, str] = {
     "op6_jaccard_forest": _JACCARD_SQL,
     "op7_url_ratio": _url_sql(),
     "op10_chat_tokens": _CHAT_SQL,
+    "op13_merkle_manifest": _merkle_sql(),
 }
