@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 def test_llm_query_matches_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = Q.QUERIES[name](spark, SF)
     order = sorted(df.columns)

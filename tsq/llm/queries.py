@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsq.llm import chat, dac, decontam, fingerprint, jaccard, langid, licenses, merkle, packing, quality, urls
+from tsq.llm import chat, dac, decontam, fingerprint, jaccard, langid, licenses, merkle, negatives, packing, quality, urls
 from tsq.llm.base import table
 from tsq.session import scratch_path
 
@@ -62,6 +62,10 @@ def op10_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "manifest")
     stages = merkle.write_manifest(merkle.tampered(table(spark, sf_dir, "documents")), path)
@@ -79,6 +83,7 @@ QUERIES: dict[str, QueryFn] = {
     "op8_curve_packing": op8_curve_packing,
     "op9_language_id": op9_language_id,
     "op10_chat_tokens": op10_chat_tokens,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -167,6 +172,26 @@ FROM p CROSS JOIN m LEFT JOIN s ON s.host = p.host AND s.path = p.path
 """
 
 
+_NEGATIVES_SQL = f"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % {negatives.FLIPPED} = 0 THEN (label + 1) % {negatives.LABELS} ELSE label END AS label,
+         [floor({negatives.SCALE} * x::DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % {negatives.ANCHORS} = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES})
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND {negatives.LOW} * p.positive_score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= {negatives.NEGATIVES}
+"""
+
+
 def _merkle_sql() -> str:
     """All nodes level by level, each document's runs from leaf to root, and the fold along them."""
     def field(c: str) -> str:
@@ -216,5 +241,6 @@ ORACLES: dict[str, str] = {
     "op6_jaccard_forest": _JACCARD_SQL,
     "op7_url_ratio": _url_sql(),
     "op10_chat_tokens": _CHAT_SQL,
+    "op11_hard_negatives": _NEGATIVES_SQL,
     "op13_merkle_manifest": _merkle_sql(),
 }
