@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsq.llm import chat, dac, decontam, fingerprint, jaccard, langid, licenses, merkle, negatives, packing, quality, urls
+from tsq.llm import chat, crosspolytope, dac, decontam, fingerprint, jaccard, langid, licenses, merkle, negatives, packing, quality, urls
 from tsq.llm.base import table
 from tsq.session import scratch_path
 
@@ -66,6 +66,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "manifest")
     stages = merkle.write_manifest(merkle.tampered(table(spark, sf_dir, "documents")), path)
@@ -84,6 +88,7 @@ QUERIES: dict[str, QueryFn] = {
     "op9_language_id": op9_language_id,
     "op10_chat_tokens": op10_chat_tokens,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_cross_polytope_neighbours": op12_cross_polytope_neighbours,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

@@ -62,15 +62,25 @@ def width(dim: int) -> int:
     return max(64, 1 << (dim - 1).bit_length())
 
 
+def _order(n: int) -> np.ndarray:
+    """The orthonormal Hadamard matrix of a power of two."""
+    h = np.ones((1, 1))
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]]) / np.sqrt(2.0)
+    return h
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Orthonormal fast Walsh-Hadamard transform of each row (a power of two long)."""
+    """Orthonormal fast Walsh-Hadamard transform of each row (a power of two
+    long), 64 points a step."""
     n, d = x.shape
     h = 1
     while h < d:
-        pair = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]], axis=2).reshape(n, d)
-        h *= 2
-    return x / np.sqrt(d).astype(x.dtype)
+        r = min(64, d // h)
+        step = _order(r).astype(x.dtype)
+        x = x.reshape(-1, r) @ step if h == 1 else np.matmul(step, x.reshape(-1, r, h))
+        h *= r
+    return x.reshape(n, d)
 
 
 def signs(dim: int, seed: int, rounds: int = 3) -> np.ndarray:
