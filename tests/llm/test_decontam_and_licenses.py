@@ -1,7 +1,9 @@
 """Leaks against brute force over all windows, and license notices with edits."""
 import random
+import re
 import time
 
+import numpy as np
 import pytest
 
 from tsq.llm import decontam as D
@@ -20,7 +22,7 @@ def _edit_distance_within(window, text, k):
 
 
 def _brute(item, text):
-    item, text = (" ".join(x.lower().split("\n")) for x in (item, text))
+    item, text = (re.sub(r"\s+", " ", x.lower()) for x in (item, text))
     w = min(len(item), D.WINDOW)
     k = w * D.EDITS // D.WINDOW
     return any(_edit_distance_within(item[s:s + w], text, k) for s in range(len(item) - w + 1))
@@ -47,13 +49,51 @@ def test_leaks_equal_brute_force():
             texts.append(prose(6) + " " + _garbled(rng, part, min(edits, len(part) // 12)) + ("\n" if edits else " ") + prose(5))
     texts += [prose(30), "", items[0][:50]]
     index = D.Index(list(enumerate(items)))
-    code, begin = D.folded(texts)
-    import numpy as np
-    got = {(int(np.searchsorted(begin, r[1], side="right")) - 1, r[0]) for r in D.leaks(index, code)}
+    own = D.Folded(texts)
+    got = {(int(np.searchsorted(own.begin, r[1], side="right")) - 1, r[0]) for r in D.leaks(index, own)}
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if _brute(item, t)}
+    assert len(want) > 10 and got == want
+
+
+def test_other_scripts_equal_brute_force():
+    rng = random.Random(9)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(n))
+    slav = lambda n: " ".join("".join(chr(0x430 + rng.randrange(32)) for _ in range(6)) for _ in range(n))
+    items = [han(64), slav(12), "\U00010400" * 3 + han(70), slav(4) + " " + han(50)]
+    texts = []
+    for item in items:
+        for edits in (0, 2, 4, 6, 12):
+            texts.append(han(20) + _garbled(rng, item, edits) + slav(3))
+        texts.append(item.upper())
+        # every character differs, but shares the filter's byte
+        texts.append("".join(chr(ord(c) + 127) if c != " " else c for c in item))
+    index, own = D.Index(list(enumerate(items))), D.Folded(texts)
+    got = {(int(np.searchsorted(own.begin, r[1], side="right")) - 1, r[0]) for r in D.leaks(index, own)}
     want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if _brute(item, t)}
     assert len(want) > 10 and got == want
 
 
+def test_wrapped_anew():
+    item = "the quick brown fox jumps over the lazy dog while seven wizards quietly jinx a box of old pumpkins"
+    word = item.split()
+    text = "before\t" + "\n      ".join(" ".join(word[i:i + 4]) for i in range(0, len(word), 4)) + " after"
+    index, own = D.Index([(1, item)]), D.Folded(["none", text])
+    (_, a, b, lo, hi, edits), = D.leaks(index, own)
+    start, end = own.places(a, b)
+    assert edits == 0 and text[start:end].startswith("the quick") and text[start:end].endswith("pumpkins") and (lo, hi) == (0, len(item))
+
+
+def test_hits_in_parts(monkeypatch):
+    rng = random.Random(4)
+    line = "a line that many items hold, common to all of them and repeated " * 2
+    items = [line + "".join(rng.choice("abcdefgh ") for _ in range(80)) for _ in range(30)]
+    texts = [line * 8 + items[3] + line * 5, "z" * 300 + items[5], "a" * 2000]
+    index, own = D.Index(list(enumerate([*items, "a" * 90]))), D.Folded(texts)
+    whole = D.leaks(index, own)
+    monkeypatch.setattr(D, "HITS", 700)
+    assert len(whole) > 30 and sorted(D.leaks(index, own)) == sorted(whole)
+
+
 def test_leak_queries(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly jinx a box of old pumpkins"
     docs = spark.createDataFrame(
@@ -80,9 +120,9 @@ def test_blocks_of_a_long_benchmark(spark, monkeypatch):
 
 def test_repetitive_text_takes_bounded_time():
     index = D.Index([(0, "ab" * 100), (1, "a" * 100)])
-    code, _ = D.folded(["a" * 20_000 + "ab" * 10_000])
+    own = D.Folded(["a" * 20_000 + "ab" * 10_000])
     t0 = time.time()
-    assert {r[0] for r in D.leaks(index, code)} == {0, 1}
+    assert {r[0] for r in D.leaks(index, own)} == {0, 1}
     assert time.time() - t0 < 30
 
 

@@ -12,12 +12,12 @@ Rules common to all operators of this package:
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsq.session import materialize, ship_package
@@ -132,10 +132,29 @@ def fold_of(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
-    """About ``rows`` of ``total`` rows, chosen by a hash of ``key`` (the same
-    rows on every retry)."""
-    if total <= rows:
-        return df
-    cut = int(2**31 * (rows / max(total, 1)))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(2**31)) < cut)
+def first_by_hash(df: DataFrame, group: str, rows: int) -> DataFrame:
+    """At most ``rows`` distinct rows of each value of ``group``, the first by
+    a hash of the whole row (the same ones on every retry, whatever repeats)."""
+    d = df.withColumn("_hash", F.xxhash64(*df.columns))
+    order = Window.partitionBy(group).orderBy("_hash")
+    some = (d.select(group, "_hash").distinct().withColumn("_at", F.row_number().over(order))
+            .where(F.col("_at") <= rows).select(group, "_hash"))
+    return d.join(some, [group, "_hash"], "left_semi").dropDuplicates([group, "_hash"]).drop("_hash")
+
+
+#: What operators keep in a worker between tasks: how to free it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept(name: str, free: Callable[[], None]) -> None:
+    """State the name of something that this worker keeps between tasks."""
+    _KEPT[name] = free
+
+
+def give_back(*still: str) -> None:
+    """Free all that this worker has kept for others than the ``still`` named,
+    and return freed memory to the system: workers share their executor's."""
+    for name in [n for n in _KEPT if n not in still]:
+        _KEPT.pop(name)()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
