@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tsq.llm import langid as L
 from tsq.llm import quality as Q
@@ -92,3 +93,20 @@ def test_language_without_learning_rows(spark, docs):
     rows = L.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
     assert {r.lang_pred for r in rows} == {"und"}
     assert L.identify(docs.limit(0)).count() == 0
+
+
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    from tsq.llm import base, quality
+    rows = [(7, f"hot {i}", "a") for i in range(400)] + [(8, "same", "a")] * 400 + [(i, f"t {i}", "b") for i in range(30)] + [(None, None, "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = {r.lang: r.n for r in base.first_by_hash(d, "lang", 50).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert n == {"a": 50, "b": 30, "c": 1}
+    assert base.first_by_hash(d, "lang", 500).count() == 401 + 30 + 1
+    # one labelled document has more lines than the whole bound, and is left out of the fit alone
+    monkeypatch.setattr(quality, "TRAIN_LINES", 2000)
+    good = [(i, "A clean line of prose that ends well.\n" * 5) for i in range(1, 200)]
+    bad = [(i, "zz 00 ## zz\n#### 11\n" * 3) for i in range(200, 400)] + [(9000, "#\n" * 100_000)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i, _ in good + bad], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    assert len(got) == 400 and min(got[i] for i in range(1, 200)) > 0.7 > max(got[i] for i in range(200, 400)) and got[9000] < 0.7

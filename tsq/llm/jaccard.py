@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsq.llm.base import partitions, plain, prepare, slices, stored
+from tsq.llm.base import give_back, partitions, plain, prepare, slices, stored
 from tsq.llm.hashing import mix, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -96,6 +96,7 @@ def mix_light(h: np.ndarray, seed: np.uint64) -> np.ndarray:
 def _sign(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             text = plain(batch.column(1))
             for i, j in slices(text):
                 keys, sizes, labels, *_ = signatures(text[i:j], depth)
@@ -113,6 +114,7 @@ def _label_lists(labels: np.ndarray) -> pa.Array:
 def _sets(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             text = plain(batch.column(1))
             for i, j in slices(text):
                 keys, sizes, labels, h, begin, made = signatures(text[i:j], depth)
@@ -232,6 +234,8 @@ def _compare(threshold: float):
             yield out(found)
         if len(rows) > 1:
             yield out(group(at[1], at[2] != at[3], rows))
+        rows.clear()
+        give_back()
     return run
 
 

@@ -6,14 +6,16 @@ follow-the-regularised-leader and elastic-net penalties, then temperature
 calibration on documents not used for the weights.
 
 Document frequencies and the counts of languages come from all learning
-documents in one distributed pass.  The weights are fitted on about
-``TRAIN_PER_LANG`` documents of each language, chosen by a hash of the id;
-only their sparse vectors reach the driver.  Prediction is one pass over whole
+documents in one distributed pass.  The weights are fitted on at most
+``TRAIN_PER_LANG`` + ``CALIBRATE_PER_LANG`` documents of each language, all
+different in id or text, the first by a hash of both; only their sparse vectors
+(at most ``FEATURES`` numbers each) reach the driver.  Prediction is one pass over whole
 texts without a shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 without any learning document everything is ``und``; ties of scores go to the
-language that sorts first; a document that stands twice counts twice.
+language that sorts first; a document that stands twice counts twice in the
+document frequencies and once in the sample; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsq.llm.base import flat, fold_of, plain, prepare, sampled, slices
+from tsq.llm.base import first_by_hash, flat, fold_of, give_back, plain, prepare, slices
 
 FEATURES = 1 << 15
 TRAIN_PER_LANG, CALIBRATE_PER_LANG = 400, 100
 UNKNOWN = "und"
 #: Calibrated probability below which a filtering stage rejects a document.
 SURE = 0.5
-
+#: Text bytes taken at once: a character needs some 80 bytes here.
+SLICE = 512 << 10
 
 
 def letters(text: pa.Array) -> pa.Array:
@@ -52,6 +55,7 @@ def counts(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     begin = np.flatnonzero(lead)
     code = data[begin].astype(np.uint64)
     size = np.diff(np.append(begin, len(data)))
+    del lead
     for k in range(1, 4):
         has = size > k
         code[has] = code[has] << np.uint64(8) | data[begin[has] + k]
@@ -61,7 +65,8 @@ def counts(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     one = code * salt
     two = (one[:-1] ^ code[1:]) * salt if len(code) > 1 else one[:0]
     three = (two[:-1] ^ code[2:]) * salt if len(code) > 2 else one[:0]
-    grams = [(g >> shift).astype(np.int64) for g in (one, two, three)]
+    grams = [(g >> shift).astype(np.int32) for g in (one, two, three)]
+    del code, size, one, two, three
     for a, b in zip(char[:-1], char[1:]):
         if b - a < 3:  # the two edges alone
             yield np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -143,10 +148,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, docs = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
         text = plain(batch.column(0))
-        for i, j in slices(text):
+        for i, j in slices(text, SLICE):
             for f, _ in counts(text[i:j]):
                 total[f] += 1
                 docs += 1
+    give_back()
     f = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(total[f], docs))], names=["feature", "n"])
 
@@ -154,7 +160,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = plain(batch.column(2))
-        got = [(f.astype("<i4").tobytes(), n.astype("<i4").tobytes()) for i, j in slices(text) for f, n in counts(text[i:j])]
+        got = [(f.astype("<i4").tobytes(), n.astype("<i4").tobytes()) for i, j in slices(text, SLICE) for f, n in counts(text[i:j])]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for f, _ in got], pa.binary()), pa.array([n for _, n in got], pa.binary())],
                                          names=["doc_id", "lang", "f", "n"])
 
@@ -178,10 +184,7 @@ def train(docs: DataFrame) -> Model | None:
             df[r["feature"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 0.1
     want = TRAIN_PER_LANG + CALIBRATE_PER_LANG
-    some = None
-    for lang in langs:
-        part = sampled(d.where(F.col("lang") == lang), "doc_id", want, per[lang])
-        some = part if some is None else some.unionByName(part)
+    some = first_by_hash(d, "lang", want)
     rows = some.select("doc_id", "lang", "text").mapInArrow(_vectors, "doc_id long, lang string, f binary, n binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["f"]))
     found = [(np.frombuffer(r["f"], "<i4"), np.frombuffer(r["n"], "<i4"), langs.index(r["lang"])) for r in rows]
@@ -206,9 +209,10 @@ def _predictor(spark, model: Model | None):
 
     @F.arrow_udf(PREDICTION)
     def predict(text: pa.Array) -> pa.Array:
+        give_back()
         m, out = sent.value, []
         texts = plain(text)
-        for i, j in slices(texts):
+        for i, j in slices(texts, SLICE):
             for f, n in counts(texts[i:j]):
                 if m is None or not len(f):
                     out.append((UNKNOWN, 0.0))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsq.llm.base import plain, prepare, slices, within
+from tsq.llm.base import kept, plain, prepare, slices, within
 from tsq.llm.hashing import shingles, words
 
 GRAM, WINNOW = 2, 3
@@ -282,6 +282,7 @@ def _scanner(templates: list[tuple[str, str]]):
     def scan(text: pa.Array) -> pa.Array:
         if key not in _BUILT:
             _BUILT[key] = Index(templates)
+            kept("templates", _BUILT.clear)
         texts = plain(text)
         return pa.array([f for i, j in slices(texts) for f in _BUILT[key].scan(texts[i:j])], pa.list_(_FOUND))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsq.llm.base import partitions, plain, prepare, range_bounds, range_of, slices, stored
+from tsq.llm.base import give_back, partitions, plain, prepare, range_bounds, range_of, slices, stored
 from tsq.llm.hashing import words
 from tsq.llm.tokens import encode_documents
 
@@ -80,6 +80,7 @@ def document_points(arr: pa.Array) -> np.ndarray:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        give_back("words")
         text = plain(batch.column(1))
         key = np.concatenate([hilbert_key(document_points(text[i:j]), BITS) for i, j in slices(text)] or [np.zeros(0, np.int64)])
         key = (key << SPREAD_BITS) | np.asarray(batch.column(2)).astype(np.int64)

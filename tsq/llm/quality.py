@@ -8,13 +8,16 @@ document's raw quality, and a monotone map fitted on the training documents
 (Platt's) turns it into the score.
 
 The field is fitted by gradient ascent on the likelihood of the labels of at
-most ``TRAIN_DOCS`` labelled documents' lines (a line has its document's
-label), a sample by a hash of the id; its features alone reach the driver.
-Scoring is one pass over whole texts without a shuffle.
+most ``TRAIN_DOCS`` labelled documents (a line has its document's label), all
+different in id or text, half of each kind, the first by a hash, of at most
+``TRAIN_LINES`` lines together: a document that would go beyond is left out
+whole.  Their features alone reach the driver (a line has ``N_FEATURES``
+numbers).  Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: a null or empty text is one empty line; a document labelled
-twice counts twice, with a null label not at all; without labels of both
-kinds the field is neutral and scores everything 0.5.
+good and bad stands for both, with a null label for none; an id that stands
+several times counts once for each of its texts; without labels of both kinds
+the field is neutral and scores everything 0.5; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsq.llm.base import flat, fold_of, lines, plain, prepare, sampled, slices, within
+from tsq.llm.base import first_by_hash, flat, fold_of, give_back, lines, plain, prepare, slices, stored, within
 from tsq.llm.hashing import words
 
-#: Labelled documents that the fit takes at most, about.
-TRAIN_DOCS = 3000
+#: Labelled documents, and their lines, that the fit takes at most.
+TRAIN_DOCS, TRAIN_LINES = 3000, 300_000
 #: Score from which a document is predicted to be of good quality.
 GOOD = 0.7
 
@@ -254,11 +257,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     per = {r["quality"]: r["n"] for r in y.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(per) < 2:
         return Field.neutral()
-    # half of the sample from each kind, the map to the score weighs them back
-    some = [sampled(y.where(F.col("quality") == k), "doc_id", TRAIN_DOCS // 2, n) for k, n in per.items()]
+    # half of the sample from each kind, the map to the score weighs them back;
+    # first of the labels (few bytes), then of the texts that have their ids
+    y = first_by_hash(y.select("doc_id", "quality"), "quality", TRAIN_DOCS // 2)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = (d.join(some[0].unionByName(some[1]), "doc_id").select("quality", "text")
-            .mapInArrow(_features, "label long, x binary, size binary").collect())
+    some = first_by_hash(d.join(F.broadcast(y), "doc_id").select("doc_id", "quality", "text"), "quality", TRAIN_DOCS // 2)
+    some = stored(some.select("quality", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text")), "quality-sample")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    chosen, room = [], {k: TRAIN_LINES // 2 for k in per}
+    for r in some.select("quality", "hash", n_lines.alias("n")).orderBy("hash", "quality").collect():  # TRAIN_DOCS rows at most
+        if r["n"] <= room[r["quality"]]:
+            room[r["quality"]] -= r["n"]
+            chosen.append(r["hash"])
+    rows = some.where(F.col("hash").isin(chosen)).select("quality", "text").mapInArrow(_features, "label long, x binary, size binary").collect()
     rows.sort(key=lambda r: (r["label"], r["size"], r["x"]))  # the same sums whatever order tasks end in
     if len({r["label"] for r in rows}) < 2:
         return Field.neutral()
@@ -271,6 +282,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 def _scorer(field: Field):
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        give_back()
         texts, out = plain(text), []
         for i, j in slices(texts):
             x, size, count = line_features(texts[i:j])

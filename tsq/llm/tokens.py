@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tsq.llm.base import slices
+from tsq.llm.base import kept, slices
 
 #: The tokenizer file, by the name that ``public_tokenizers.path`` takes.
 TOKENIZER = "word_bpe_49k.json"
@@ -50,6 +50,7 @@ class WordEncoder:
     def of(cls, name: str = TOKENIZER) -> "WordEncoder":
         if name not in cls._made:
             cls._made[name] = cls(name)
+            kept("words", cls._made.clear)
         return cls._made[name]
 
     def __init__(self, name: str = TOKENIZER):
