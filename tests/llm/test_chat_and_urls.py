@@ -16,9 +16,20 @@ def test_escape_and_turn_round_trip(text):
     assert C.unescape(C.escape(text)) == text
     assert not any(m in C.escape(text) for m in C.MARKS)
     for role in ("user", "assistant", "system", "", "tool [/ROLE]"):
-        ids, mask, chars = C.format_turn(role, text)
-        assert C.read_turn(ids, mask) == (role, text, text if role == "assistant" else "")
-        assert (ids[mask] < C.FIRST_MARK).all() and chars >= len(text) + 7
+        ids, mask = C.format_turn(role, text)
+        assert C.read_turn(ids, mask) == (role, text, text if role == "assistant" else "", len(C.render(ids)))
+        assert (ids[mask] < C.FIRST_MARK).all() and C.escape(text) in C.render(ids) and C.render(ids).startswith("<s>")
+
+
+def test_ids_are_those_of_the_whole_text():
+    whole = C.encoding().encode_ordinary
+    for text in ("ab" * 100_000, "the quick brown fox, 12 times. " * 6000, "é" * 90_000 + " x", "word " * 30_000 + "\n\n" + " " * 9_000 + "end"):
+        assert C.encode_text(text) == whole(text)
+    for run in (" ", "\n", " \n\t", "\u3000"):
+        for text in (f"a{run * 12_000}b", f"a{run * 12_000}", f"{run * 12_000}b c{run * 11_000} d"):
+            assert C.encode_text(text) == whole(text)
+    huge = "x" + " " * 1_000_000 + "y"  # the library alone can't take this
+    assert C.encoding().decode(C.encode_text(huge)) == huge
 
 
 def test_conversations(spark):
@@ -36,6 +47,10 @@ def test_conversations(spark):
         said = "".join(t or "" for _, _, role, t in mine if role == "assistant")
         assert (r.n_turns, r.turns_sha256) == (len(mine), hashlib.sha256(text.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert all(r.formatted_chars > r.loss_chars for r in got.values())
+    turns = C.read_turns(spark, path).where("conv_id = 1").orderBy("turn").collect()
+    assert [(r.role, r.text, r.loss, r.chars) for r in turns] == [
+        ("user", "a", "", len("<s>[INST]a[/INST]")), ("assistant", "b </s>", None, len("<s>b <\\/s></s>")), ("user", "c", "", len("<s>[INST]c[/INST]"))]
     empty = scratch_path(spark, "t10")
     C.write_chats(d.limit(0), empty)
     assert C.read_chats(spark, empty).count() == 0

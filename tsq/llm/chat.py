@@ -13,12 +13,15 @@ also escapes its own results, and taking one away restores the text).
 
 The loss mask of a turn is the prefix sum of +1 where an assistant's text
 begins and -1 where it ends.  Turns are formatted where they lie, without a
-shuffle, and written as one row each; reading back sorts the rows of a
-conversation and streams them, so a long conversation needs little memory.
+shuffle, and written as one row each.  They are read back, rendered and
+counted where they lie, too; then a conversation's rows are sorted and streamed
+through its digests, so a long conversation needs little memory.
 
 Defined cases: a null text or role is empty; a null turn comes first, equal
-turns are ordered by role and then by their ids; rows with a null conv_id are
-one conversation; an empty table has conversation -1 alone in the query.
+turns are ordered by role and then by text; rows with a null conv_id are one
+conversation; a text of any length is encoded whole; an empty table has
+conversation -1 alone in the query, and rows of the table that have that id
+are turns of the same conversation.
 """
 
 from __future__ import annotations
@@ -41,13 +44,16 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 MARKS = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]"]
 FIRST_MARK = 50256
 BOS, EOS, INST, END_INST, SYS, END_SYS, ROLE, END_ROLE = range(FIRST_MARK, FIRST_MARK + len(MARKS))
-#: Characters that the library encodes at once; a longer text is cut there first.
-PART = 50_000
+#: White space of this length or more is encoded apart: the library's pattern
+#: recurses along it.
+LONG_SPACE = 10_000
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 
 _CONTROL = re.compile(r"([<\[])(\\*)(/?s>|/?(?:INST|SYS|ROLE)\])")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(/?s>|/?(?:INST|SYS|ROLE)\])")
 
-TURNS_DDL = "conv_id long, turn long, role string, ids binary, mask binary, chars long"
+TURNS_DDL = "conv_id long, turn long, role string, ids binary, mask binary"
+READ_DDL = "conv_id long, turn long, role string, text string, loss string, chars long"
 DIGEST_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
                      ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -71,61 +77,76 @@ def encoding(name: str = TOKENIZER):
 
         with open(public_tokenizers.path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODING[name] = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        make = lambda pattern: tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODING[name], _ENCODING[name, "piece"] = make(public_tokenizers.PATTERN), make(r"[\s\S]+")
     return _ENCODING[name]
 
 
 def encode_text(text: str) -> list[int]:
-    enc = encoding()
-    return [i for a in range(0, len(text), PART) for i in enc.encode_ordinary(text[a:a + PART])]
-
-
-def format_turn(role: str, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ids of a turn, its loss mask, and the number of characters of its rendered form."""
-    said = escape(text)
-    body = encode_text(said)
+    """The ids of a whole text.  A long run of white space is one piece of the
+    pattern, up to its last character if something follows."""
+    enc, out, at = encoding(), [], 0
+    for run in _SPACE.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        out += enc.encode_ordinary(text[at:run.start()]) + _ENCODING[TOKENIZER, "piece"].encode_ordinary(text[run.start():stop])
+        at = stop
+    return out + enc.encode_ordinary(text[at:])
+
+
+def format_turn(role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a turn and its loss mask."""
+    body = encode_text(escape(text))
     marks = {"system": ([BOS, SYS], [END_SYS]), "user": ([BOS, INST], [END_INST]), "assistant": ([BOS], [EOS])}
-    name = ""
     if role in marks:
         before, after = marks[role]
     else:
-        name = escape(role)
-        before, after = [BOS, ROLE, *encode_text(name), END_ROLE], [EOS]
+        before, after = [BOS, ROLE, *encode_text(escape(role)), END_ROLE], [EOS]
     ids = np.array([*before, *body, *after], np.uint16)
     step = np.zeros(len(ids) + 1, np.int8)
     if role == "assistant":
         step[len(before)] += 1
         step[len(before) + len(body)] -= 1
-    chars = len(said) + len(name) + sum(len(MARKS[i - FIRST_MARK]) for i in (*before, *after) if i >= FIRST_MARK)
-    return ids, np.cumsum(step[:-1]).astype(bool), chars
+    return ids, np.cumsum(step[:-1]).astype(bool)
 
 
-def read_turn(ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str]:
-    """Role, text and text under the loss mask of a formatted turn."""
-    enc = encoding()
+def render(ids: np.ndarray) -> str:
+    """The formatted string that ids stand for: control strings for reserved
+    ids, text in its escaped form."""
+    enc, out, at = encoding(), [], 0
+    for k in np.flatnonzero(ids >= FIRST_MARK).tolist():
+        out += [enc.decode_bytes(ids[at:k].tolist()).decode(), MARKS[int(ids[k]) - FIRST_MARK]]
+        at = k + 1
+    return "".join([*out, enc.decode_bytes(ids[at:].tolist()).decode()])
 
-    def text_of(part: np.ndarray) -> str:
-        return unescape(enc.decode_bytes(part.tolist()).decode())
 
+def read_turn(ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
+    """Role, text and text under the loss mask of a formatted turn, and the
+    number of characters of its rendered form."""
+    shown = render(ids)
+    head = "".join(MARKS[int(i) - FIRST_MARK] for i in ids[:2] if i >= FIRST_MARK)
+    tail = len(MARKS[int(ids[-1]) - FIRST_MARK])
     if ids[1] == SYS:
-        role, body = "system", ids[2:-1]
+        role, begin = "system", len(head)
     elif ids[1] == INST:
-        role, body = "user", ids[2:-1]
+        role, begin = "user", len(head)
     elif ids[1] == ROLE:
-        end = int(np.flatnonzero(ids == END_ROLE)[0])
-        role, body = text_of(ids[2:end]), ids[end + 1:-1]
+        end = MARKS[END_ROLE - FIRST_MARK]
+        stop = shown.index(end)  # a role's own control strings are escaped
+        role, begin = unescape(shown[len(head):stop]), stop + len(end)
     else:
-        role, body = "assistant", ids[1:-1]
-    return role, text_of(body), text_of(ids[mask])
+        role, begin = "assistant", len(MARKS[0])
+    text = unescape(shown[begin:len(shown) - tail])
+    loss = unescape(encoding().decode_bytes(ids[mask].tolist()).decode())
+    return role, text, loss, len(shown)
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [format_turn(r, t) for r, t in zip(plain(batch.column(2)).to_pylist(), plain(batch.column(3)).to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), plain(batch.column(2)), pa.array([i.astype("<u2").tobytes() for i, _, _ in made], pa.binary()),
-             pa.array([np.packbits(m, bitorder="little").tobytes() for _, m, _ in made], pa.binary()), pa.array([c for _, _, c in made], pa.int64())],
-            names=["conv_id", "turn", "role", "ids", "mask", "chars"])
+            [batch.column(0), batch.column(1), plain(batch.column(2)), pa.array([i.astype("<u2").tobytes() for i, _ in made], pa.binary()),
+             pa.array([np.packbits(m, bitorder="little").tobytes() for _, m in made], pa.binary())],
+            names=["conv_id", "turn", "role", "ids", "mask"])
 
 
 def write_chats(turns: DataFrame, path: str) -> None:
@@ -135,6 +156,20 @@ def write_chats(turns: DataFrame, path: str) -> None:
      .mapInArrow(_format, TURNS_DDL).write.parquet(path))
 
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Formatted turns to what their ids and masks say (a null loss: the whole text)."""
+    for batch in batches:
+        got = []
+        for raw, bits in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            ids = np.frombuffer(raw, "<u2")
+            mask = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little", count=len(ids)).astype(bool)
+            role, text, loss, chars = read_turn(ids, mask)
+            got.append((role, text, None if loss == text else loss, chars))
+        cols = zip(*got) if got else [[]] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64())))],
+                                         names=["conv_id", "turn", "role", "text", "loss", "chars"])
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted turns to one row per conversation, hashed as they stream by."""
     conv, state, begun = None, None, False
@@ -145,14 +180,12 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out = []
-        for c, raw, bits, chars in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for c, role, text, loss, chars in zip(*(batch.column(k).to_pylist() for k in range(5))):
             if not begun or c != conv:
                 if begun:
                     out.append(close())
                 conv, state, begun = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], True
-            ids = np.frombuffer(raw, "<u2")
-            mask = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little", count=len(ids)).astype(bool)
-            role, text, loss = read_turn(ids, mask)
+            loss = text if loss is None else loss
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
             state[2] += len(loss)
@@ -163,12 +196,21 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(close(), _DIGEST)], schema=_DIGEST)
 
 
-def read_chats(spark: SparkSession, path: str) -> DataFrame:
-    """Per conversation of the files at ``path``, decoded from ids and mask:
-    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+def read_turns(spark: SparkSession, path: str) -> DataFrame:
+    """conv_id, turn, role, text, loss (null: the whole text), chars of every
+    turn of the files at ``path``, read back from ids and mask where they lie."""
     prepare(spark)
     turns = spark.read.schema(TURNS_DDL).parquet(path)
-    return (turns.repartition(partitions(spark), "conv_id")
-            .sortWithinPartitions("conv_id", "turn", "role", "ids")
-            .select("conv_id", "ids", "mask", "chars")
+    return turns.select("conv_id", "turn", "ids", "mask").mapInArrow(_read, READ_DDL)
+
+
+def read_chats(spark: SparkSession, path: str) -> DataFrame:
+    """Per conversation of the files at ``path``, read back from them:
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Decoding is spread over all tasks; a conversation's task only hashes, as
+    a digest needs its turns in order."""
+    return (read_turns(spark, path).repartition(partitions(spark), "conv_id")
+            .sortWithinPartitions("conv_id", "turn", "role", "text")
+            .select("conv_id", "role", "text", "loss", "chars")
             .mapInArrow(_digest, DIGEST_DDL))
