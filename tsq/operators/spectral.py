@@ -1,7 +1,7 @@
 """Spectral operators as relational jobs: DFT as an aggregate, frequency
-selection by ranking, reconstruction by a join with the time grid;
-circular correlation by a self-join on (t + tau) mod L; Haar transform by
-grouping pairs.
+selection by ranking, reconstruction by a join with the time grid; Haar
+transform by grouping pairs.  Spectra and correlations of windows held as
+arrays are in :mod:`tsq.operators.spectrum`.
 
 They act on fixed-length windows / samples (L points each, L bounded by the
 window length), so every group is bounded: (sample, k) sums L terms,
@@ -67,21 +67,6 @@ def idft(spec: DataFrame, times: DataFrame, keys, t: str, out: str, scale: Colum
     return j.groupBy(*keys, t).agg((F.sum(term) * F.first(sc)).alias(out))
 
 
-def circular_correlation(df: DataFrame, keys, t: str, x: str, y: str | None = None) -> DataFrame:
-    """r[tau] = sum_t x[(t + tau) mod L] * y[t] for tau = 0..L-1."""
-    keys = _keys(keys)
-    y = y or x
-    d = with_count(df.select(*keys, t, x, *([y] if y != x else [])), keys, "L")
-    d = d.withColumn("tau", F.explode(F.sequence(F.lit(0).cast("long"), F.col("L") - 1)))
-    d = d.withColumn("_src", (F.col(t) + F.col("tau")) % F.col("L"))
-    v = df.select(*[F.col(k).alias(f"_v_{k}") for k in keys], F.col(t).alias("_vt"), F.col(x).alias("_vx"))
-    cond = F.col("_src") == F.col("_vt")
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"_v_{k}"))
-    j = d.join(v, cond)
-    return j.groupBy(*keys, "tau").agg(F.sum(F.col("_vx") * F.col(y)).alias("corr"))
-
-
 def softshrink(c: Column, lam: float) -> Column:
     return F.signum(c) * F.greatest(F.abs(c) - F.lit(lam), F.lit(0.0))
 

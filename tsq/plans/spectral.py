@@ -11,7 +11,7 @@ import math
 from pyspark.sql import functions as F
 
 from tsq.operators import spectral as sp
-from tsq.operators.windows import with_count
+from tsq.operators import spectrum as sq
 from tsq.plans import sqlparts as S
 from tsq.plans.registry import dbl, query, r, rnd, rounded
 from tsq.plans.windows import EVENTS_SQL, indexed_events
@@ -34,13 +34,13 @@ def _ang(k, t, n):
 
 SPEC_SQL = f"""s AS ({S.SEQUENCES}), ln AS (SELECT sample_id, count(*) AS L FROM s GROUP BY 1),
 spec AS (SELECT s.sample_id, kk.k, sum(s.value * cos({_ang('kk.k', 's.t', 'ln.L')})) AS re,
-                -sum(s.value * sin({_ang('kk.k', 's.t', 'ln.L')})) AS im, any_value(ln.L) AS L
+                CASE WHEN kk.k = 0 OR 2 * kk.k = any_value(ln.L) THEN 0.0 ELSE -sum(s.value * sin({_ang('kk.k', 's.t', 'ln.L')})) END AS im, any_value(ln.L) AS L
          FROM s JOIN ln USING (sample_id) CROSS JOIN unnest(range(0, ln.L // 2 + 1)) AS kk(k) GROUP BY 1, 2),
 sa AS (SELECT *, sqrt(re * re + im * im) AS amp FROM spec)"""
 
 
 def _spec(spark, sf):
-    return sp.dft(tb.sequences(spark, sf), "sample_id", "t", "value")
+    return sq.frequencies(tb.sequence_arrays(spark, sf), "sample_id", "x")
 
 
 def _idft_sql(spec_rel, times_rel, out):
@@ -51,9 +51,12 @@ def _idft_sql(spec_rel, times_rel, out):
             f"FROM {times_rel} g JOIN {spec_rel} f USING (sample_id) GROUP BY g.sample_id, g.t")
 
 
-@query("rfft_amplitude", f"WITH {SPEC_SQL} SELECT sample_id, k, {r('re')} AS re, {r('im')} AS im, {r('amp')} AS amp FROM sa")
+@query("rfft_amplitude", f"WITH {SPEC_SQL} SELECT sample_id, k, {r('re')} AS re, {r('im')} AS im, {r('amp')} AS amp, "
+       f"{r(f'CASE WHEN amp < {dbl(sq.NO_PHASE)} THEN 0.0 ELSE atan2(im, re) END')} AS phase FROM sa")
 def q_rfft(spark, sf):
-    return rounded(_spec(spark, sf).select("sample_id", "k", "re", "im", "amp"))
+    """Real DFT of every window: real and imaginary part, amplitude and
+    phase, one batch FFT over the windows of an Arrow batch."""
+    return rounded(_spec(spark, sf).select("sample_id", "k", "re", "im", "amp", "phase"))
 
 
 @query("topk_frequencies", f"""
@@ -193,12 +196,7 @@ ac AS (SELECT a.sample_id, tau.tau, sum(b.value * a.value) AS corr
 @query("autocorrelation", f"WITH {CORR_SQL} SELECT sample_id, tau, {r('corr')} AS corr FROM ac")
 def q_autocorr(spark, sf):
     """Circular autocorrelation r[tau] = sum_t x[(t+tau) mod L] x[t], all L lags."""
-    s = tb.sequences(spark, sf)
-    return rounded(sp.circular_correlation(s, "sample_id", "t", "value"))
-
-
-def _n_delays(L: int = 64) -> int:
-    return int(DELAY_FACTOR * math.log(L))
+    return rounded(sq.correlations(tb.sequence_arrays(spark, sf), "sample_id", "x"))
 
 
 DELAY_SQL = f"""{CORR_SQL},
@@ -209,20 +207,14 @@ td AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER
 @query("topk_delays", f"WITH {DELAY_SQL} SELECT sample_id, rk AS rank, tau, {r('corr')} AS corr FROM td")
 def q_topk_delays(spark, sf):
     """Top floor(factor * ln L) delays by autocorrelation per series."""
-    return rounded(top_delays(spark, sf))
+    d = with_delays(spark, sf).select("sample_id", F.posexplode("lags").alias("at", "lag"))
+    return rounded(d.select("sample_id", (F.col("at") + 1).alias("rank"), "lag.tau", "lag.corr"))
 
 
-def top_delays(spark, sf):
-    s = tb.sequences(spark, sf)
-    ac = with_count(s, "sample_id", "L").select("sample_id", "L").distinct() \
-        .join(sp.circular_correlation(s, "sample_id", "t", "value"), "sample_id")
-    from pyspark.sql import Window
-    # r[tau] = r[L - tau] for a real series: rank on the value rounded to
-    # 9 decimals so mirrored lags tie exactly and the smaller lag wins
-    w = Window.partitionBy("sample_id").orderBy(rnd("corr", 9).desc(), F.col("tau"))
-    ac = ac.withColumn("rank", F.row_number().over(w))
-    ac = ac.filter(F.col("rank") <= F.floor(F.lit(DELAY_FACTOR) * F.log(F.col("L").cast("double"))))
-    return ac.select("sample_id", "rank", "tau", "corr")
+def with_delays(spark, sf):
+    """Windows with their top delays."""
+    d = tb.sequence_arrays(spark, sf).withColumn("corr", sq.correlation("x"))
+    return d.withColumn("lags", sq.delays("corr", DELAY_FACTOR))
 
 
 @query("delay_aggregate", f"""
@@ -235,16 +227,8 @@ JOIN s b ON b.sample_id = a.sample_id AND b.t = (a.t + wn.tau) % ln.L GROUP BY a
 def q_delay_aggregate(spark, sf):
     """Softmax of the top-k correlations weights the series rolled by each
     delay: out[t] = sum_i w_i x[(t + tau_i) mod L]."""
-    s = tb.sequences(spark, sf)
-    td = top_delays(spark, sf)
-    mx = td.groupBy("sample_id").agg(F.max("corr").alias("_m"))
-    wt = td.join(mx, "sample_id").withColumn("e", F.exp(F.col("corr") - F.col("_m")))
-    z = wt.groupBy("sample_id").agg(F.sum("e").alias("_z"))
-    wn = wt.join(z, "sample_id").select("sample_id", "tau", (F.col("e") / F.col("_z")).alias("w"))
-    a = with_count(s, "sample_id", "L").join(wn, "sample_id").withColumn("_src", (F.col("t") + F.col("tau")) % F.col("L"))
-    b = s.select(F.col("sample_id").alias("_s"), F.col("t").alias("_t"), F.col("value").alias("_v"))
-    j = a.join(b, (F.col("sample_id") == F.col("_s")) & (F.col("_src") == F.col("_t")))
-    return rounded(j.groupBy("sample_id", "t").agg(F.sum(F.col("w") * F.col("_v")).alias("value")))
+    d = with_delays(spark, sf).where(F.size("lags") > 0)
+    return rounded(d.select("sample_id", F.posexplode(sq.delay_aggregate("x", "lags")).alias("t", "value")))
 
 
 CONV_ALPHA, CONV_K = 0.3, 16
