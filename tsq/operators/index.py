@@ -88,12 +88,12 @@ def halo(
 ) -> DataFrame:
     """Assign rows to blocks of ``block`` rows with ``back``/``ahead`` copies.
 
-    Adds ``_blk`` (block id) and ``_halo`` (True for copied rows).  Window
+    A block is at least as long as its halo.  Adds ``_blk`` (block id) and
+    ``_halo`` (True for copied rows).  Window
     with ``Window.partitionBy(*keys, '_blk').orderBy(t)`` and keep
     ``core_rows``.
     """
-    if back > block or ahead > block:
-        raise ValueError("halo wider than a block")
+    block = max(block, back, ahead)  # copies reach the neighbouring blocks only
     tc = F.col(t)
     blk = F.floor(tc / F.lit(block)).cast("long")
     pos = tc - blk * F.lit(block)
