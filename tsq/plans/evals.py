@@ -14,6 +14,7 @@ from tsq.functions import rng
 from tsq.operators import clean as cl
 from tsq.operators import features as fe
 from tsq.operators import forecast as fc
+from tsq.operators import lagged as lg
 from tsq.operators import metrics as me
 from tsq.operators import windows as wo
 from tsq.operators.index import series_index
@@ -102,16 +103,40 @@ def q_forecast_eval(spark, sf):
 LIN_P = 12
 
 
+# the fitted map: products of (look-back, 1, horizon) summed over the training windows, the first
+# seq_len + 1 variables swept; then rows are variables and columns 26 to 37 the steps' coefficients
+LINEAR_SQL = f"""WITH RECURSIVE {FC_SQL},
+near AS (SELECT t, list(z) OVER (ORDER BY t ROWS BETWEEN CURRENT ROW AND {SEQ_LEN + LIN_P - 1} FOLLOWING) AS a FROM z),
+v AS (SELECT 1 AS one, list_concat(a[1:{SEQ_LEN}], [1.0::DOUBLE], a[{SEQ_LEN + 1}:]) AS v FROM near CROSS JOIN c WHERE t + {SEQ_LEN + LIN_P} <= c.n_train),
+gr AS {S.gram('v', 'one')},
+sw AS (
+  SELECT 1 AS k, m, m AS g FROM gr
+  UNION ALL
+  SELECT k + 1, {S.SWEPT}, g FROM sw WHERE k <= {SEQ_LEN + 1}),
+fit AS (
+  SELECT h, [m[i][{SEQ_LEN + 1} + h] for i in range(1, {SEQ_LEN + 1})] AS w, m[{SEQ_LEN + 1}][{SEQ_LEN + 1} + h] AS b
+  FROM sw, range(1, {LIN_P + 1}) hh(h) WHERE k = {SEQ_LEN + 2})"""
+
+
 @query("linear_ar_forecast", f"""
-WITH {FC_SQL}
-SELECT s AS window_id, h, {r('lb_mean')} AS y_pred FROM g WHERE pred_len = {LIN_P}
+{LINEAR_SQL}
+SELECT g.s AS window_id, g.h, {r('lb_mean')} AS y_pred, {r(f'list_dot_product(near.a[1:{SEQ_LEN}], fit.w) + fit.b')} AS y_fit
+FROM g JOIN near ON near.t = g.s JOIN fit ON fit.h = g.h WHERE pred_len = {LIN_P}
 """)
 def q_linear_ar(spark, sf):
-    """Linear look-back -> horizon map in its initial form (all weights
-    1/seq_len): every step predicts the look-back mean (test windows)."""
+    """Linear look-back -> horizon map on the test windows: in its initial
+    form (all weights 1/seq_len: the look-back mean) and fitted by least
+    squares on the training windows, all steps at once."""
     z = scaled_daily(spark, sf).withColumn("_lo", F.col("_n") - F.col("n_test") - F.lit(SEQ_LEN))
-    m = model_forecasts(z, SEQ_LEN, [LIN_P], lo="_lo", hi="_n").filter(F.col("model") == "mean")
-    return rounded(m.select("window_id", "h", F.col("yhat").alias("y_pred")))
+    z = materialize(z, "scaled-daily")
+    fitted = lg.fit_linear(z.where(F.col("t") < F.floor(F.col("_n") * F.lit(0.7))), "series_id", "t", "z", SEQ_LEN, LIN_P)
+    test = z.where(F.col("t") >= F.col("_lo"))
+    key = ["series_id", "window_id", "h"]
+    first = lg.predict_linear(test, "series_id", "t", "z", lg.initial_linear(spark, SEQ_LEN, LIN_P), SEQ_LEN)
+    best = lg.predict_linear(test, "series_id", "t", "z", fitted, SEQ_LEN).withColumnRenamed("y_pred", "y_fit")
+    ends = z.groupBy("series_id").agg(F.max("_n").alias("_n"))
+    out = first.join(best, key).join(ends, "series_id").where(F.col("window_id") + F.lit(SEQ_LEN + LIN_P) <= F.col("_n"))
+    return rounded(out.select("window_id", "h", "y_pred", "y_fit"))
 
 
 @query("forecast_ensemble", f"""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tsq.operators import align as al
 from tsq.operators import lagged
 from tsq.operators import similarity as si
+from tsq.plans import sqlparts as S
 from tsq.plans.registry import dbl, query, r, rounded
 from tsq.plans.windows import EVENTS_SQL, indexed_events
 from tsq.sources import tables as tb
@@ -110,19 +111,6 @@ def q_adf(spark, sf):
     return rounded(si.adf_spark(e, "series_id", "t", "value"))
 
 
-def _gram(rel: str, group: str) -> str:
-    """Products of the lists ``v`` of ``rel`` summed for each series, as a list of rows."""
-    return f"""(SELECT {group}, list(row ORDER BY i) AS m FROM (
-    SELECT {group}, i, list(s ORDER BY j) AS row FROM (
-      SELECT {group}, i, j, sum(v[i] * v[j]) AS s FROM {rel}, unnest(range(1, len(v) + 1)) a(i), unnest(range(1, len(v) + 1)) b(j) GROUP BY ALL)
-    GROUP BY ALL) GROUP BY ALL)"""
-
-
-# m after the k-th variable is swept (left alone if it depends on those before)
-_SWEPT = """CASE WHEN m[k][k] <= 1e-10 * g[k][k] OR g[k][k] <= 0 THEN m ELSE
-      [[CASE WHEN i = k AND j = k THEN 1 / m[k][k] WHEN i = k THEN m[k][j] / m[k][k] WHEN j = k THEN -m[i][k] / m[k][k]
-             ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END for j in range(1, len(m) + 1)] for i in range(1, len(m) + 1)] END"""
-
 ADF_SEARCH_SQL = f"""
 WITH RECURSIVE {EVENTS_SQL},
 c AS (SELECT series_id, count(*) AS n, arg_min(value, t) AS x0 FROM ev GROUP BY 1),
@@ -130,21 +118,21 @@ p AS (SELECT *, greatest(least(CAST(ceil(12.0 * pow(n / 100.0, 0.25)) AS INTEGER
 dy AS (SELECT series_id, t, lag(value) OVER w - x0 AS l, value - lag(value) OVER w AS y, n, p FROM ev JOIN p USING (series_id) WINDOW w AS (PARTITION BY series_id ORDER BY t)),
 df AS (SELECT *, list(y) OVER (PARTITION BY series_id ORDER BY t DESC ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS past FROM dy WHERE y IS NOT NULL),
 r1 AS (SELECT series_id, list_concat([1.0::DOUBLE, l], coalesce(past[1:p], []), [y]) AS v FROM df WHERE t >= p + 1),
-g1 AS {_gram('r1', 'series_id')},
+g1 AS {S.gram('r1', 'series_id')},
 s1 AS (
   SELECT series_id, 1 AS k, m, m AS g FROM g1
   UNION ALL
-  SELECT series_id, k + 1, {_SWEPT}, g FROM s1 WHERE k < len(m)),
+  SELECT series_id, k + 1, {S.SWEPT}, g FROM s1 WHERE k < len(m)),
 best AS (
   SELECT s1.series_id, arg_min(s1.k - 3, (CASE WHEN m[-1][-1] <= 1e-12 * greatest(g[-1][-1], 1e-300) THEN -1e300
            ELSE round((p.n - p.p - 1) * ln(m[-1][-1] / (p.n - p.p - 1)) + 2 * (s1.k - 3), 9) END, s1.k)) AS lag
   FROM s1 JOIN p USING (series_id) WHERE s1.k >= 3 GROUP BY 1),
 r2 AS (SELECT series_id, lag, list_concat([1.0::DOUBLE, l], coalesce(past[1:lag], []), [y]) AS v FROM df JOIN best USING (series_id) WHERE t >= lag + 1),
-g2 AS {_gram('r2', 'series_id')},
+g2 AS {S.gram('r2', 'series_id')},
 s2 AS (
   SELECT series_id, 1 AS k, m, m AS g FROM g2
   UNION ALL
-  SELECT series_id, k + 1, {_SWEPT}, g FROM s2 WHERE k < len(m)),
+  SELECT series_id, k + 1, {S.SWEPT}, g FROM s2 WHERE k < len(m)),
 a AS (
   SELECT best.series_id, best.lag, CASE WHEN p.n - 1 - lag - (lag + 2) > 0 AND m[-1][-1] > 1e-12 * greatest(g[-1][-1], 1e-300) AND g[2][2] > 0 AND m[2][2] > 0
          THEN m[2][len(m)] / sqrt(m[-1][-1] / (p.n - 1 - lag - (lag + 2)) * m[2][2]) END AS adf
@@ -230,6 +218,7 @@ FROM fa JOIN fs USING (a_id, b_id)"""
 ORACLE_DTW_FULL = f"""WITH RECURSIVE {PAIRS_SQL}, {dtw_sql('dg', 'pairs', 'symmetric', FULL_BAND)}, f AS ({_final('dg', 'pairs')})
 SELECT a_id AS vec_id, b_id AS partner_id, {r('v')} AS dtw FROM f"""
 
+from tsq.plans import sqlparts as S
 from tsq.plans.registry import ORACLES as _ORACLES  # noqa: E402
 
 _ORACLES["dtw_distance"] = ORACLE_DTW_DISTANCE

@@ -57,3 +57,17 @@ SELECT doc_id,
        source, lang
 FROM documents
 """
+
+
+def gram(rel: str, group: str) -> str:
+    """Products of the lists ``v`` of ``rel`` summed for each series, as a list of rows."""
+    return f"""(SELECT {group}, list(row ORDER BY i) AS m FROM (
+    SELECT {group}, i, list(s ORDER BY j) AS row FROM (
+      SELECT {group}, i, j, sum(v[i] * v[j]) AS s FROM {rel}, unnest(range(1, len(v) + 1)) a(i), unnest(range(1, len(v) + 1)) b(j) GROUP BY ALL)
+    GROUP BY ALL) GROUP BY ALL)"""
+
+
+# m after the k-th variable is swept (left alone if it depends on those before)
+SWEPT = """CASE WHEN m[k][k] <= 1e-10 * g[k][k] OR g[k][k] <= 0 THEN m ELSE
+      [[CASE WHEN i = k AND j = k THEN 1 / m[k][k] WHEN i = k THEN m[k][j] / m[k][k] WHEN j = k THEN -m[i][k] / m[k][k]
+             ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END for j in range(1, len(m) + 1)] for i in range(1, len(m) + 1)] END"""
