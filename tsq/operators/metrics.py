@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsq.operators.index import _keys, series_index
+from tsq.session import materialize
 
 # numpy float64 machine epsilon (the normalisers add it to denominators)
 FLOAT_EPS = 2.220446049250313e-16
@@ -174,7 +175,8 @@ def exact_percentile(df: DataFrame, col: str, q: float, buckets: int = 65536) ->
     distinct value -- runs of equal values collapse in the partial
     aggregate instead of being ranked row by row.  One-row result
     ``percentile``."""
-    v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # written once, narrow: the passes below read it again
+    v = materialize(df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()), "percentile-of")
     # approximate quantiles bracket the rank, so that outliers don't stretch the buckets
     near = F.percentile_approx("_v", F.array(F.lit(max(q - 2e-4, 0.0)), F.lit(min(q + 2e-4, 1.0))), F.lit(10000))
     ends = v.agg(near.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count(F.lit(1)).alias("_n"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tsq.functions import rng
+from tsq.operators import anomaly as an
 from tsq.operators import clean as cl
 from tsq.operators import features as fe
 from tsq.operators import forecast as fc
@@ -251,52 +252,96 @@ ANOMALY_RATIO = 20.0
 RECON_K = 5
 
 
-def anomaly_scores(spark, sf):
+ANOMALY_WINDOW, ANOMALY_AXES = 8, 3
+
+
+def anomaly_windows(spark, sf):
+    """Windows of the training part and of the test part of every series,
+    scaled with the training part's statistics."""
     e = wo.with_count(indexed_events(spark, sf), "series_id")
     e = e.withColumn("n_train", F.floor(F.col("_n") * F.lit(0.7)))
     st = me.fit_standard(e.filter(F.col("t") < F.col("n_train")), ["value"], keys="series_id")
     z = me.apply_standard(e, st, ["value"], keys="series_id")
-    dec = wo.decompose(z, "series_id", "t", "value", [RECON_K], trend="rec", seasonal="res")
-    return dec.withColumn("energy", F.col("res") * F.col("res"))
+    z = z.withColumn("split", F.when(F.col("t") < F.col("n_train"), F.lit("train")).otherwise(F.lit("test")))
+    return an.windows(z, ["series_id", "split"], "t", {"x": "value", "label": "label"}, ANOMALY_WINDOW)
+
+
+def anomaly_scores(spark, sf, components: bool = False):
+    """One energy for each window and step, by the moving average of the
+    window itself or by the components of all training windows."""
+    w = materialize(anomaly_windows(spark, sf), "anomaly-windows")
+    if components:
+        model = an.fit_components(w.where("split = 'train'"), "x", ANOMALY_AXES)
+        w = w.withColumn("e", an.component_energy(model, "x")) if model else w.limit(0).withColumn("e", F.col("x"))
+    else:
+        w = w.withColumn("e", an.smooth_energy("x", ANOMALY_WINDOW, RECON_K))
+    return an.scores(w, ["series_id", "split"], "e", "label")
 
 
+W_ = ANOMALY_WINDOW
 AN_SQL = f"""{EVENTS_SQL}, c AS (SELECT series_id, count(*) AS n, floor(count(*) * {dbl(0.7)}) AS n_train FROM ev GROUP BY 1),
 st AS (SELECT series_id, avg(value) AS m, CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS s
        FROM ev JOIN c USING (series_id) WHERE t < n_train GROUP BY 1),
-z AS (SELECT ev.series_id, ev.t, ev.label, (ev.value - st.m) / st.s AS x, c.n_train FROM ev JOIN st USING (series_id) JOIN c USING (series_id)),
-rc AS (SELECT *, (sum(x) OVER w + (2 - count(*) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)) * first_value(x) OVER wa
-          + (2 - count(*) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) * last_value(x) OVER wa) / 5.0 AS rec
-       FROM z WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING),
-                     wa AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-en AS (SELECT *, (x - rec) * (x - rec) AS energy FROM rc),
-th AS (SELECT quantile_cont(energy, {dbl(1 - ANOMALY_RATIO / 100)}) AS thr FROM en),
-te AS (SELECT series_id, t, label AS gt, CAST(energy > thr AS INTEGER) AS pred,
-              CASE WHEN label = 1 AND coalesce(lag(label) OVER (PARTITION BY series_id ORDER BY t), 0) = 0 THEN t END AS st0
-       FROM en CROSS JOIN th WHERE t >= n_train),
-sg AS (SELECT *, CASE WHEN gt = 1 THEN max(st0) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS seg FROM te),
+z AS (SELECT ev.series_id, ev.t, ev.label, (ev.value - st.m) / st.s AS x, CASE WHEN ev.t < c.n_train THEN 'train' ELSE 'test' END AS split,
+             CASE WHEN ev.t < c.n_train THEN c.n_train ELSE c.n END AS stop
+      FROM ev JOIN st USING (series_id) JOIN c USING (series_id)),
+wx AS (SELECT a.series_id, a.split, a.t AS window_id, b.t - a.t AS step, b.x, b.label
+       FROM z a JOIN z b ON b.series_id = a.series_id AND b.split = a.split AND b.t BETWEEN a.t AND a.t + {W_ - 1} WHERE a.t + {W_} <= a.stop),
+rc AS (SELECT *, (sum(x) OVER w + (2 - least(step, 2)) * first_value(x) OVER wa + (2 - least({W_ - 1} - step, 2)) * last_value(x) OVER wa) / 5.0 AS rec
+       FROM wx WINDOW w AS (PARTITION BY series_id, split, window_id ORDER BY step ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING),
+                      wa AS (PARTITION BY series_id, split, window_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+en AS (SELECT *, (x - rec) * (x - rec) AS energy FROM rc)"""
+
+ADJUST_SQL = f"""th AS (SELECT quantile_cont(energy, {dbl(1 - ANOMALY_RATIO / 100)}) AS thr FROM en),
+te AS (SELECT series_id, window_id * {W_} + step AS t, label AS gt, CAST(energy > thr AS INTEGER) AS pred FROM en CROSS JOIN th WHERE split = 'test'),
+t0 AS (SELECT *, CASE WHEN gt = 1 AND coalesce(lag(gt) OVER (PARTITION BY series_id ORDER BY t), 0) = 0 THEN t END AS st0 FROM te),
+sg AS (SELECT *, CASE WHEN gt = 1 THEN max(st0) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS seg FROM t0),
 adj AS (SELECT gt, CASE WHEN seg IS NOT NULL AND max(pred) OVER (PARTITION BY series_id, seg) = 1 THEN 1 ELSE pred END AS pred FROM sg),
 cnt AS (SELECT sum(CAST(gt = 1 AND pred = 1 AS DOUBLE)) AS tp, sum(CAST(gt = 0 AND pred = 1 AS DOUBLE)) AS fp,
                sum(CAST(gt = 1 AND pred = 0 AS DOUBLE)) AS fn, avg(CAST(gt = pred AS DOUBLE)) AS acc, count(*) AS n FROM adj)"""
 
 
-@query("anomaly_eval", f"""
+@query("anomaly_window_scores", f"""
 WITH {AN_SQL}
+SELECT series_id, split, window_id, step, label, {r('energy')} AS energy FROM en
+""")
+def q_anomaly_window_scores(spark, sf):
+    """Energies of all windows and steps (moving-average reconstruction)."""
+    return rounded(anomaly_scores(spark, sf))
+
+
+def _evaluated(s):
+    """Threshold = percentile of all window energies of both parts; detect on
+    the test windows one after the other, point-adjust, score."""
+    s = materialize(s, "anomaly-scores")
+    thr = me.exact_percentile(s, "energy", 1 - ANOMALY_RATIO / 100)
+    te = s.filter(F.col("split") == "test").crossJoin(F.broadcast(thr))
+    te = te.select("series_id", (F.col("window_id") * ANOMALY_WINDOW + F.col("step")).alias("t"), F.col("label").alias("gt"),
+                   (F.col("energy") > F.col("percentile")).cast("int").alias("pred"))
+    adj = wo.point_adjust(te, "series_id", "t")
+    return rounded(adj.agg(me.accuracy("gt", "pred_adj").alias("accuracy"), *me.prf_binary("gt", "pred_adj"), F.count(F.lit(1)).alias("n")))
+
+
+@query("anomaly_eval", f"""
+WITH {AN_SQL},
+{ADJUST_SQL}
 SELECT {r('acc')} AS accuracy, {r('coalesce(tp / nullif(tp + fp, 0), 0.0)')} AS precision,
        {r('coalesce(tp / nullif(tp + fn, 0), 0.0)')} AS recall,
        {r('coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0.0)')} AS f1, n FROM cnt
 """)
 def q_anomaly_eval(spark, sf):
-    """scale (train stats per series) -> reconstruct (centred moving
-    average) -> energy -> threshold = percentile of train+test energies ->
-    detect on test rows -> point adjust -> accuracy / precision / recall / F1."""
-    # scores feed both the threshold and the detection: computed once
-    s = materialize(anomaly_scores(spark, sf))
-    thr = me.exact_percentile(s, "energy", 1 - ANOMALY_RATIO / 100)
-    te = s.filter(F.col("t") >= F.col("n_train")).crossJoin(F.broadcast(thr))
-    te = te.select("series_id", "t", F.col("label").alias("gt"), (F.col("energy") > F.col("percentile")).cast("int").alias("pred"))
-    adj = wo.point_adjust(te, "series_id", "t")
-    return rounded(adj.agg(me.accuracy("gt", "pred_adj").alias("accuracy"), *me.prf_binary("gt", "pred_adj"),
-                           F.count(F.lit(1)).alias("n")))
+    """scale (train stats per series) -> windows of either part -> rebuild
+    (centred moving average of the window) -> energy per (window, step) ->
+    threshold = percentile of train+test energies -> detect on test windows ->
+    point adjust -> accuracy / precision / recall / F1."""
+    return _evaluated(anomaly_scores(spark, sf))
+
+
+@query("anomaly_eval_pca")
+def q_anomaly_eval_pca(spark, sf):
+    """The same with windows rebuilt from the leading principal components of
+    all training windows (no SQL: tested against numpy)."""
+    return _evaluated(anomaly_scores(spark, sf, components=True))
 
 
 # ------------------------------------------------------------ imputation

@@ -70,18 +70,32 @@ def q_topk_freq(spark, sf):
 
 
 @query("detect_period", f"""
-WITH {SPEC_SQL}, m AS (SELECT k, CASE WHEN k = 0 THEN 0.0 ELSE avg(amp) END AS mean_amp, max(L) AS L FROM sa GROUP BY k)
-SELECT rk AS rank, k, CAST(L // k AS BIGINT) AS period, {r('mean_amp')} AS mean_amp FROM (
-  SELECT *, row_number() OVER (ORDER BY mean_amp DESC, k) AS rk FROM m WHERE k > 0) WHERE rk <= {TOPK}
+WITH {SPEC_SQL}, m AS (SELECT k, CASE WHEN k = 0 THEN 0.0 ELSE avg(amp) END AS mean_amp FROM sa GROUP BY k),
+top AS (SELECT *, row_number() OVER (ORDER BY mean_amp DESC, k) AS rk FROM m WHERE k > 0 QUALIFY rk <= {TOPK}),
+w AS (SELECT sa.sample_id, top.rk, top.k, CAST(sa.L // top.k AS BIGINT) AS period, top.mean_amp, sa.amp,
+             exp(sa.amp - max(sa.amp) OVER (PARTITION BY sa.sample_id)) AS e FROM sa JOIN top USING (k))
+SELECT sample_id, rk AS rank, k, period, {r('mean_amp')} AS mean_amp, {r('amp')} AS amp,
+       {r('e / sum(e) OVER (PARTITION BY sample_id)')} AS weight FROM w
 """)
 def q_detect_period(spark, sf):
-    """Mean amplitude spectrum over all samples, DC zeroed, top-k
-    frequencies and their periods L // k (the ranking runs over the
-    L/2 + 1 frequencies: a bounded table)."""
-    s = _spec(spark, sf)
-    m = s.groupBy("k").agg(F.avg("amp").alias("mean_amp"), F.max("L").alias("L")).withColumn("_g", F.lit(0))
-    t = sp.rank_freqs(m, "_g", TOPK, score="mean_amp")
-    return rounded(t.select("rank", "k", F.floor(F.col("L") / F.col("k")).cast("long").alias("period"), "mean_amp"))
+    """Top-k frequencies of the mean amplitude spectrum over all samples (DC
+    left out) and their periods L // k; each sample weights these shared
+    periods by the softmax of its own amplitudes there.
+
+    The ranking runs over the L/2 + 1 frequencies (a bounded table), the
+    selection is one row of k entries, and weights are made inside each
+    sample's row: no sample is shuffled."""
+    x = tb.sequence_arrays(spark, sf).select("sample_id", F.size("x").cast("long").alias("L"), sq.spectrum("x")["amp"].alias("amps"))
+    m = x.select(F.posexplode("amps").alias("k", "amp")).where("k > 0").groupBy("k").agg(F.avg("amp").alias("mean_amp"))
+    top = sp.rank_freqs(m.withColumn("_g", F.lit(0)), "_g", TOPK, score="mean_amp")
+    top = top.agg(F.sort_array(F.collect_list(F.struct("rank", F.col("k").cast("long").alias("k"), "mean_amp"))).alias("top"))
+    d = x.crossJoin(F.broadcast(top))
+    amp = F.transform("top", lambda p: F.get("amps", p["k"].cast("int")))
+    d = d.withColumn("amp", amp).withColumn("e", F.transform("amp", lambda a: F.coalesce(F.exp(a - F.array_max("amp")), F.lit(0.0))))
+    total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
+    d = d.select("sample_id", "L", F.explode(F.arrays_zip("top", "amp", F.transform("e", lambda v: v / total).alias("weight"))).alias("p"))
+    return rounded(d.select("sample_id", "p.top.rank", "p.top.k", F.floor(F.col("L") / F.col("p.top.k")).cast("long").alias("period"),
+                            "p.top.mean_amp", "p.amp", "p.weight"))
 
 
 N_SHARED = f"CAST(floor((SELECT count(DISTINCT k) FROM sa) * {dbl(SHARED_ALPHA)}) AS BIGINT)"
