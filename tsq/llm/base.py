@@ -133,13 +133,21 @@ def fold_of(doc_id: Column, mod: int) -> Column:
 
 
 def first_by_hash(df: DataFrame, group: str, rows: int) -> DataFrame:
-    """At most ``rows`` distinct rows of each value of ``group``, the first by
-    a hash of the whole row (the same ones on every retry, whatever repeats)."""
+    """At most ``rows`` distinct rows of each value of ``group`` (few values),
+    the first by a hash of the whole row: the same ones on every retry,
+    whatever repeats.
+
+    Only hashes are shuffled and written; of these, those up to a cut that
+    holds some more than ``rows`` are ranked, and the rows that stay are found
+    by a broadcast of at most ``rows`` hashes for each value."""
     d = df.withColumn("_hash", F.xxhash64(*df.columns))
+    hashes = stored(d.select(group, "_hash").distinct(), "hashes")
+    share = hashes.groupBy(group).agg((F.lit(rows + 10 * rows**0.5 + 50) / F.count(F.lit(1))).alias("_share"))
+    at = (F.col("_hash").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     order = Window.partitionBy(group).orderBy("_hash")
-    some = (d.select(group, "_hash").distinct().withColumn("_at", F.row_number().over(order))
-            .where(F.col("_at") <= rows).select(group, "_hash"))
-    return d.join(some, [group, "_hash"], "left_semi").dropDuplicates([group, "_hash"]).drop("_hash")
+    some = (hashes.join(F.broadcast(share), group).where(at <= F.col("_share"))
+            .withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= rows).select(group, "_hash"))
+    return d.join(F.broadcast(some), [group, "_hash"], "left_semi").dropDuplicates([group, "_hash"]).drop("_hash")
 
 
 #: What operators keep in a worker between tasks: how to free it.
