@@ -83,12 +83,79 @@ def haar_split(df: DataFrame, keys, t: str, x: str) -> DataFrame:
                     ((F.col("_e") - F.col("_o")) / F.lit(r2)).alias("detail"))
 
 
-def circular_extend(df: DataFrame, keys, t: str, x: str) -> DataFrame:
-    """Extend each series circularly to the next power of two:
-    x_ext[t] = x[t mod N]."""
+def haar_merge(df: DataFrame, keys, i: str, smooth: str, detail: str, t: str, out: str, length: str | None = None) -> DataFrame:
+    """Inverse of :func:`haar_split`: two points from each pair of
+    coefficients, cut back to ``length`` points (a column) if given."""
     keys = _keys(keys)
-    d = with_count(df.select(*keys, t, x), keys, "_n")
-    p2 = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n").cast("double")))).cast("long")
-    d = d.withColumn("_reps", F.sequence(F.lit(0).cast("long"), F.floor((p2 - 1 - F.col(t)) / F.col("_n")).cast("long")))
-    d = d.withColumn("_r", F.explode("_reps")).withColumn(t, F.col(t) + F.col("_r") * F.col("_n"))
-    return d.select(*keys, t, x)
+    r2 = F.lit(math.sqrt(2.0))
+    two = F.array(F.struct((F.col(i) * 2).alias(t), ((F.col(smooth) + F.col(detail)) / r2).alias(out)),
+                  F.struct((F.col(i) * 2 + 1).alias(t), ((F.col(smooth) - F.col(detail)) / r2).alias(out)))
+    d = df.select(*keys, *([length] if length else []), F.inline(two))
+    return (d.where(F.col(t) < F.col(length)) if length else d).select(*keys, t, out)
+
+
+def _levels(points: Column) -> Column:
+    """Levels of a series of so many points (a power of two)."""
+    return F.round(F.log2(points.cast("double"))).cast("int")
+
+
+def haar_analysis(df: DataFrame, keys, t: str, x: str) -> DataFrame:
+    """All levels of the orthonormal Haar transform of every series (``t``:
+    positions from 0), circularly extended to P points, the next power of two:
+    (keys, level, i, smooth, detail, n), n the length of the series.
+
+    A coefficient of level j is the signed sum of its 2^j points over 2^(j/2),
+    so every point is added to its coefficient on each level in one keyed
+    aggregate, whatever the number of levels.  A series of one point has level
+    0 alone (its value as smooth, no detail)."""
+    keys = _keys(keys)
+    d = with_count(df.select(*keys, t, x), keys, "n")
+    p2 = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("long")
+    d = d.withColumn("_p", p2)
+    again = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_p") - 1 - F.col(t)) / F.col("n")).cast("long"))
+    d = d.withColumn("_r", F.explode(again)).withColumn("_t", F.col(t) + F.col("_r") * F.col("n"))
+    top = _levels(F.col("_p"))
+    d = d.withColumn("level", F.explode(F.when(top == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), top))))
+    block = F.pow(F.lit(2.0), F.col("level")).cast("long")
+    first_half = F.col("_t") % block < F.greatest(F.floor(block / 2), F.lit(1))
+    g = d.groupBy(*keys, "n", "level", F.floor(F.col("_t") / block).cast("long").alias("i")).agg(
+        F.sum(F.when(first_half, F.col(x))).alias("_a"), F.sum(F.when(~first_half, F.col(x))).alias("_b"))
+    scale = F.sqrt(F.pow(F.lit(2.0), F.col("level")))
+    return g.select(*keys, "level", "i", ((F.col("_a") + F.coalesce("_b", F.lit(0.0))) / scale).alias("smooth"),
+                    F.when(F.col("level") > 0, (F.col("_a") - F.col("_b")) / scale).alias("detail"), "n")
+
+
+#: Levels whose coefficients are joined to single points; those above reach blocks of 2^FINE points first.
+FINE = 12
+
+
+def haar_synthesis(coefficients: DataFrame, keys, t: str = "t", out: str = "value") -> DataFrame:
+    """The series that :func:`haar_analysis` came from, cut back to its n
+    points: (keys, t, out).
+
+    A point is the signed sum of the details above it and the top smooth.
+    Blocks of 2^FINE points get the part of the levels above FINE first, then
+    every point the part of its own levels and its block's, so no key of a
+    join meets more than 2^FINE points, or the blocks of one series."""
+    keys = _keys(keys)
+    c = coefficients.select(*keys, "level", "i", "smooth", "detail", "n")
+    series = c.groupBy(*keys, "n").agg(F.max("level").alias("_top"), F.max_by("smooth", "level").alias("_smooth"))
+
+    def part(grid: DataFrame, at: str, shift: int, low: Column, high: Column) -> DataFrame:
+        """Sum of the details of levels low .. high above each ``at`` (a point's position shifted right)."""
+        d = grid.where(low <= high).withColumn("level", F.explode(F.sequence(low, high)))
+        place = F.col("level") - shift
+        span = F.pow(F.lit(2.0), place).cast("long")
+        d = d.withColumn("i", F.floor(F.col(at) / span).cast("long"))
+        sign = F.when(F.col(at) % span < F.floor(span / 2), F.lit(1.0)).otherwise(F.lit(-1.0))
+        j = d.join(c.select(*keys, "level", "i", "detail"), [*keys, "level", "i"])
+        return j.groupBy(*keys, at).agg(F.sum(sign * F.col("detail") / F.sqrt(F.pow(F.lit(2.0), F.col("level")))).alias("_v"))
+
+    blocks = series.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(2 ** FINE)).cast("long"))))
+    coarse = part(blocks, "_b", FINE, F.lit(FINE + 1), F.col("_top"))
+    blocks = (blocks.join(coarse, [*keys, "_b"], "left")
+              .withColumn("_base", F.coalesce("_v", F.lit(0.0)) + F.col("_smooth") / F.sqrt(F.pow(F.lit(2.0), F.col("_top")))).drop("_v"))
+    size = F.least(F.lit(2 ** FINE), F.col("n") - F.col("_b") * F.lit(2 ** FINE))
+    points = blocks.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), size - 1))).withColumn(t, F.col("_b") * F.lit(2 ** FINE) + F.col("_o"))
+    fine = part(points.select(*keys, t, "_top"), t, 0, F.lit(1), F.least(F.col("_top"), F.lit(FINE)))
+    return points.join(fine, [*keys, t], "left").select(*keys, t, (F.col("_base") + F.coalesce("_v", F.lit(0.0))).alias(out))

@@ -15,6 +15,7 @@ from tsq.operators import spectrum as sq
 from tsq.plans import sqlparts as S
 from tsq.plans.registry import dbl, query, r, rnd, rounded
 from tsq.plans.windows import EVENTS_SQL, indexed_events
+from tsq.session import materialize
 from tsq.sources import tables as tb
 
 TOPK = 3
@@ -279,43 +280,33 @@ def q_haar_split(spark, sf):
     return rounded(sp.haar_split(tb.sequences(spark, sf), "sample_id", "t", "value"))
 
 
-HAAR_LEVELS_SQL = 12
+@query("haar_merge", f"SELECT sample_id, t, {r('value')} AS value FROM ({S.SEQUENCES})")
+def q_haar_merge(spark, sf):
+    """The samples from one level of their coefficients (inverse split)."""
+    s = tb.sequences(spark, sf)
+    c = sp.haar_split(s, "sample_id", "t", "value").join(s.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")), "sample_id")
+    return rounded(sp.haar_merge(c, "sample_id", "i", "smooth", "detail", "t", "value", "n").withColumn("t", F.col("t").cast("int")))
 
 
-def _haar_multi_sql():
-    parts = [f"""{EVENTS_SQL}, c AS (SELECT series_id, count(*) AS n FROM ev GROUP BY 1),
-x0 AS (SELECT ev.series_id, ev.t + rr.r * c.n AS t, ev.value AS v FROM ev JOIN c USING (series_id)
-       CROSS JOIN unnest(range(0, CAST(pow(2, ceil(log2(c.n))) AS BIGINT))) AS rr(r)
-       WHERE ev.t + rr.r * c.n < CAST(pow(2, ceil(log2(c.n))) AS BIGINT))"""]
-    for j in range(1, HAAR_LEVELS_SQL + 1):
-        parts.append(f"""g{j} AS (SELECT series_id, CAST(floor(t / 2) AS BIGINT) AS t,
-       sum(CASE WHEN t % 2 = 0 THEN v ELSE 0.0 END) AS e, sum(CASE WHEN t % 2 = 1 THEN v ELSE 0.0 END) AS o
-       FROM x{j - 1} WHERE series_id IN (SELECT series_id FROM x{j - 1} GROUP BY 1 HAVING count(*) >= 2) GROUP BY 1, 2),
-x{j} AS (SELECT series_id, t, (e + o) / {R2} AS v, (e - o) / {R2} AS d FROM g{j})""")
-    sel = " UNION ALL ".join(f"SELECT series_id, {j} AS level, t AS i, {r('v')} AS smooth, {r('d')} AS detail FROM x{j}"
-                             for j in range(1, HAAR_LEVELS_SQL + 1))
-    return "WITH " + ",\n".join(parts) + "\n" + sel
+HAAR_SQL = f"""{EVENTS_SQL}, c AS (SELECT series_id, count(*) AS n, CAST(ceil(log2(count(*))) AS INTEGER) AS top FROM ev GROUP BY 1),
+x0 AS (SELECT ev.series_id, ev.t + rr.r * c.n AS t, ev.value AS v, c.top FROM ev JOIN c USING (series_id)
+       CROSS JOIN unnest([0, 1]) AS rr(r) WHERE ev.t + rr.r * c.n < CAST(pow(2, c.top) AS BIGINT)),
+lv AS (SELECT series_id, level, CAST(pow(2, level) AS BIGINT) AS span, t, v FROM x0, unnest(range(1, top + 1)) AS l(level)),
+co AS (SELECT series_id, CAST(level AS INTEGER) AS level, t // span AS i, sum(v) / sqrt(any_value(span)) AS smooth,
+              sum(CASE WHEN t % span < span // 2 THEN v ELSE -v END) / sqrt(any_value(span)) AS detail FROM lv GROUP BY ALL)"""
 
 
-@query("haar_multilevel", _haar_multi_sql())
+@query("haar_multilevel", f"WITH {HAAR_SQL} SELECT series_id, level, i, {r('smooth')} AS smooth, {r('detail')} AS detail FROM co")
 def q_haar_multi(spark, sf):
-    """Extend each series circularly to the next power of two, split
-    log2(P) times; every level's (smooth, detail) coefficients.  The level
-    loop runs on the driver over at most log2(max length) levels (a scalar
-    from a one-row aggregate); the data stay distributed."""
+    """Extend each series circularly to the next power of two, split log2(P)
+    times; every level's (smooth, detail) coefficients, in one aggregate."""
+    e = indexed_events(spark, sf).select("series_id", "t", "value")
+    return rounded(sp.haar_analysis(e, "series_id", "t", "value").where("level > 0").drop("n"))
+
+
+@query("haar_reconstruct", f"WITH {EVENTS_SQL} SELECT series_id, t, {r('value')} AS value FROM ev")
+def q_haar_reconstruct(spark, sf):
+    """The series from their coefficients on all levels, cut back to their
+    own lengths."""
     e = indexed_events(spark, sf).select("series_id", "t", "value")
-    x = sp.circular_extend(e, "series_id", "t", "value").withColumnRenamed("value", "v")
-    p2 = x.groupBy("series_id").agg(F.count(F.lit(1)).alias("_p2"))
-    max_p2 = p2.agg(F.max("_p2")).collect()[0][0] or 1
-    levels = int(round(math.log2(max_p2)))
-    outs = []
-    cur = x.join(p2, "series_id")
-    for j in range(1, levels + 1):
-        # a series of P points (a power of two) has log2(P) levels
-        h = sp.haar_split(cur.filter(F.col("_p2") >= F.lit(2 ** j)), ["series_id", "_p2"], "t", "v")
-        outs.append(h.select("series_id", F.lit(j).alias("level"), F.col("i"), "smooth", "detail"))
-        cur = h.select("series_id", "_p2", F.col("i").alias("t"), F.col("smooth").alias("v"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return rounded(res)
+    return rounded(sp.haar_synthesis(materialize(sp.haar_analysis(e, "series_id", "t", "value"), "haar"), "series_id"))
