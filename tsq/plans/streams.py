@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tsq.operators import features as fe
 from tsq.operators import metrics as me
 from tsq.plans.registry import dbl, query, r, rounded
+from tsq.session import scratch_path
 from tsq.sources import tables as tb
 from tsq.streaming import features as st
 
@@ -125,3 +126,32 @@ def q_st_dedup(spark, sf):
     s = st.dedup_keys(st.event_stream(spark, sf), _delay(spark, sf))
     path = st.run_to_table(spark, s, "st_dedup", mode="append")
     return st.latest(spark, path, ["user_id", "event_type", "minute"])
+
+
+LATE_FILES, LATE_DELAY = 6, "1 hour"
+# every tenth event comes two days after its time
+LATE_ID, LATE_BY = 3, 2 * 86_400
+
+
+@query("st_late_rows", f"""
+WITH a AS (SELECT event_id, ts, user_id, event_type, date_trunc('minute', ts) AS minute,
+                  epoch_us(ts) + CASE WHEN event_id % 10 = {LATE_ID} THEN {LATE_BY * 1_000_000} ELSE 0 END AS arrival FROM events),
+f AS (SELECT *, CAST(floor((arrival - min(arrival) OVER ()) * {LATE_FILES} / (max(arrival) OVER () - min(arrival) OVER () + 1)) AS INTEGER) AS file FROM a),
+top AS (SELECT file, max(ts) AS top FROM f GROUP BY 1),
+wm AS (SELECT x.file, max(y.top) - INTERVAL 1 HOUR AS wm FROM top x LEFT JOIN top y ON y.file < x.file GROUP BY 1),
+r AS (SELECT f.*, coalesce(f.ts <= wm.wm, false) AS late FROM f JOIN wm USING (file))
+SELECT event_id, ts, user_id, event_type, minute, CASE WHEN late THEN 'late'
+       WHEN row_number() OVER (PARTITION BY late, user_id, event_type, minute ORDER BY file, ts, event_id) = 1 THEN 'kept' ELSE 'duplicate' END AS route FROM r
+""")
+def q_st_late(spark, sf):
+    """Events that arrive out of order, with a fixed watermark: rows kept,
+    duplicates within the watermark, and late rows on a side output."""
+    e = tb.read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 10 == LATE_ID, F.lit(LATE_BY * 1_000_000)).otherwise(F.lit(0))
+    out, ckpt = scratch_path(spark, "st_late"), scratch_path(spark, "st_late-ckpt")
+    for folder in st.arrivals(spark, e.withColumn("arrival", at), "arrival", LATE_FILES, "arrivals"):
+        # all that has come is one batch; the query goes on from its checkpoint
+        s = st.event_stream(spark, folder, max_files=1_000_000).withColumn("minute", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
+        path = st.run_routed(spark, s, ["user_id", "event_type", "minute"], LATE_DELAY, "st_late", ckpt, out)
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "minute", "route")

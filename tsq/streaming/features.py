@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tsq.session import scratch_path
 
@@ -133,11 +133,71 @@ ROLL_OUT = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("roll_mean", T.DoubleType()),
     T.StructField("ema", T.DoubleType()),
 ])
-ROLL_STATE = T.StructType([
-    T.StructField("last", T.ArrayType(T.DoubleType())), T.StructField("ema", T.DoubleType()),
-    T.StructField("ts", T.ArrayType(T.LongType())), T.StructField("event_id", T.ArrayType(T.LongType())),
-    T.StructField("value", T.ArrayType(T.DoubleType())),
-])
+ROW_KEY = T.StructType([T.StructField("ts", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("nth", T.IntegerType())])
+ROW_VALUE = T.StructType([T.StructField("value", T.DoubleType())])
+TAIL = T.StructType([T.StructField("value", T.DoubleType())])
+PATH = T.StructType([T.StructField("ema", T.DoubleType()), T.StructField("taken", T.LongType())])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Rolling(StatefulProcessor):
+    """Rows of one series wait, each an entry of its own in the state, until
+    an event-time timer says that the watermark has passed them; then they are
+    taken in event order.  A batch writes the entries that come and removes
+    those that go, and leaves all others alone; beside them are kept the last
+    ``window`` values and the EMA."""
+
+    def __init__(self, window: int, alpha: float):
+        self.window, self.alpha = window, alpha
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", ROW_KEY, ROW_VALUE)
+        self.tail = handle.getListState("tail", TAIL)
+        self.path = handle.getValueState("path", PATH)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for p in rows:
+            ts = p["ts"].astype("datetime64[us]").astype(np.int64).tolist()
+            for t, i, v in zip(ts, p["event_id"].fillna(-1).astype(np.int64).tolist(), p["value"].astype(float).tolist()):
+                nth = 0
+                while self.waiting.containsKey((t, i, nth)):  # a row that came before
+                    nth += 1
+                self.waiting.updateValue((t, i, nth), (v,))
+                first = t if first is None else min(first, t)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, later = [], None
+        for k, v in self.waiting.iterator():
+            if k[0] <= passed:
+                ready.append((k[0], k[1], k[2], v[0]))
+            else:
+                later = k[0] if later is None else min(later, k[0])
+        if later is not None:
+            self.handle.registerTimer(later // 1000 + 1)
+        if not ready:
+            return
+        for r in ready:
+            self.waiting.removeKey(r[:3])
+        x = np.array([np.nan if r[3] is None else r[3] for r in sorted(ready, key=lambda r: r[:3])])
+        ids = [r[1] for r in sorted(ready, key=lambda r: r[:3])]
+        last = [r[0] for r in self.tail.get()]
+        old = self.path.get()
+        known = pd.Series(np.append(np.array(last, float), x))
+        before = known.rolling(self.window, min_periods=1).mean().shift().to_numpy()[len(last):]
+        begin = np.nan if old is None or old[0] is None else old[0]
+        ema = pd.Series(np.append([begin], x)).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()
+        self.tail.put([(float(v),) for v in known.to_numpy()[-self.window:]])
+        self.path.update((None if np.isnan(ema[-1]) else float(ema[-1]), (old[1] if old else 0) + len(x)))
+        yield pd.DataFrame({"event_id": ids, "user_id": key[0], "value": x, "roll_mean": before, "ema": ema[1:]})
+
+    def close(self) -> None:
+        pass
 
 
 def rolling_state(events: DataFrame, window: int, span: float, watermark: str = "2 hours") -> DataFrame:
@@ -147,31 +207,10 @@ def rolling_state(events: DataFrame, window: int, span: float, watermark: str =
     Rows wait in the state until the watermark has passed them, so they are
     taken in event order whatever order they come in; the state holds the last
     ``window`` values, the EMA and the rows of the watermark delay.  Rows later
-    than the watermark are dropped."""
-    alpha = 2.0 / (span + 1.0)
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ema, ts, ids, values = state.get if state.exists else ([], None, [], [], [])
-        waiting = [pd.DataFrame({"ts": np.array(ts, np.int64), "event_id": np.array(ids, np.int64), "value": np.array(values, float)})]
-        if not state.hasTimedOut:
-            waiting += [pd.DataFrame({"ts": p["ts"].astype("datetime64[us]").astype(np.int64), "event_id": p["event_id"].fillna(-1).astype(np.int64),
-                                      "value": p["value"].astype(float)}) for p in pdfs]
-        rows = pd.concat(waiting).sort_values(["ts", "event_id"], kind="stable")
-        passed = state.getCurrentWatermarkMs() * 1000
-        ready, rest = rows[rows["ts"] <= passed], rows[rows["ts"] > passed]
-        if len(ready):
-            x = ready["value"].to_numpy()
-            known = pd.Series(np.append(np.array(last, float), x))
-            before = known.rolling(window, min_periods=1).mean().shift().to_numpy()[len(last):]
-            path = pd.Series(np.append([np.nan if ema is None else ema], x)).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-            yield pd.DataFrame({"event_id": ready["event_id"].to_numpy(), "user_id": key[0], "value": x, "roll_mean": before, "ema": path[1:]})
-            last, ema = known.to_numpy()[-window:].tolist(), None if np.isnan(path[-1]) else float(path[-1])
-        state.update(([float(v) for v in last], ema, rest["ts"].tolist(), rest["event_id"].tolist(), rest["value"].tolist()))
-        if len(rest):
-            state.setTimeoutTimestamp(int(max(rest["ts"].min() // 1000 + 1, passed // 1000 + 1)))
-
+    than the watermark are dropped.  Runs on the RocksDB state store."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     held = _ts(events).select("ts", "event_id", "user_id", F.col("value").cast("double").alias("value")).withWatermark("ts", watermark)
-    return held.groupBy("user_id").applyInPandasWithState(step, ROLL_OUT, ROLL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return held.groupBy("user_id").transformWithStateInPandas(Rolling(window, 2.0 / (span + 1.0)), ROLL_OUT, "append", "EventTime")
 
 
 def anomaly_scores(events: DataFrame, stats: DataFrame, threshold: DataFrame) -> DataFrame:
@@ -188,3 +227,63 @@ def dedup_keys(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     d = _ts(events).withColumn("minute", F.date_trunc("minute", "ts"))
     d = d.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["user_id", "event_type", "minute"])
     return d.select("user_id", "event_type", F.col("minute").cast("timestamp_ntz").alias("minute"))
+
+
+def run_routed(spark: SparkSession, events: DataFrame, keys: Sequence[str], delay: str, name: str, ckpt: str | None = None,
+               out: str | None = None) -> str:
+    """Drain ``events`` (event_id, ts, ``keys``), every row going one way:
+    ``late`` if it is not after the watermark, the latest event time of the
+    batches before it less ``delay``; ``duplicate`` if an earlier row of the
+    same keys was kept; else ``kept``.  Returns the folder of the rows
+    (``rows``) and of one line for each batch (``batches``: watermark and
+    counts).
+
+    A batch's rows are written under its number, overwriting what an attempt
+    before it left, so a restart repeats no row.  Of the rows kept before,
+    those within the delay of the watermark are looked at (``keys`` must hold
+    a time no finer than the delay: an older one can't come on time again)."""
+    out, ckpt = out or scratch_path(spark, name), ckpt or scratch_path(spark, name + "-ckpt")
+    events = _ts(events)
+    row_schema = T.StructType([*events.schema.fields, T.StructField("route", T.StringType())])
+    lines = "batch long, watermark timestamp, latest timestamp, kept long, duplicate long, late long"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        seen = session.read.schema(lines).parquet(f"{out}/batches").where(F.col("batch") < batch_id)
+        top = seen.agg(F.max("latest").alias("latest")).select("latest", (F.col("latest") - F.expr(f"INTERVAL {delay}")).alias("watermark")).first()
+        mark = F.lit(top["watermark"]).cast("timestamp")
+        rows = batch.withColumn("late", F.coalesce(F.col("ts") <= mark, F.lit(False)))
+        order = Window.partitionBy(*keys).orderBy("ts", "event_id")
+        fresh = rows.where("not late").withColumn("again", F.row_number().over(order) > 1)
+        before = session.read.schema(row_schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
+        before = before.where((F.col("batch") < batch_id) & (F.col("route") == "kept") & F.coalesce(F.col("ts") > mark - F.expr(f"INTERVAL {delay}"), F.lit(True)))
+        before = before.select(*[F.col(k).alias(f"_b_{k}") for k in keys]).distinct().withColumn("_known", F.lit(True))
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+        route = F.when(F.col("again") | F.coalesce("_known", F.lit(False)), F.lit("duplicate")).otherwise(F.lit("kept"))
+        fresh = fresh.join(before, cond, "left").withColumn("route", route).select(*events.columns, "route")
+        done = fresh.unionByName(rows.where("late").withColumn("route", F.lit("late")).select(*events.columns, "route"))
+        done.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        wrote = session.read.schema(row_schema).parquet(f"{out}/rows/batch={batch_id}")
+        counts = [F.count(F.when(F.col("route") == w, 1)).alias(w) for w in ("kept", "duplicate", "late")]
+        (wrote.agg(F.max("ts").alias("latest"), *counts)
+         .select(F.lit(mark).alias("watermark"), F.greatest("latest", F.lit(top["latest"]).cast("timestamp")).alias("latest"), "kept", "duplicate", "late")
+         .write.mode("overwrite").parquet(f"{out}/batches/batch={batch_id}"))
+
+    spark.createDataFrame([], "watermark timestamp, latest timestamp, kept long, duplicate long, late long").write.mode("overwrite").parquet(f"{out}/batches/batch=-1")
+    spark.createDataFrame([], row_schema).write.mode("overwrite").parquet(f"{out}/rows/batch=-1")
+    events.writeStream.option("checkpointLocation", ckpt).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def arrivals(spark: SparkSession, rows: DataFrame, arrival: str, steps: int, name: str) -> Iterator[str]:
+    """A folder for :func:`event_stream` that rows come to in ``steps`` equal
+    steps of the ``arrival`` time (microseconds): yields its path after each."""
+    folder = scratch_path(spark, name)
+    span = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi"))
+    step = F.floor((F.col(arrival) - F.col("lo")) * steps / (F.col("hi") - F.col("lo") + 1)).cast("int")
+    d = rows.crossJoin(F.broadcast(span)).withColumn("_step", step).drop("lo", "hi", arrival)
+    for i in range(steps):
+        d.where(F.col("_step") == i).drop("_step").write.mode("append").parquet(f"{folder}/events.parquet")
+        yield folder
