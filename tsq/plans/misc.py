@@ -85,12 +85,12 @@ def q_streak(spark, sf):
                             (F.col("t") - F.col("imp") >= PATIENCE).alias("stop")))
 
 
-@query("medoid", f"""
+@query("class_medoid", f"""
 WITH s AS ({S.SEQUENCES}), c AS (SELECT label, t, avg(value) AS cv FROM s GROUP BY 1, 2),
 d AS (SELECT s.sample_id, s.label, sum((s.value - c.cv) * (s.value - c.cv)) AS d2 FROM s JOIN c USING (label, t) GROUP BY 1, 2)
 SELECT label, arg_min(sample_id, (d2, sample_id)) AS medoid_id, count(*) AS n FROM d GROUP BY label
 """)
-def q_medoid(spark, sf):
+def q_class_medoid(spark, sf):
     """Class medoid under summed squared Euclidean distance, exact without
     pairs: sum_j |x_i - x_j|^2 = n |x_i - mean|^2 + const, so the medoid is
     the member closest to the class mean (ties: smallest id)."""

@@ -83,13 +83,12 @@ def q_udf_distance(spark, sf):
     return rounded(p.select("vec_id", "partner_id", si.general_dtw_udf("chebyshev", 1, 8, 1.5)("x", "y").alias("dtw")))
 
 
-@query("dtw_matrix")
-def q_dtw_matrix(spark, sf):
-    """Re-aimed from the all-pairs class matrix: DTW of every sample to its
-    class medoid (exact medoid under summed squared distance), one pair per
-    sample."""
-    from tsq.plans.misc import q_medoid
-    med = q_medoid(spark, sf).select("label", "medoid_id")
+@query("dtw_to_medoid")
+def q_dtw_to_medoid(spark, sf):
+    """DTW of every sample to its class medoid (exact medoid under summed
+    squared distance), one pair per sample."""
+    from tsq.plans.misc import q_class_medoid
+    med = q_class_medoid(spark, sf).select("label", "medoid_id")
     arr = tb.sequence_arrays(spark, sf)
     m = arr.join(med, "label")
     y = arr.select(F.col("sample_id").alias("medoid_id"), F.col("x").alias("y"))
@@ -98,6 +97,31 @@ def q_dtw_matrix(spark, sf):
                             si.dtw_udf("symmetric", SYM_WINDOW)("x", "y").alias("dtw")))
 
 
+BATCH, BATCH_SEED = 6, 7
+
+
+def batches(spark, sf):
+    """A batch of up to 6 samples of each class with its distance matrix."""
+    b = si.class_batches(tb.sequence_arrays(spark, sf), "label", "sample_id", "x", BATCH, BATCH_SEED)
+    return b.withColumn("m", si.distances_udf(SYM_WINDOW)("xs"))
+
+
+@query("dtw_matrix")
+def q_dtw_matrix(spark, sf):
+    """All pairs of a bounded class sample: the k x k DTW matrix (symmetric
+    step, band ceil(L/10)) of each class's batch, one kernel call for all
+    pairs of an Arrow batch."""
+    d = batches(spark, sf).select("label", "ids", F.posexplode("m").alias("i", "row")).select("label", "ids", "i", F.posexplode("row").alias("j", "dtw"))
+    return rounded(d.select("label", F.get("ids", F.col("i")).alias("a_id"), F.get("ids", F.col("j")).alias("b_id"), "dtw"))
+
+
+@query("medoid")
+def q_medoid(spark, sf):
+    """Each class batch's medoid by DTW (rank 0) and the other members by
+    their distance to it."""
+    return rounded(si.nearest_order(batches(spark, sf), "label", "ids", "m").withColumnRenamed("ids", "sample_id"))
+
+
 ADF_REL = f"""{EVENTS_SQL},
 lg AS (SELECT series_id, lag(value) OVER w AS L, value - lag(value) OVER w AS Y,
               lag(value) OVER w - lag(value, 2) OVER w AS D FROM ev WINDOW w AS (PARTITION BY series_id ORDER BY t))"""
@@ -225,7 +249,7 @@ _ORACLES["dtw_distance"] = ORACLE_DTW_DISTANCE
 _ORACLES["dtw_generic"] = ORACLE_DTW_FULL
 _ORACLES["dtw_accelerated"] = ORACLE_DTW_FULL
 
-_ORACLES["dtw_matrix"] = f"""WITH RECURSIVE s AS (SELECT vec_id AS sample_id, label, CAST(u.pos - 1 AS INTEGER) AS t, CAST(u.v AS DOUBLE) AS value
+_ORACLES["dtw_to_medoid"] = f"""WITH RECURSIVE s AS (SELECT vec_id AS sample_id, label, CAST(u.pos - 1 AS INTEGER) AS t, CAST(u.v AS DOUBLE) AS value
    FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(v, pos)),
 c AS (SELECT label, t, avg(value) AS cv FROM s GROUP BY 1, 2),
 dd AS (SELECT s.sample_id, s.label, sum((s.value - c.cv) * (s.value - c.cv)) AS d2 FROM s JOIN c USING (label, t) GROUP BY 1, 2),
@@ -236,6 +260,22 @@ mp AS (SELECT ar.vec_id AS a_id, med.medoid_id AS b_id, ar.label, ar.x, am.x AS
 SELECT f.a_id AS vec_id, mp.label, f.b_id AS medoid_id, {r('f.v')} AS dtw FROM f JOIN mp USING (a_id, b_id)"""
 
 
+_BATCH_SQL = f"""WITH RECURSIVE bt AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_rng.sql_uniform('label', 'vec_id', "'batch'", str(BATCH_SEED))}, vec_id) <= {BATCH}),
+bp AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.label, a.x, b.x AS y FROM bt a JOIN bt b ON a.label = b.label AND a.vec_id < b.vec_id),
+{dtw_sql('db', 'bp', 'symmetric', SYM_BAND)}, bf AS ({_final('db', 'bp')}),
+mx AS (SELECT bp.label, bf.a_id, bf.b_id, bf.v AS dtw FROM bf JOIN bp USING (a_id, b_id)
+       UNION ALL SELECT bp.label, bf.b_id, bf.a_id, bf.v FROM bf JOIN bp USING (a_id, b_id)
+       UNION ALL SELECT label, vec_id, vec_id, 0.0 FROM bt)"""
+
+_ORACLES["dtw_matrix"] = f"""{_BATCH_SQL} SELECT label, a_id, b_id, {r('dtw')} AS dtw FROM mx"""
+
+_ORACLES["medoid"] = f"""{_BATCH_SQL},
+best AS (SELECT label, arg_min(a_id, (round(total, 9), a_id)) AS medoid FROM (SELECT label, a_id, sum(dtw) AS total FROM mx GROUP BY ALL) GROUP BY label)
+SELECT mx.label, CAST(row_number() OVER (PARTITION BY mx.label ORDER BY mx.b_id <> medoid, dtw, mx.b_id) - 1 AS INTEGER) AS rank,
+       mx.b_id AS sample_id, {r('dtw')} AS distance FROM mx JOIN best ON best.label = mx.label AND best.medoid = mx.a_id"""
+
+
 # shapeDTW: edge-padded descriptors of n = clip(round_half_even(0.05 L), 5, 100)
 _SHAPE_PAIRS = f"""{PAIRS_SQL},
 sz AS (SELECT a_id, b_id, x, y, CAST(greatest(5, least(100, round_even(len(x) * 0.05, 0))) AS BIGINT) AS n FROM pairs),
