@@ -1,176 +1,98 @@
-"""Queries: spline and DTW-guided augmentations, run per
-sample / per pair in Arrow-batched pandas UDFs.  Random draws are hashes
+"""Queries: spline and DTW-guided augmentations, all samples
+of an Arrow batch in one kernel call, and switches on several channels.  Random draws are hashes
 of the sample key computed in Spark and passed in, so results do not
 depend on partitioning.  Rows-only checks; numpy tests in tests/."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tsq.functions import rng
-from tsq.operators import align as al
 from tsq.operators import augment as au
+from tsq.operators import multichannel as mc
 from tsq.operators import similarity as si
-from tsq.plans.registry import query, rounded
+from tsq.plans.registry import query, r, rounded
 from tsq.sources import tables as tb
 
 SEED = 2021
-KNOTS = 4
-ARR = T.ArrayType(T.DoubleType())
+KNOTS = mc.KNOTS
 
 
 def _samples(spark, sf):
-    return si.spread(tb.sequence_arrays(spark, sf), "sample_id")
-
-
-def _explode(df, col="y"):
-    return rounded(df.select("sample_id", "label", F.posexplode(col).alias("t", "value")))
-
-
-def _udf(fn):
-    @F.pandas_udf(ARR)
-    def f(*cols: pd.Series) -> pd.Series:
-        return pd.Series([list(map(float, fn(*[np.asarray(c) if isinstance(c, (list, np.ndarray)) else c for c in row])))
-                          for row in zip(*cols)])
-    return f
-
-
-def _knots(tag):
-    return F.array(*[rng.normal("sample_id", F.lit(au.DIM), F.lit(j), F.lit(tag), F.lit(SEED), mean=1.0, sd=0.2)
-                     for j in range(KNOTS + 2)])
-
-
-@query("aug_magnitude_warp")
-def q_magwarp(spark, sf):
-    """x times a not-a-knot cubic spline through knot+2 values ~ N(1, 0.2)."""
-    s = _samples(spark, sf)
-    return _explode(s.withColumn("y", _udf(au.magnitude_warp)("x", _knots("magwarp"))))
-
-
-@query("aug_time_warp")
-def q_timewarp(spark, sf):
-    """Resample along a random smooth time map (spline through knots)."""
-    s = _samples(spark, sf)
-    return _explode(s.withColumn("y", _udf(au.time_warp)("x", _knots("timewarp"))))
-
-
-@query("aug_window_warp")
-def q_windowwarp(spark, sf):
-    """A 10 % window stretched x2 or squeezed x0.5, resampled to length."""
-    s = _samples(spark, sf)
-    L = F.size("x")
-    ws = F.ceil(F.lit(0.1) * L)
-    start = (F.lit(1) + F.floor(rng.uniform("sample_id", F.lit("wwstart"), F.lit(SEED)) * (L - ws - 2))).cast("int")
-    scale = F.when(rng.uniform("sample_id", F.lit("wwscale"), F.lit(SEED)) < 0.5, F.lit(0.5)).otherwise(F.lit(2.0))
-    return _explode(s.withColumn("y", _udf(lambda x, st, sc: au.window_warp(x, int(st), float(sc)))("x", start, scale)))
-
-
-def _with_partner(spark, sf):
-    s = _samples(spark, sf)
-    pr = al.pick_partner(s.select("sample_id", "label"), "label", "sample_id", SEED)
-    y = s.select(F.col("sample_id").alias("partner_id"), F.col("x").alias("proto"))
-    return s.join(pr.select("sample_id", "partner_id"), "sample_id", "left").join(y, "partner_id", "left")
-
-
-@query("aug_spawner")
-def q_spawner(spark, sf):
-    """Average with a same-class partner along the DTW paths of two halves
-    split at a random point, then jitter (sigma 0.05).  No partner: the
-    sample itself, jittered."""
-    s = _with_partner(spark, sf)
-    cut = (F.lit(1) + F.floor(rng.uniform("sample_id", F.lit("cut"), F.lit(SEED)) * (F.size("x") - 2))).cast("int")
-    y = F.when(F.col("proto").isNull(), F.col("x")).otherwise(
-        _udf(lambda x, p, c: au.spawner(x, p, int(c)))("x", "proto", cut))
-    out = s.withColumn("y", y).select("sample_id", "label", F.posexplode("y").alias("t", "value"))
-    return rounded(au.jitter(out, sigma=0.05, seed=SEED))
-
-
-@query("aug_guided_warp")
-def q_guided(spark, sf):
-    """Warp onto a random same-class prototype by DTW (symmetric, band L/10)."""
-    s = _with_partner(spark, sf)
-    y = F.when(F.col("proto").isNull(), F.col("x")).otherwise(_udf(lambda x, p: au.guided_warp(x, p)[0])("x", "proto"))
-    return _explode(s.withColumn("y", y))
-
-
-@query("aug_guided_warp_shape")
-def q_guided_shape(spark, sf):
-    """As aug_guided_warp with the shapeDTW path."""
-    s = _with_partner(spark, sf)
-    y = F.when(F.col("proto").isNull(), F.col("x")).otherwise(
-        _udf(lambda x, p: au.guided_warp(x, p, shape=True)[0])("x", "proto"))
-    return _explode(s.withColumn("y", y))
-
-
-BATCH = 6
-
-
-def _batch_arrays(spark, sf, s, k, tag, exclude_self):
-    m = al.pick_members(s.select("sample_id", "label"), "label", "sample_id", k, SEED, tag, exclude_self)
-    arr = s.select(F.col("sample_id").alias("member_id"), F.col("x").alias("mx"))
-    g = m.join(arr, "member_id").groupBy("sample_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "mx"))), lambda e: e["mx"]).alias("batch"))
-    return si.spread(s.join(g, "sample_id", "left"), "sample_id")
-
-
-@query("aug_wdba")
-def q_wdba(spark, sf):
-    """Weighted DTW barycentre of a batch of up to 6 same-class samples
-    (hash-random batch per sample, gathered by equi-joins)."""
-    s = _batch_arrays(spark, sf, _samples(spark, sf), BATCH, "wdba", exclude_self=False)
-    y = F.when(F.col("batch").isNull(), F.col("x")).otherwise(_udf(lambda b: au.wdba([np.asarray(v) for v in b]))("batch"))
-    return _explode(s.withColumn("y", y))
-
-
-def _negatives(spark, sf, s, k):
-    """k samples of other classes per sample (fewer only if there are fewer)."""
-    c = al.pick_others(s.select("sample_id", "label"), "label", "sample_id", k, SEED, "neg", out="neg_id")
-    x = s.select(F.col("sample_id").alias("neg_id"), F.col("x").alias("nx"))
-    return c.join(x, "neg_id").groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "nx"))), lambda e: e["nx"]).alias("neg"))
-
-
-DISC_OUT = T.StructType([T.StructField("y", ARR), T.StructField("amount", T.DoubleType())])
-
-
-def _disc(spark, sf, shape):
-    s = _samples(spark, sf)
-    pos = _batch_arrays(spark, sf, s, (BATCH + 1) // 2, "pos", exclude_self=True).withColumnRenamed("batch", "pos")
-    d = si.spread(pos.join(_negatives(spark, sf, s, BATCH // 2), "sample_id", "left"), "sample_id")
-
-    @F.pandas_udf(DISC_OUT)
-    def warp(x: pd.Series, p: pd.Series, n: pd.Series) -> pd.DataFrame:
-        ys, am = [], []
-        for xi, pi, ni in zip(x, p, n):
-            pl = [np.asarray(v) for v in pi] if pi is not None else []
-            nl = [np.asarray(v) for v in ni] if ni is not None else []
-            y, a = au.discriminative_warp(np.asarray(xi), pl, nl, shape)
-            ys.append(list(map(float, y)))
-            am.append(a)
-        return pd.DataFrame({"y": ys, "amount": am})
-
-    d = d.withColumn("_w", warp("x", "pos", "neg")).select("sample_id", "label", "_w.y", "_w.amount")
-    mx = d.agg(F.max("amount").alias("_mx"))  # one row
-    d = d.crossJoin(F.broadcast(mx))
-    ratio = F.when(F.col("_mx") == 0, F.lit(0.9)).otherwise(F.lit(0.9) + F.lit(0.1) * F.col("amount") / F.col("_mx"))
-    u = rng.uniform("sample_id", F.lit("dslice"), F.lit(SEED))
-    d = d.withColumn("y", _udf(lambda y, r_, u_: au.slice_stretch(y, float(r_), float(u_)))("y", ratio, u))
-    return _explode(d)
-
-
-@query("aug_discriminative_warp")
-def q_disc(spark, sf):
-    """Prototype maximising (negative - positive) mean DTW among 3 positive
-    and 3 negative candidates, warp, then a slice of 90-100 % by the warp
-    amount relative to the largest one."""
-    return _disc(spark, sf, False)
-
-
-@query("aug_discriminative_warp_shape")
-def q_disc_shape(spark, sf):
-    return _disc(spark, sf, True)
+    return si.spread(mc.one_channel(tb.sequence_arrays(spark, sf)), "sample_id")
+
+
+def _single(name, switch, doc):
+    """Query of one kernel switch over samples of one channel."""
+    def fn(spark, sf):
+        return rounded(mc.long_form(switch(_samples(spark, sf), SEED), channel=False))
+    fn.__doc__ = doc
+    query(name)(fn)
+
+
+_single("aug_magnitude_warp", mc.magnitude_warp, "x times a not-a-knot cubic spline through knot+2 values ~ N(1, 0.2).")
+_single("aug_time_warp", mc.time_warp, "Resample along a random smooth time map (spline through knots).")
+_single("aug_window_warp", mc.window_warp, "A 10 % window stretched x2 or squeezed x0.5, resampled to length.")
+_single("aug_spawner", mc.spawner, """Average with a same-class partner along the DTW paths of two halves split
+at a random point, then jitter (sigma 0.05).  No partner: the sample itself, jittered.""")
+_single("aug_guided_warp", mc.guided_warp, "Warp onto a random same-class prototype by DTW (symmetric, band L/10).")
+_single("aug_guided_warp_shape", lambda d, s: mc.guided_warp(d, s, True), "As aug_guided_warp with the shapeDTW path.")
+_single("aug_wdba", mc.wdba, "Weighted DTW barycentre of a batch of up to 6 same-class samples (hash-random batch per sample).")
+_single("aug_discriminative_warp", mc.discriminative_warp, """Prototype maximising (negative - positive) mean DTW among 3 positive and 3
+negative candidates, warp, then a slice of 90-100 % by the warp amount relative to the largest one.""")
+_single("aug_discriminative_warp_shape", lambda d, s: mc.discriminative_warp(d, s, True), "The same with shapeDTW.")
+
+# three channels of a sample: its first, second and third run of 20 values
+WIDE, RUN = 3, 20
+
+
+def wide_samples(spark, sf):
+    s = tb.sequence_arrays(spark, sf)
+    return si.spread(s.select("sample_id", "label", F.array(*[F.slice("x", d * RUN + 1, RUN) for d in range(WIDE)]).alias("x")), "sample_id")
+
+
+_WIDE_SQL = f"""w AS (SELECT vec_id AS sample_id, label, d.d AS channel, CAST(u.pos - 1 AS INTEGER) AS t, CAST(u.v AS DOUBLE) AS value
+  FROM embeddings, range(0, {WIDE}) d(d), unnest(embedding[d.d * {RUN} + 1:(d.d + 1) * {RUN}]) WITH ORDINALITY AS u(v, pos))"""
+
+
+@query("aug_rotation_channels", f"""
+WITH {_WIDE_SQL},
+ax AS (SELECT d, row_number() OVER (ORDER BY {rng.sql_uniform('d', "'axis'", str(SEED))}, d) - 1 AS channel FROM range(0, {WIDE}) r(d))
+SELECT sample_id, label, CAST(ax.channel AS INTEGER) AS channel, t,
+       {r(f"value * (CASE WHEN {rng.sql_uniform('sample_id', 'ax.channel', "'flip'", str(SEED))} < 0.5 THEN -1.0 ELSE 1.0 END)")} AS value
+FROM w JOIN ax ON ax.d = w.channel
+""")
+def q_rotation_channels(spark, sf):
+    """Sign flips per (sample, channel) and one shuffle of the channels for
+    all samples, on samples of three channels."""
+    return rounded(mc.long_form(mc.rotation(wide_samples(spark, sf), SEED)))
+
+
+@query("aug_random_permutation", f"""
+WITH {_WIDE_SQL},
+n AS (SELECT DISTINCT sample_id, CAST(1 + floor({rng.sql_uniform('sample_id', "'nseg'", str(SEED))} * 4) AS BIGINT) AS m FROM w),
+p AS (SELECT sample_id, m, i, row_number() OVER (PARTITION BY sample_id ORDER BY {rng.sql_uniform('sample_id', 'i', "'cut'", str(SEED))}, i) AS rk
+      FROM n, range(0, {RUN - 2}) r(i)),
+cut AS (SELECT sample_id, list_concat([0], coalesce(list(i ORDER BY i) FILTER (WHERE rk < m), []), [{RUN}]) AS pts FROM p GROUP BY 1),
+sg AS (SELECT sample_id, k, pts[k + 1] AS a, pts[k + 2] AS b FROM cut, unnest(range(0, len(pts) - 1)) x(k)),
+so AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY sample_id ORDER BY {rng.sql_uniform('sample_id', 'k', "'perm'", str(SEED))}, k
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM sg)
+SELECT w.sample_id, w.label, CAST(w.channel AS INTEGER) AS channel, CAST(so.shift + w.t - so.a AS INTEGER) AS t, {r('w.value')} AS value
+FROM w JOIN so ON so.sample_id = w.sample_id AND w.t >= so.a AND w.t < so.b
+""")
+def q_random_permutation(spark, sf):
+    """Segments cut at random points in a hash order, the same for all three
+    channels of a sample."""
+    return rounded(mc.long_form(mc.permutation(wide_samples(spark, sf), SEED, random_points=True)))
+
+
+@query("aug_pipeline_all")
+def q_pipeline_all(spark, sf):
+    """All fifteen switches one after the other on samples of three channels
+    (no SQL: every switch is tested against plain numpy)."""
+    out, tag = mc.pipeline(wide_samples(spark, sf), au.PIPELINE_ORDER, SEED)
+    return rounded(mc.long_form(out).withColumn("tag", F.lit(tag)))
 
 
 def _window_warp_sql() -> str:
