@@ -79,3 +79,23 @@ def test_point_adjust_with_rare_segments(spark):
             want[i:j] = 1
         i = max(j, i + 1)
     assert (got == want).all()
+
+
+def test_convergence_in_one_pass_equals_pandas(spark):
+    from tsq.operators.recurrence import convergence
+    rng = np.random.default_rng(12)
+    groups = {"full": rng.normal(size=600).cumsum(), "gaps": rng.normal(size=500).cumsum(), "late": rng.normal(size=90), "none": np.full(130, np.nan), "one": np.array([3.0])}
+    groups["gaps"][rng.random(500) < 0.4] = np.nan
+    groups["gaps"][60:200] = np.nan  # whole blocks without a value
+    groups["late"][:40] = np.nan
+    rows = [(k, i, None if np.isnan(v) else float(v), "z") for k, x in groups.items() for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "k string, t long, x double, n string").repartition(6)
+    got = convergence(d, "k", "t", "x", 2 / 13, 2 / 27, 2 / 10, block=32).toPandas()
+    assert list(got.columns) == ["k", "t", "x", "n", "_filled", "macd", "macd_signal"] and len(got) == len(rows)
+    for k, x in groups.items():
+        mine, s = got[got["k"] == k].sort_values("t"), pd.Series(x)
+        fast, slow = (s.ewm(alpha=a, adjust=False, ignore_na=False).mean() for a in (2 / 13, 2 / 27))
+        macd = fast - slow
+        np.testing.assert_allclose(mine["_filled"], s.ffill(), equal_nan=True)
+        np.testing.assert_allclose(mine["macd"], macd, atol=1e-9, equal_nan=True)
+        np.testing.assert_allclose(mine["macd_signal"], macd.ewm(alpha=2 / 10, adjust=False).mean(), atol=1e-9, equal_nan=True)

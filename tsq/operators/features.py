@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsq.operators.index import block_window, core_rows, fill_forward, halo, series_index
-from tsq.operators.recurrence import Smooth, smoothed
+from tsq.operators.recurrence import convergence
 from tsq.session import materialize
 
 # Fixed values of the reference's feature table
@@ -106,8 +106,8 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     volatility; plus the fixed header columns (Month, date as text, the
     download span start/end, null placeholders).
     Plan: a row index per series; prices filled forward and smoothed
-    (MACD's two averages, then the one of their difference) by block carries;
-    one halo explode and two window passes over one (ticker, block)
+    (MACD's two averages and the one of their difference) in one pass of
+    block carries; one halo explode and two window passes over one (ticker, block)
     partitioning for everything else.
     """
     cu = F.coalesce(F.col(adj_price), F.col(price)) if adj_price and adj_price in panel.columns else F.col(price)
@@ -125,10 +125,7 @@ def stock_features(panel: DataFrame, keys: str = "ticker", date: str = "date",
     span = st.agg(F.min("_s0").alias("_s"), F.max("_e0").alias("_e"))
     p = series_index(p, keys, date)
 
-    p = fill_forward(p.withColumn("_filled", F.col("close_used")), keys, "t", ["_filled"])
-    p = smoothed(p, keys, "t", [Smooth("close_used", ema_alpha(MACD_FAST), "_fast"), Smooth("close_used", ema_alpha(MACD_SLOW), "_slow")])
-    p = smoothed(p.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow"), keys, "t",
-                 [Smooth("macd", ema_alpha(MACD_SIGNAL), "macd_signal")])
+    p = convergence(p, keys, "t", "close_used", *[ema_alpha(n) for n in (MACD_FAST, MACD_SLOW, MACD_SIGNAL)])
     p = materialize(p, "panel-smoothed")
     back = PRIOR_HISTORY_WINDOW + 2
     if block is None:

@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,3 +134,106 @@ def smoothed(df: DataFrame, keys: str | Sequence[str] | None, t: str, specs: Seq
     for k, n in zip(keys, ids):
         cond = cond & df[k].eqNullSafe(F.col(n))
     return df.join(done, cond, "left").drop(*ids, "_t")
+
+
+def convergence(df: DataFrame, keys: str | Sequence[str] | None, t: str, x: str, fast: float, slow: float, signal: float,
+                filled: str = "_filled", block: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with ``macd`` (the fast less the slow smoothing of ``x``, given
+    by their weights), ``macd_signal`` (its smoothing) and ``filled`` (``x``
+    carried forward), all in one pass over the blocks.
+
+    A block is affine in what comes in: the two smoothings, their difference's
+    smoothing, the last value and the rows since.  Its summary holds its own
+    end values and the responses of the signal's end to each of these; one walk
+    along a series' summaries gives every block its incoming state, and the
+    rows are finished where their block lies, with all columns of ``df``."""
+    keys = _keys(keys)
+    d = df.withColumns({"_b": F.floor(F.col(t) / F.lit(block)).cast("long"), "_g": F.lit(0), "_x": F.col(x).cast("double")})
+    id_fields, own = [df.schema[k] for k in keys], list(df.columns)
+
+    def answer(v: np.ndarray) -> np.ndarray:
+        """The signal of ``v`` from 0."""
+        return pd.Series(np.append(0.0, v)).ewm(alpha=signal, adjust=False).mean().to_numpy()[1:]
+
+    def summary(table: pa.Table) -> pa.Table:
+        table = table.sort_by(t)
+        v = np.asarray(table.column("_x").combine_chunks().fill_null(np.nan), float)
+        n = len(v)
+        first, f, keep_f = _local(v, fast)
+        _, s, keep_s = _local(v, slow)
+        if first < 0:
+            ends, last = [np.nan] * 9, n
+        else:
+            at = np.arange(n) >= first
+            here = lambda a: np.where(at, a, 0.0)
+            apart = here(np.nan_to_num(f - s))
+            begun = pd.Series((f - s)[first:]).ewm(alpha=signal, adjust=False).mean().to_numpy()[-1]
+            last = int(np.flatnonzero(~np.isnan(v))[-1])
+            ends = [v[first], v[last], f[-1], keep_f[-1], s[-1], keep_s[-1], begun, answer(apart)[-1], answer((~at).astype(float))[-1]]
+            ends += [answer(here(keep_f))[-1], answer(here(keep_s))[-1]]
+        ends += [np.nan] * (len(_ENDS) - len(ends))
+        cols = {k: table.column(k)[:1] for k in [*keys, "_b"]}
+        return pa.table(cols | {"n": pa.array([n], pa.int64()), "first": pa.array([first], pa.int64()), "age": pa.array([n - 1 - last if first >= 0 else n], pa.int64()),
+                                "ends": pa.array([ends], pa.list_(pa.float64()))})
+
+    b_field = T.StructField("_b", T.LongType())
+    summed = T.StructType([*id_fields, b_field, *[T.StructField(c, T.LongType()) for c in ("n", "first", "age")], T.StructField("ends", T.ArrayType(T.DoubleType()))])
+    blocks = d.select(*keys, "_g", "_b", F.col(t), "_x").groupBy(*keys, "_g", "_b").applyInArrow(summary, summed)
+
+    def carry(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_b")
+        state, age, out = [np.nan] * 4, 0, []  # fast, slow, signal, last value
+        for n, first, left, ends in zip(*(table.column(c).to_pylist() for c in ("n", "first", "age", "ends"))):
+            out.append([*state, float(age)])
+            f, s, g, _ = state
+            fade = (1.0 - signal) ** n
+            if first < 0:
+                if not np.isnan(f):
+                    state[2] = fade * g + (1.0 - fade) * (f - s)
+                age += n
+                continue
+            e = dict(zip(_ENDS, ends))
+            if np.isnan(f):
+                state = [e["fast"], e["slow"], e["begun"], e["last"]]
+            else:
+                up = _enter(f, age, first, e["x"], fast) - e["x"]
+                down = _enter(s, age, first, e["x"], slow) - e["x"]
+                state = [e["fast"] + e["keep_fast"] * up, e["slow"] + e["keep_slow"] * down,
+                         fade * g + e["own"] + e["before"] * (f - s) + e["to_fast"] * up - e["to_slow"] * down, e["last"]]
+            age = left
+        return pa.table({k: table.column(k) for k in [*keys, "_b"]} | {"_in": pa.array(out, pa.list_(pa.float64()))})
+
+    entering = T.StructType([*id_fields, b_field, T.StructField("_in", T.ArrayType(T.DoubleType()))])
+    incoming = blocks.withColumn("_g", F.lit(0)).groupBy(*keys, "_g").applyInArrow(carry, entering)
+    incoming = incoming.withColumnsRenamed({k: f"_in_{k}" for k in [*keys, "_b"]})
+    cond = F.col("_b") == F.col("_in__b")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_in_{k}"))
+    whole = d.join(incoming, cond, "left").drop(*[f"_in_{k}" for k in [*keys, "_b"]])
+
+    def finish(table: pa.Table) -> pa.Table:
+        table = table.sort_by(t)
+        v = np.asarray(table.column("_x").combine_chunks().fill_null(np.nan), float)
+        f, s, g, last, age = table.column("_in")[0].as_py()
+        first, y_f, keep_f = _local(v, fast)
+        _, y_s, keep_s = _local(v, slow)
+        if first < 0:
+            y_f, y_s = np.full(len(v), f), np.full(len(v), s)
+        else:
+            y_f = y_f + keep_f * (_enter(f, int(age), first, v[first], fast) - v[first])
+            y_s = y_s + keep_s * (_enter(s, int(age), first, v[first], slow) - v[first])
+            y_f[:first], y_s[:first] = f, s
+        macd = y_f - y_s
+        line = pd.Series(np.append(g, macd)).ewm(alpha=signal, adjust=False).mean().to_numpy()[1:]
+        known = pd.Series(np.append(last, v)).ffill().to_numpy()[1:]
+        out = table.select(own)
+        for name, a in ((filled, known), ("macd", macd), ("macd_signal", line)):
+            out = out.append_column(name, pa.array(a, pa.float64(), from_pandas=True))
+        return out
+
+    done = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in (filled, "macd", "macd_signal")]])
+    return whole.groupBy(*keys, "_g", "_b").applyInArrow(finish, done)
+
+
+#: What a block's summary holds besides its counts.
+_ENDS = ["x", "last", "fast", "keep_fast", "slow", "keep_slow", "begun", "own", "before", "to_fast", "to_slow"]
