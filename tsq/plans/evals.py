@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tsq.functions import rng
 from tsq.operators import anomaly as an
+from tsq.operators import classify as lr
 from tsq.operators import clean as cl
 from tsq.operators import features as fe
 from tsq.operators import forecast as fc
@@ -414,6 +415,19 @@ def q_classification_eval(spark, sf):
     return rounded(pr.agg(F.count(F.lit(1)).alias("n_test"), me.accuracy("label", "pred_class").alias("accuracy")))
 
 
+@query("classification_logistic")
+def q_classification_logistic(spark, sf):
+    """The same split -> multinomial logistic regression on padded, masked
+    samples (gradients summed over the cluster) -> accuracy on the test
+    samples (no SQL: tested against numpy)."""
+    s = tb.sequence_arrays(spark, sf).withColumn("is_train", rng.uniform("sample_id", F.lit("split"), F.lit(SPLIT_SEED)) < F.lit(0.7))
+    s = materialize(s, "samples")  # read again by every step
+    model = lr.fit_logistic(s.filter("is_train"))
+    test = s.filter(~F.col("is_train"))
+    pr = lr.predict(test, model) if model else test.withColumn("pred_class", F.lit(None).cast("int"))
+    return rounded(pr.agg(F.count(F.lit(1)).alias("n_test"), me.accuracy("label", "pred_class").alias("accuracy")))
+
+
 # ------------------------------------------------------------ regression
 @query("return_regression")
 def q_return_regression(spark, sf):
