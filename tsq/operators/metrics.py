@@ -9,6 +9,7 @@ partial row per task).  Divisions that can hit zero use ``try_divide``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -177,33 +178,31 @@ def exact_percentile(df: DataFrame, col: str, q: float, buckets: int = 65536) ->
     ``percentile``."""
     # written once, narrow: the passes below read it again
     v = materialize(df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()), "percentile-of")
-    # approximate quantiles bracket the rank, so that outliers don't stretch the buckets
+    # approximate quantiles bracket the rank, so that outliers don't stretch
+    # the buckets; a few numbers of each pass reach the driver
     near = F.percentile_approx("_v", F.array(F.lit(max(q - 2e-4, 0.0)), F.lit(min(q + 2e-4, 1.0))), F.lit(10000))
-    ends = v.agg(near.alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count(F.lit(1)).alias("_n"))
-    held = v.crossJoin(F.broadcast(ends)).agg(
-        F.first("_n").alias("_n"), F.first("_min").alias("_min"), F.first("_max").alias("_max"), F.first("_e").alias("_e"),
-        F.sum((F.col("_v") < F.col("_e")[0]).cast("long")).alias("_below"), F.sum((F.col("_v") <= F.col("_e")[1]).cast("long")).alias("_upto"))
-    pos = F.lit(q) * (F.col("_n") - F.lit(1))
-    ok = (F.col("_below") <= F.floor(pos)) & (F.ceil(pos) < F.col("_upto"))  # else the whole range
-    mm = held.select("_n", F.when(ok, F.col("_e")[0]).otherwise(F.col("_min")).alias("_lo"), F.when(ok, F.col("_e")[1]).otherwise(F.col("_max")).alias("_hi"),
-                     F.when(ok, F.col("_below")).otherwise(F.lit(0)).alias("_before"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(buckets))
-    b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
-    vb = v.crossJoin(F.broadcast(mm)).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).withColumn("_b", b.cast("long"))
-    bc = vb.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    ends = v.agg(near.alias("e"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not ends["n"]:
+        return df.sparkSession.createDataFrame([(None,)], "percentile double")
+    pos = q * (ends["n"] - 1)
+    lo_i, hi_i = math.floor(pos), math.ceil(pos)
+    held = v.agg(F.sum((F.col("_v") < F.lit(ends["e"][0])).cast("long")).alias("below"),
+                 F.sum((F.col("_v") <= F.lit(ends["e"][1])).cast("long")).alias("upto")).first()
+    inside = held["below"] <= lo_i and hi_i < held["upto"]  # else the whole range
+    lo, hi, before = (*ends["e"], held["below"]) if inside else (ends["lo"], ends["hi"], 0)
+    width = (F.lit(hi) - F.lit(lo)) / F.lit(float(buckets))
+    b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.lit(lo)) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
+    vb = v.filter((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))).withColumn("_b", b.cast("long"))
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
-    bc = bc.crossJoin(F.broadcast(mm)).withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(wb), F.lit(0)))
-    lo_i, hi_i = F.floor(pos), F.ceil(pos)
-    inside = lambda r_: (r_ >= F.col("_start")) & (r_ < F.col("_start") + F.col("_c"))
-    need = bc.filter(inside(lo_i) | inside(hi_i)).select("_b", "_start")  # at most two rows
-    vc = vb.join(F.broadcast(need), "_b").groupBy("_b", "_start", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    bc = vb.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_start", F.lit(before) + F.coalesce(F.sum("_c").over(wb), F.lit(0)))
+    holds = lambda start, size, i: (start <= F.lit(i)) & (F.lit(i) < start + size)
+    need = bc.filter(holds(F.col("_start"), F.col("_c"), lo_i) | holds(F.col("_start"), F.col("_c"), hi_i)).collect()  # two rows at most
+    start = F.coalesce(*[F.when(F.col("_b") == r["_b"], F.lit(r["_start"])) for r in need])
+    vc = vb.filter(F.col("_b").isin([r["_b"] for r in need])).groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_k"))
     wv = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    vc = vc.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_k").over(wv), F.lit(0))).crossJoin(F.broadcast(mm))
-    at = lambda r_: (F.col("_first") <= r_) & (r_ < F.col("_first") + F.col("_k"))
-    return vc.agg(
-        (F.max(F.when(at(lo_i), F.col("_v")))
-         + (F.first(pos) - F.first(lo_i)) * (F.max(F.when(at(hi_i), F.col("_v")))
-                                             - F.max(F.when(at(lo_i), F.col("_v"))))).alias("percentile"))
+    vc = vc.withColumn("_first", start + F.coalesce(F.sum("_k").over(wv), F.lit(0)))
+    at = lambda i: F.max(F.when(holds(F.col("_first"), F.col("_k"), i), F.col("_v")))
+    return vc.agg((at(lo_i) + F.lit(pos - lo_i) * (at(hi_i) - at(lo_i))).alias("percentile"))
 
 
 def softmax_argmax(scores: DataFrame, keys, cls: str, score: str) -> DataFrame:
