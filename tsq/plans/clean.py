@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tsq.operators import clean as cl
 from tsq.operators import features as fe
-from tsq.operators.index import series_index
+from tsq.operators.index import series_index, series_index_ranged
 from tsq.plans import sqlparts as S
 from tsq.plans.features import _stock, _stock_sql
 from tsq.plans.functions import CHANNELS, HOURLY_SQL, hourly_long
@@ -283,6 +283,28 @@ def q_limit_samples(spark, sf):
     return rounded(s.join(ids, "sample_id", "left_semi").select("sample_id", "t", "value"))
 
 
+LIMIT_SHARE = 0.15
+
+
+def first_samples(df, key, limit):
+    """The rows of the first samples in order of ``key``: ``limit`` of them if
+    it is over 1, else that share of all samples (rounded down).  The samples
+    are ranked by a ranged sort, whatever their number."""
+    ids = series_index_ranged(df.select(key).distinct().withColumn("_all", F.lit(0)), "_all", key, "_rank")
+    most = F.lit(int(limit)) if limit > 1 else F.floor(F.lit(float(limit)) * F.col("_n"))
+    n = df.select(key).distinct().agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return df.join(ids.crossJoin(F.broadcast(n)).where(F.col("_rank") < most).select(key), key, "left_semi")
+
+
+@query("limit_samples_share", f"""
+WITH s AS ({S.SEQUENCES}), ids AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT sample_id FROM s))
+SELECT sample_id, t, {r('value')} AS value FROM s WHERE sample_id IN (SELECT sample_id FROM ids WHERE rk <= floor({LIMIT_SHARE}::DOUBLE * n))
+""")
+def q_limit_samples_share(spark, sf):
+    """The first share of the samples with all their rows."""
+    return rounded(first_samples(tb.sequences(spark, sf), "sample_id", LIMIT_SHARE).select("sample_id", "t", "value"))
+
+
 @query("channels_to_rows", f"""
 WITH {GAPPY_SQL} SELECT ts, channel, {r('value')} AS value FROM hg
 """)

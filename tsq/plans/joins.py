@@ -103,8 +103,12 @@ w AS (SELECT dp.t - k.k AS window_id, CAST(k.k AS INTEGER) AS step, dp.* FROM dp
 
 @query("join_prior_slice", f"WITH {PRIOR_SQL} SELECT window_id, step, {r('prior', 9)} AS prior FROM w WHERE step >= {SEQ_LEN}")
 def q_prior_slice(spark, sf):
-    w = wo.sliding_windows(daily_prior(spark, sf), "series_id", "t", SEQ_LEN, LABEL_LEN, PRED_LEN)
-    return rounded(w.filter(F.col("step") >= SEQ_LEN).select("window_id", "step", "prior"), 9)
+    """The prior of every horizon step of every window: a row is exploded into
+    the windows whose horizon holds it, no other steps are made."""
+    d = wo.with_count(daily_prior(spark, sf), "series_id")
+    d = d.withColumn("step", F.explode(F.sequence(F.lit(SEQ_LEN), F.lit(SEQ_LEN + PRED_LEN - 1)))).withColumn("window_id", F.col("t") - F.col("step"))
+    w = d.where((F.col("window_id") >= 0) & (F.col("window_id") <= F.col("_n") - F.lit(SEQ_LEN + PRED_LEN)))
+    return rounded(w.select("window_id", "step", "prior"), 9)
 
 
 @query("join_date_slice", f"""

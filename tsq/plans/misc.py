@@ -124,6 +124,7 @@ def q_masked_norm(spark, sf):
 
 
 CUT_SEED = 17
+# fixed values: horizons of history that a cut may reach back, by seasonal group
 HISTORY_SIZE = {"Yearly": 1.5, "Quarterly": 1.5, "Monthly": 1.5, "Weekly": 10.0, "Daily": 10.0, "Hourly": 10.0}
 
 
