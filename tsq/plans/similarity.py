@@ -108,11 +108,9 @@ def batches(spark, sf):
 
 @query("dtw_matrix")
 def q_dtw_matrix(spark, sf):
-    """All pairs of a bounded class sample: the k x k DTW matrix (symmetric
-    step, band ceil(L/10)) of each class's batch, one kernel call for all
-    pairs of an Arrow batch."""
-    d = batches(spark, sf).select("label", "ids", F.posexplode("m").alias("i", "row")).select("label", "ids", "i", F.posexplode("row").alias("j", "dtw"))
-    return rounded(d.select("label", F.get("ids", F.col("i")).alias("a_id"), F.get("ids", F.col("j")).alias("b_id"), "dtw"))
+    """The DTW matrix of every class (symmetric step, band ceil(L/10)): all
+    pairs of its samples, in tiles of two blocks of them."""
+    return rounded(si.class_distances(tb.sequence_arrays(spark, sf), "label", "sample_id", "x", SYM_WINDOW))
 
 
 @query("medoid")
@@ -260,17 +258,22 @@ mp AS (SELECT ar.vec_id AS a_id, med.medoid_id AS b_id, ar.label, ar.x, am.x AS
 SELECT f.a_id AS vec_id, mp.label, f.b_id AS medoid_id, {r('f.v')} AS dtw FROM f JOIN mp USING (a_id, b_id)"""
 
 
-_BATCH_SQL = f"""WITH RECURSIVE bt AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings
-  QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_rng.sql_uniform('label', 'vec_id', "'batch'", str(BATCH_SEED))}, vec_id) <= {BATCH}),
+_CUT_SQL = f"""
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_rng.sql_uniform('label', 'vec_id', "'batch'", str(BATCH_SEED))}, vec_id) <= {BATCH}"""
+
+
+def _matrix_sql(cut: str = "") -> str:
+    return f"""WITH RECURSIVE bt AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings{cut}),
 bp AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.label, a.x, b.x AS y FROM bt a JOIN bt b ON a.label = b.label AND a.vec_id < b.vec_id),
 {dtw_sql('db', 'bp', 'symmetric', SYM_BAND)}, bf AS ({_final('db', 'bp')}),
 mx AS (SELECT bp.label, bf.a_id, bf.b_id, bf.v AS dtw FROM bf JOIN bp USING (a_id, b_id)
        UNION ALL SELECT bp.label, bf.b_id, bf.a_id, bf.v FROM bf JOIN bp USING (a_id, b_id)
        UNION ALL SELECT label, vec_id, vec_id, 0.0 FROM bt)"""
 
-_ORACLES["dtw_matrix"] = f"""{_BATCH_SQL} SELECT label, a_id, b_id, {r('dtw')} AS dtw FROM mx"""
 
-_ORACLES["medoid"] = f"""{_BATCH_SQL},
+_ORACLES["dtw_matrix"] = f"""{_matrix_sql()} SELECT label, a_id, b_id, {r('dtw')} AS dtw FROM mx"""
+
+_ORACLES["medoid"] = f"""{_matrix_sql(_CUT_SQL)},
 best AS (SELECT label, arg_min(a_id, (round(total, 9), a_id)) AS medoid FROM (SELECT label, a_id, sum(dtw) AS total FROM mx GROUP BY ALL) GROUP BY label)
 SELECT mx.label, CAST(row_number() OVER (PARTITION BY mx.label ORDER BY mx.b_id <> medoid, dtw, mx.b_id) - 1 AS INTEGER) AS rank,
        mx.b_id AS sample_id, {r('dtw')} AS distance FROM mx JOIN best ON best.label = mx.label AND best.medoid = mx.a_id"""
