@@ -22,11 +22,11 @@ a label, whose samples must have equally many channels.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,30 +43,33 @@ KNOTS, KNOT_SD = 4, 0.2
 BATCH = 6
 
 
-def _each_value(fn: Callable[[Column, Column, Column], Column]) -> Column:
-    """x with every value replaced by ``fn(value, channel, point)``."""
-    return F.transform("x", lambda ch, d: F.transform(ch, lambda v, t: fn(v, d, t)))
+def _scaled(channels: Column, factors: Column) -> Column:
+    """Channels times a factor each, which is worked out once for a channel."""
+    return F.zip_with(channels, factors, lambda ch, f: F.transform(ch, lambda v: v * f))
 
 
 def jitter(df: DataFrame, seed: int, sigma: float = 0.03) -> DataFrame:
-    return df.withColumn("x", _each_value(lambda v, d, t: v + rng.normal("sample_id", d, t, F.lit("jitter"), F.lit(seed), sd=sigma)))
+    # the part of the hashed key that a channel's points share
+    keys = F.transform("x", lambda ch, d: F.concat_ws("|", F.col("sample_id").cast("string"), d.cast("string")))
+    return df.withColumn("x", F.zip_with("x", keys, lambda ch, k: F.transform(
+        ch, lambda v, t: v + rng.normal(k, t, F.lit(f"jitter|{seed}"), sd=sigma))))
 
 
 def scaling(df: DataFrame, seed: int, sigma: float = 0.1) -> DataFrame:
-    def factor(d: Column) -> Column:
-        return rng.normal("sample_id", d, F.lit("scaling"), F.lit(seed), mean=1.0, sd=sigma)
-    return df.withColumn("x", F.transform("x", lambda ch, d: F.transform(ch, lambda v: v * factor(d))))
+    factors = F.transform("x", lambda ch, d: rng.normal("sample_id", d, F.lit("scaling"), F.lit(seed), mean=1.0, sd=sigma))
+    return df.withColumn("x", _scaled(F.col("x"), factors))
 
 
 def rotation(df: DataFrame, seed: int) -> DataFrame:
     """One order of the channels for all samples, a sign for each sample and
     channel of the result."""
-    axes = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda d: F.struct(rng.uniform(d, F.lit("axis"), F.lit(seed)).alias("u"), d.alias("d"))))
+    axes = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda d: F.struct(rng.uniform(d, F.lit("axis"), F.lit(seed)).alias("u"), d.alias("d"))))
     one = F.when(F.size("x") > 1, axes).otherwise(F.array(F.struct(F.lit(0.0).alias("u"), F.lit(0).alias("d"))))
 
     def flip(d: Column) -> Column:
         return F.when(rng.uniform("sample_id", d, F.lit("flip"), F.lit(seed)) < F.lit(0.5), F.lit(-1.0)).otherwise(F.lit(1.0))
-    return df.withColumn("x", F.transform(one, lambda a, d: F.transform(F.get("x", a["d"]), lambda v: v * flip(d))))
+    turned = F.transform(one, lambda a, d: F.struct(F.get("x", a["d"]).alias("ch"), flip(d).alias("f")))
+    return df.withColumn("x", F.transform(turned, lambda e: F.transform(e["ch"], lambda v: v * e["f"])))
 
 
 def permutation(df: DataFrame, seed: int, max_segments: int = 5, random_points: bool = False) -> DataFrame:
@@ -78,9 +81,9 @@ def permutation(df: DataFrame, seed: int, max_segments: int = 5, random_points:
     d = df.withColumn("_n", n).withColumn("_m", m)
     if random_points:
         # the first m - 1 of the points 0 .. n - 3 by their hashes
-        order = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 3, F.lit(0))),
+        order = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 3, F.lit(0))),
                                          lambda i: F.struct(rng.uniform("sample_id", i, F.lit("cut"), F.lit(seed)).alias("u"), i.alias("i"))))
-        cuts = F.array_sort(F.transform(F.slice(order, 1, F.greatest(F.col("_m") - 1, F.lit(0))), lambda p: p["i"]))
+        cuts = F.sort_array(F.transform(F.slice(order, 1, F.greatest(F.col("_m") - 1, F.lit(0))), lambda p: p["i"]))
         d = d.withColumn("_at", F.concat(F.array(F.lit(0)), cuts, F.array(F.col("_n"))))
     else:
         # the first n mod m segments are one longer
@@ -88,30 +91,108 @@ def permutation(df: DataFrame, seed: int, max_segments: int = 5, random_points:
         d = d.withColumn("_at", edge)
     segments = F.transform(F.sequence(F.lit(0), F.size("_at") - 2), lambda k: F.struct(
         rng.uniform("sample_id", k, F.lit("perm"), F.lit(seed)).alias("u"), k.alias("k"), F.get("_at", k).alias("a"), F.get("_at", k + 1).alias("b")))
-    moved = F.transform("x", lambda ch: F.flatten(F.transform(F.array_sort(segments), lambda s: F.slice(ch, s["a"] + 1, s["b"] - s["a"]))))
-    return d.withColumn("x", moved).drop("_n", "_m", "_at")
+    # the order is worked out once for a sample, as the one element that the outer function takes
+    moved = F.transform(F.array(F.sort_array(segments)), lambda order: F.transform(
+        "x", lambda ch: F.flatten(F.transform(order, lambda s: F.slice(ch, s["a"] + 1, s["b"] - s["a"])))))
+    return d.withColumn("x", F.get(moved, F.lit(0))).drop("_n", "_m", "_at")
 
 
 # ------------------------------------------------------------ batch kernels
-def _samples(col: pd.Series) -> list[np.ndarray]:
-    """Samples of a column as (points, channels)."""
-    return [np.stack([np.asarray(ch, float) for ch in x], axis=1) for x in col]
-
-
-def _column(samples: Sequence[np.ndarray]) -> pd.Series:
-    return pd.Series([[ch.tolist() for ch in s.T] for s in samples], dtype=object)
+def _samples(col: Sequence) -> list[np.ndarray]:
+    """Samples of a column (each its channels in turn) as (points, channels)."""
+    return [x.T if isinstance(x, np.ndarray) and x.ndim == 2 else np.stack([np.asarray(ch, float) for ch in x], axis=1) for x in col]
+
+
+def _arrays(col: pa.Array) -> list:
+    """Samples of an Arrow column as (channels, points), nulls as None: views of
+    its values, without an object for each of them.  Null values are NaN."""
+    each, points = np.asarray(col.offsets), np.asarray(col.values.offsets)
+    many, size = np.diff(each), np.diff(points)
+    some = many > 0
+    if col.values.null_count or (size[each[0]:each[-1]] != np.repeat(size[each[:-1][some]], many[some])).any():
+        raise ValueError("all channels of a sample must have equally many points")
+    values = col.values.values.to_numpy(zero_copy_only=False)
+    spots = zip(np.asarray(col.is_valid()).tolist(), many.tolist(), points[each[:-1]].tolist(), points[each[1:]].tolist())
+    return [values[a:b].reshape(m, -1) if there else None for there, m, a, b in spots]
+
+
+def _plain(col: pa.Array) -> Sequence:
+    """A column besides the samples: numbers, samples, or lists of samples."""
+    if not pa.types.is_list(col.type):
+        return col.to_numpy(zero_copy_only=False)
+    if not pa.types.is_list(col.type.value_type.value_type):
+        return _arrays(col)
+    members, at = _arrays(col.values), np.asarray(col.offsets).tolist()
+    return [members[a:b] if there else None for there, a, b in zip(np.asarray(col.is_valid()).tolist(), at, at[1:])]
+
+
+def _column(samples: Sequence[np.ndarray]) -> pa.Array:
+    """Samples as (points, channels) to an Arrow column; NaN is null."""
+    many, size = [s.shape[1] for s in samples], [len(s) for s in samples]
+    values = np.concatenate([np.zeros(0), *(s.T.ravel() for s in samples)])
+    points = np.concatenate([[0], np.cumsum(np.repeat(size, many))]).astype(np.int32)
+    channels = pa.ListArray.from_arrays(pa.array(points), pa.array(values, from_pandas=True))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), channels)
 
 
 def kernel(fn: Callable[..., list[np.ndarray]]):
-    """UDF from a function of all samples of a batch and further columns as
-    plain series; samples without the first further column's value (if it is
-    an array column of other samples) are the function's own matter."""
-    @F.pandas_udf(CHANNELS)
-    def run(x: pd.Series, *more: pd.Series) -> pd.Series:
-        return _column(fn(_samples(x), *more))
+    """UDF from a function of all samples of a batch and further columns;
+    samples without the first further column's value (if it is an array column
+    of other samples) are the function's own matter."""
+    @F.arrow_udf(CHANNELS)
+    def run(x: pa.Array, *more: pa.Array) -> pa.Array:
+        return _column(fn(_samples(_arrays(x)), *map(_plain, more)))
     return run
 
 
+def _alike(samples: Sequence[np.ndarray], *more: Sequence[Hashable]) -> Iterator[tuple[list[int], np.ndarray, tuple]]:
+    """Samples of one shape, with one value of each of ``more``, at a time:
+    their numbers, (samples, points, channels), and those values."""
+    groups: dict = {}
+    for i, key in enumerate(zip(map(np.shape, samples), *more)):
+        groups.setdefault(key, []).append(i)
+    for (shape, *rest), rows in groups.items():
+        yield rows, np.concatenate([samples[i] for i in rows]).reshape(len(rows), *shape), tuple(rest)
+
+
+class Grid:
+    """``np.interp`` from the points ``known`` to the points ``wanted`` for
+    many samples at once (samples, points, channels)."""
+
+    def __init__(self, wanted: np.ndarray, known: np.ndarray):
+        self.wanted, self.known = wanted, known
+        last = len(known) - 1
+        self.low = np.clip(np.searchsorted(known, wanted, side="right") - 1, 0, last)
+        self.high = np.minimum(self.low + 1, last)
+        inside = self.high > self.low
+        self.gap = np.where(inside, known[self.high] - known[self.low], 1.0)[:, None]
+        self.past = np.where(inside, np.maximum(wanted - known[self.low], 0.0), 0.0)[:, None]
+
+    def __call__(self, samples: np.ndarray) -> np.ndarray:
+        first = samples[:, self.low]
+        with np.errstate(invalid="ignore", over="ignore"):
+            out = (samples[:, self.high] - first) / self.gap * self.past + first
+        if not np.isfinite(out).all():  # np.interp takes care of values that are not finite
+            out = np.stack([np.stack([np.interp(self.wanted, self.known, ch) for ch in s.T], axis=1) for s in samples])
+        return out
+
+
+@lru_cache(maxsize=1024)
+def _path_grid(length: int, size: int) -> Grid:
+    """As :func:`tsq.operators.augment.resample_path`."""
+    return Grid(np.arange(length), np.linspace(0, length - 1.0, num=size))
+
+
+@lru_cache(maxsize=1024)
+def _slice_grid(length: int, size: int) -> Grid:
+    return Grid(np.linspace(0, size, num=length), np.arange(size))
+
+
+@lru_cache(maxsize=1024)
+def _window_grid(size: int, wanted: int) -> Grid:
+    return Grid(np.linspace(0, size - 1, num=wanted), np.arange(size))
+
+
 @lru_cache(maxsize=64)
 def spline_matrix(length: int, knots: int) -> np.ndarray:
     """The not-a-knot spline through equally spaced knots as a matrix: its
@@ -133,8 +214,13 @@ def curves(samples: list[np.ndarray], knots: list[np.ndarray]) -> list[np.ndarra
     return out
 
 
-def _resampled(values: np.ndarray, length: int) -> np.ndarray:
-    return np.stack([au.resample_path(v, length) for v in values.T], axis=1)
+def _resampled(values: Sequence[np.ndarray], lengths: Sequence[int]) -> list[np.ndarray]:
+    """Values along paths, resampled to the given numbers of points."""
+    out: list = [None] * len(values)
+    for rows, found, (length,) in _alike(values, lengths):
+        for i, x in zip(rows, _path_grid(length, found.shape[1])(found)):
+            out[i] = x
+    return out
 
 
 def magnitude_warps(samples, knots) -> list[np.ndarray]:
@@ -143,35 +229,80 @@ def magnitude_warps(samples, knots) -> list[np.ndarray]:
 
 def time_warps(samples, knots) -> list[np.ndarray]:
     ks, out = _samples(knots), []
-    at = [np.linspace(0, len(s) - 1.0, num=len(k)) for s, k in zip(samples, ks)]
+    at = [_spaced(len(s), len(k)) for s, k in zip(samples, ks)]
     for s, c in zip(samples, curves(samples, [k * a[:, None] for k, a in zip(ks, at)])):
-        n = len(s)
+        n, grid = len(s), np.arange(len(s), dtype=float)
         axis = np.clip((n - 1) / c[-1] * c, 0, n - 1)
-        out.append(np.stack([np.interp(np.arange(n), axis[:, d], s[:, d]) for d in range(s.shape[1])], axis=1))
+        warped = np.empty(s.shape)
+        for d in range(s.shape[1]):
+            warped[:, d] = np.interp(grid, axis[:, d], s[:, d])
+        out.append(warped)
     return out
 
 
+@lru_cache(maxsize=1024)
+def _spaced(length: int, knots: int) -> np.ndarray:
+    return np.linspace(0, length - 1.0, num=knots)
+
+
 def window_warps(samples, start, scale) -> list[np.ndarray]:
-    return [np.stack([au.window_warp(ch, int(a), float(f)) for ch in s.T], axis=1) for s, a, f in zip(samples, start, scale)]
+    out: list = [None] * len(samples)
+    for rows, x, (a, f) in _alike(samples, map(int, start), map(float, scale)):
+        size = math.ceil(0.1 * x.shape[1])
+        window = x[:, a:a + size]
+        if not size or window.shape[1] != size:
+            made = [np.stack([au.window_warp(ch, a, f) for ch in s.T], axis=1) for s in x]
+        else:
+            longer = np.concatenate([x[:, :a], _window_grid(size, int(size * f))(window), x[:, a + size:]], axis=1)
+            made = _path_grid(x.shape[1], longer.shape[1])(longer)
+        for i, s in zip(rows, made):
+            out[i] = s
+    return out
 
 
 def slices(samples, ratio, u) -> list[np.ndarray]:
-    return [np.stack([au.slice_stretch(ch, float(r), float(v)) for ch in s.T], axis=1) for s, r, v in zip(samples, ratio, u)]
+    """:func:`tsq.operators.augment.slice_stretch` of every channel."""
+    out = list(samples)
+    sizes = [int(np.ceil(r * len(s))) for r, s in zip(np.asarray(ratio).tolist(), samples)]
+    u = np.asarray(u, float)
+    for rows, x, (size,) in _alike(samples, sizes):
+        if size < x.shape[1]:
+            start = np.floor(u[rows] * (x.shape[1] - size)).astype(int)
+            found = x[np.arange(len(rows))[:, None], start[:, None] + np.arange(size)]
+            for i, s in zip(rows, _slice_grid(x.shape[1], size)(found)):
+                out[i] = s
+    return out
 
 
 def _bands(lengths) -> list[int]:
     return [-(-n // 10) for n in lengths]
 
 
-def _paths(firsts, seconds, lengths, shape: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Alignment paths of all pairs, band a tenth of the given length."""
+def _aligned(firsts, seconds, lengths, shape: bool, moves: bool) -> Iterator[tuple[list[int], wp.Alignment]]:
+    """Alignments of all pairs, band a tenth of the given length: pairs of one
+    shape and band at a time, with their numbers."""
     ratio = au.SHAPE_RATIO if shape else None
-    return [p for f in wp.warp_batch(firsts, seconds, "symmetric", _bands(lengths), ratio, True) for p in f.paths()]
+    for pairs, left, (_, band) in _alike(firsts, map(np.shape, seconds), _bands(lengths)):
+        right = np.concatenate([seconds[k] for k in pairs]).reshape(len(pairs), *np.shape(seconds[pairs[0]]))
+        at = 0
+        for f in wp.warp_batch(left, right, "symmetric", [band] * len(pairs), ratio, moves):
+            yield pairs[at:at + len(f.rows)], f
+            at += len(f.rows)
+
+
+def _paths(firsts, seconds, lengths, shape: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    out: list = [None] * len(firsts)
+    for pairs, f in _aligned(firsts, seconds, lengths, shape, True):
+        for k, path in zip(pairs, f.paths()):
+            out[k] = path
+    return out
 
 
 def _distances(firsts, seconds, lengths, shape: bool = False) -> np.ndarray:
-    ratio = au.SHAPE_RATIO if shape else None
-    return np.concatenate([np.zeros(0), *(f.distance for f in wp.warp_batch(firsts, seconds, "symmetric", _bands(lengths), ratio))])
+    out = np.zeros(len(firsts))
+    for pairs, f in _aligned(firsts, seconds, lengths, shape, False):
+        out[pairs] = f.distance
+    return out
 
 
 def spawned(samples, protos, cut) -> list[np.ndarray]:
@@ -181,10 +312,13 @@ def spawned(samples, protos, cut) -> list[np.ndarray]:
     other = dict(zip(rows, _samples([protos[i] for i in rows])))
     halves = [(i, samples[i][a], other[i][a]) for i in rows for a in (slice(None, int(cut[i])), slice(int(cut[i]), None))]
     found = _paths([a for _, a, _ in halves], [b for _, _, b in halves], [len(samples[i]) for i, _, _ in halves])
+    means = []
     for k, i in enumerate(rows):
         (p1, q1), (p2, q2) = found[2 * k], found[2 * k + 1]
-        p, q = np.append(p1, p2 + int(cut[i])), np.append(q1, q2 + int(cut[i]))
-        out[i] = _resampled((samples[i][p] + other[i][q]) / 2.0, len(samples[i]))
+        p, q = np.concatenate([p1, p2 + int(cut[i])]), np.concatenate([q1, q2 + int(cut[i])])
+        means.append((samples[i][p] + other[i][q]) / 2.0)
+    for i, x in zip(rows, _resampled(means, [len(samples[i]) for i in rows])):
+        out[i] = x
     return out
 
 
@@ -193,8 +327,9 @@ def guided(samples, protos, shape: bool = False) -> tuple[list[np.ndarray], list
     out, taken = list(samples), [np.arange(len(s)) for s in samples]
     rows = [i for i, p in enumerate(protos) if p is not None]
     found = _paths([protos[i] for i in rows], [samples[i] for i in rows], [len(samples[i]) for i in rows], shape)
-    for i, (_, q) in zip(rows, found):
-        out[i], taken[i] = _resampled(samples[i][q], len(samples[i])), q
+    warped = _resampled([samples[i][q] for i, (_, q) in zip(rows, found)], [len(samples[i]) for i in rows])
+    for i, (_, q), x in zip(rows, found, warped):
+        out[i], taken[i] = x, q
     return out, taken
 
 
@@ -219,15 +354,23 @@ def barycentres(samples, batches) -> list[np.ndarray]:
         else:
             out[i] = members[i][first].copy()
     found = _paths([members[i][f] for i, f, _ in jobs], [members[i][o] for i, _, o in jobs], [len(members[i][f]) for i, f, _ in jobs])
-    total: dict[int, list] = {}
-    for (i, f, o), (p, q) in zip(jobs, found):
-        near = order[i][1]
-        weight = 0.5 ** (apart[i][f, o] / apart[i][f, near])
-        value, share = total.setdefault(i, [members[i][f].copy(), np.ones(len(members[i][f]))])
-        np.add.at(value, p, weight * members[i][o][q])
-        np.add.at(share, p, weight)
-    for i, (value, share) in total.items():
-        out[i] = value / share[:, None]
+    weights = [0.5 ** (apart[i][f, o] / apart[i][f, order[i][1]]) for i, f, o in jobs]
+    # the jobs of samples with equally many channels in one sum, each sample's points after those before it
+    for c in {members[i][f].shape[1] for i, f, _ in jobs}:
+        mine = [k for k, (i, f, _) in enumerate(jobs) if members[i][f].shape[1] == c]
+        start = {i: members[i][f] for i, f, _ in (jobs[k] for k in mine)}
+        stop = np.cumsum([len(x) for x in start.values()])
+        first = dict(zip(start, (stop - [len(x) for x in start.values()]).tolist()))
+        value = np.ascontiguousarray(np.concatenate(list(start.values())).T)
+        share = np.ones(value.shape[1])
+        spots = np.concatenate([found[k][0] + first[jobs[k][0]] for k in mine])
+        weight = np.repeat([weights[k] for k in mine], [len(found[k][0]) for k in mine])
+        brought = np.concatenate([members[jobs[k][0]][jobs[k][2]][found[k][1]] for k in mine])
+        np.add.at(share, spots, weight)
+        for d in range(c):
+            np.add.at(value[d], spots, weight * brought[:, d])
+        for i, x in zip(start, np.split((value / share).T, stop[:-1])):
+            out[i] = x
     return out
 
 
@@ -246,8 +389,9 @@ def discriminative(samples, pos, neg, shape: bool = False) -> tuple[list[np.ndar
     for i in rows:
         protos[i] = ps[i][int(gain[i].argmax())]
     out, taken = guided(samples, protos, shape)
-    moved = np.array([float(np.abs(au.resample_path(q, len(s)) - np.arange(len(s))).sum()) if p is not None else 0.0
-                      for s, q, p in zip(samples, taken, protos)])
+    moved = np.zeros(len(samples))
+    for i, at in zip(rows, _resampled([taken[i][:, None].astype(float) for i in rows], [len(samples[i]) for i in rows])):
+        moved[i] = np.abs(at[:, 0] - np.arange(len(at))).sum()
     return out, moved
 
 
@@ -325,10 +469,10 @@ def discriminative_warp(df: DataFrame, seed: int, shape: bool = False) -> DataFr
     neg = _gathered(df, al.pick_others(ids, "label", "sample_id", BATCH // 2, seed, "neg", out="neg_id"), "neg_id", "neg")
     d = si.spread(df.join(pos, "sample_id", "left").join(neg, "sample_id", "left"), "sample_id")
 
-    @F.pandas_udf(T.StructType([T.StructField("x", CHANNELS), T.StructField("amount", T.DoubleType())]))
-    def warp(x: pd.Series, p: pd.Series, n: pd.Series) -> pd.DataFrame:
-        out, moved = discriminative(_samples(x), list(p), list(n), shape)
-        return pd.DataFrame({"x": _column(out), "amount": moved})
+    @F.arrow_udf(T.StructType([T.StructField("x", CHANNELS), T.StructField("amount", T.DoubleType())]))
+    def warp(x: pa.Array, p: pa.Array, n: pa.Array) -> pa.Array:
+        out, moved = discriminative(_samples(_arrays(x)), _plain(p), _plain(n), shape)
+        return pa.StructArray.from_arrays([_column(out), pa.array(moved, from_pandas=True)], ["x", "amount"])
 
     d = materialize(d.select("sample_id", "label", warp("x", "pos", "neg").alias("w")), "warped").select("sample_id", "label", "w.x", "w.amount")
     d = d.crossJoin(F.broadcast(d.agg(F.max("amount").alias("most"))))  # one row
