@@ -102,3 +102,31 @@ def test_hilbert_key_walks_the_grid_by_unit_steps():
         path = grid[np.argsort(key)]
         assert sorted(key.tolist()) == list(range(len(grid)))
         assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_new_pieces_reach_the_library_many_in_one_text(monkeypatch):
+    from tsq.llm import tokens
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    draw = np.random.default_rng(1)
+    words = ["".join(draw.choice(list("aeistrnÉüß'9.$µ"), 7)) for _ in range(3000)] + ["it's", "''ll", "a“b”", "œuf", "Ωmega", "x­", "", "12ab!?"]
+    texts = [" ".join(draw.permutation(words)[:900]) for _ in range(6)] + [" ".join(words)]
+    for most in (250_000, 500):  # words that are kept, and words made each time
+        monkeypatch.setattr(tokens, "CACHE_WORDS", most)
+        enc = tokens.WordEncoder()
+        enc.lines, enc.piece, enc.whole = Counted(enc.lines), Counted(enc.piece), Counted(enc.whole)
+        for text in texts:
+            ids, count = enc.encode(pa.array([text, "", text[:50]]))
+            want = [enc.whole.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", text[:50])]
+            assert ids.tolist() == sum(want, []) and count.tolist() == list(map(len, want))
+        assert enc.piece.texts == 0 and enc.lines.texts < 100  # a text for each piece before
+    # a piece without an end is told by the library itself
+    enc.last[:] = False
+    assert enc.encode(pa.array(["zqj xvk"]))[0].tolist() == enc.whole.tokenizer.encode("zqj xvk", add_special_tokens=False).ids
