@@ -90,3 +90,14 @@ def test_url_plan_runs_no_python(spark):
     d = spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string")
     plan = U.judge_urls(d)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_url_joins_are_merge_joins(spark, monkeypatch):
+    """n-grams exploded from small rows are estimated as small: never broadcast."""
+    plans, real = [], U.stored
+    monkeypatch.setattr(U, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    d = spark.createDataFrame([(i, f"http://x{i}.{('net', 'org', 'test')[i % 3]}/fr/{i}") for i in range(60)] + [(60, None)], "page_id long, url string")
+    out = U.judge_urls(d)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert "SortMergeJoin" in plans[-1] and "SortMergeJoin" in plans[-2] and not any("BroadcastHashJoin" in p for p in plans)
+    assert out.count() == 61
